@@ -47,13 +47,13 @@ class Files:
         self.fs.create_dir(self.root, recursive=True)
 
     def writer(self, name: str):
-        return self.fs.open_output_stream(f"{self.root}/{name}")
+        return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
 
     def rename(self, old: str, new: str) -> None:
         self.fs.move(f"{self.root}/{old}", f"{self.root}/{new}")
 
     def read(self, name: str) -> bytes:
-        with self.fs.open_input_stream(f"{self.root}/{name}") as f:
+        with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as f:
             return f.read()
 
     def array(self, name: str, kind: str) -> np.ndarray:
