@@ -62,3 +62,17 @@ def lex_argmin(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values that come more than once, with their count."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def prioritize(items: Column, first: Column) -> Column:
+    """The items at the 0-based indices of `first`, in that order, then the others in theirs."""
+    there = F.filter(first, lambda i: (i >= 0) & (i < F.size(items)))
+    rest = F.filter(items, lambda x, i: ~F.array_contains(first, i))
+    return F.when((F.size(there) == F.size(first)), F.concat(F.transform(there, lambda i: F.get(items, i)), rest)).otherwise(items)
+
+
+def last_of(df: DataFrame, keys: list[str], order: list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """The last row by `order` of each key; `names` renames value columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    out = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("w")).select(*keys, "w.*")
+    return out.withColumnsRenamed(names or {})

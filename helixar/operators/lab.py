@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixar.functions import sequences as S
+from helixar.operators import match
 
 
 def anneal(primers: DataFrame, templates: DataFrame, least: int = 14) -> DataFrame:
     """Where the last `least` bases of primers(primer_key, primer) lie in templates(key, bases): strand, 0-based `end` of
     the annealed part on the top strand (its start for strand -1), annealed bases and overhang, extended as far as equal."""
-    p = primers.filter(F.length("primer") >= least).withColumn("primer", F.upper("primer"))
+    p = primers.filter(F.length("primer") >= least).select("primer_key", F.upper("primer").alias("primer"))
     t = templates.select("key", F.upper("bases").alias("bases")).filter(F.length("bases") >= least)
     both = t.select("key", F.lit(1).alias("strand"), F.col("bases").alias("s")).unionByName(t.select("key", F.lit(-1).alias("strand"), S.reverse_complement(F.col("bases")).alias("s")))
-    at = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("s") - least))).withColumn("seed", F.expr(f"substring(s, i + 1, {least})"))
-    hit = p.withColumn("seed", F.expr(f"right(primer, {least})")).join(at, "seed")
+    tails = match.seeds(p.select(F.col("primer_key").alias("key"), F.lit(1).alias("strand"), F.expr(f"right(primer, {least})").alias("s")), least, 1)
+    near = tails.select(F.col("key").alias("primer_key"), "seed").join(match.seeds(both, least, 1).withColumnRenamed("at", "i"), "seed").drop("seed")
+    hit = near.join(p, "primer_key").join(both, ["key", "strand"]).filter(F.expr(f"substring(s, i + 1, {least}) = right(primer, {least})"))
     more = F.expr(f"size(filter(sequence(0, length(primer) - {least}), k -> k > 0 AND i - k >= 0 AND substring(s, i - k + 1, k) = substring(primer, length(primer) - {least} - k + 1, k)))")
     n = (F.lit(least) + more).cast("int")
     stop = F.col("i") + least
@@ -38,8 +40,12 @@ def digest(sequences: DataFrame, site: str, cut: int) -> DataFrame:
     """
     s = sequences.select("key", F.upper("bases").alias("bases"), "is_circular")
     scan = F.when(F.col("is_circular"), F.concat("bases", F.expr(f"substring(bases, 1, {len(site) - 1})"))).otherwise(F.col("bases"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(scan), F.lit(1))), lambda i: F.substring(scan, i, F.lit(len(site))) == site)
-    hits = s.select("key", "is_circular", F.length("bases").alias("length"), F.transform(starts, lambda i: i - 1 + cut).alias("at"))
+    # Split before every site, overlapping ones too: one pass over the bases, then sums of the pieces' lengths.
+    pieces = F.split(scan, rf"(?=\Q{site}\E)", -1)
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("pos"))
+    step = lambda a, x: F.struct(F.when((a["pos"] > 0) | F.startswith(scan, F.lit(site)), F.array_append(a["at"], a["pos"])).otherwise(a["at"]).alias("at"), (a["pos"] + F.length(x)).alias("pos"))
+    starts = F.aggregate(pieces, none, step)["at"]
+    hits = s.select("key", "is_circular", F.length("bases").alias("length"), F.transform(starts, lambda i: i + cut).alias("at"))
     cuts = F.array_sort(F.array_distinct(F.when(F.col("is_circular"), F.transform("at", lambda x: F.pmod(x, F.col("length")))).otherwise(F.concat(F.array(F.lit(0)), F.col("at")))))
     d = hits.select("key", "is_circular", "length", F.posexplode_outer(cuts).alias("piece", "start"))
     w = Window.partitionBy("key").orderBy("piece")

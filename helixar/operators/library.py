@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixar import constants as K
+from helixar.functions import shared
 from helixar.operators import cost as C
 from helixar.operators import match
 
@@ -19,11 +20,7 @@ def shared_fragments(goals: DataFrame, least: int = 100) -> DataFrame:
 def connected(edges: DataFrame, src: str = "a", dst: str = "b", rounds: int = 64) -> DataFrame:
     """(node, component): the least node that each node reaches. Labels hop over neighbours and over labels, so the number
     of rounds grows with the logarithm of the longest way; each round is checkpointed."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixar-"))
+    shared.folder(edges.sparkSession)
     e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y"))
     e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     label = e.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("c")).checkpoint()
@@ -40,12 +37,12 @@ def connected(edges: DataFrame, src: str = "a", dst: str = "b", rounds: int = 64
     return label.select(F.col("x").alias("node"), F.col("c").alias("component"))
 
 
-def clusters(shared: DataFrame) -> DataFrame:
+def clusters(aligned: DataFrame) -> DataFrame:
     """Clusters of shared regions: (query_key, a, b, component, n_clusters); clusters that hold two regions of one goal are dropped."""
     name = lambda k, a, b: F.concat_ws(":", k, a, b)
     c = F.col
-    pairs = shared.select(name(c("query_key"), c("a"), c("b")).alias("a"), name(c("subject_key"), c("sa"), c("sb")).alias("b"))
-    nodes = shared.select(name(c("query_key"), c("a"), c("b")).alias("node"), "query_key", "a", "b").unionByName(shared.select(name(c("subject_key"), c("sa"), c("sb")).alias("node"), c("subject_key").alias("query_key"), c("sa").alias("a"), c("sb").alias("b"))).distinct()
+    pairs = aligned.select(name(c("query_key"), c("a"), c("b")).alias("a"), name(c("subject_key"), c("sa"), c("sb")).alias("b"))
+    nodes = aligned.select(name(c("query_key"), c("a"), c("b")).alias("node"), "query_key", "a", "b").unionByName(aligned.select(name(c("subject_key"), c("sa"), c("sb")).alias("node"), c("subject_key").alias("query_key"), c("sa").alias("a"), c("sb").alias("b"))).distinct()
     named = nodes.join(connected(pairs), "node")
     twice = named.groupBy("component", "query_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component").distinct()
     good = named.join(twice, "component", "left_anti")
@@ -57,3 +54,20 @@ def discount(edges: DataFrame, factor: float = 2.0) -> DataFrame:
     """Shared synthesized fragments cost material / n_clusters / factor."""
     m = F.when(F.col("mtype") == K.SHARED, F.col("material") / F.col("n_clusters") / factor).otherwise(F.col("material"))
     return edges.withColumn("material", m).withColumn("cost", C.adjust(F.col("material"), F.col("efficiency")))
+
+
+def shared_groups(goals: DataFrame, least: int = 100) -> DataFrame:
+    """Groups of fragments that several goals share, to be synthesized once: query_key, atype, a, b, n, length, cyclic, n_clusters."""
+    c = F.col
+    aligned = shared_fragments(goals, least)
+    size = aligned.select("query_key", "a", "b", "n", "length", "cyclic").distinct()
+    known = clusters(aligned).select("query_key", "a", "b", "n_clusters")
+    return size.join(known, ["query_key", "a", "b"]).select("query_key", F.lit(K.SHARED).alias("atype"), "a", "b", "n", "length", "cyclic", c("n_clusters"))
+
+
+def discount_shared(edges: DataFrame, groups: DataFrame, factor: float = 2.0) -> DataFrame:
+    """discount() with the number of goals looked up by the region of each shared edge."""
+    c = F.col
+    known = groups.select("query_key", c("a").alias("_a"), c("b").alias("_b"), "n_clusters").distinct()
+    at = edges.withColumns({"_a": F.pmod(c("src.index"), c("length")), "_b": F.pmod(c("dst.index") - 1, c("length")) + 1})
+    return discount(at.join(known, ["query_key", "_a", "_b"], "left"), factor).select(*edges.columns)

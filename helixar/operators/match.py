@@ -21,7 +21,7 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), "<u4")
 
 
-def _seeds(seqs: DataFrame, k: int, step: int, most: int | None = None) -> DataFrame:
+def seeds(seqs: DataFrame, k: int, step: int, most: int | None = None) -> DataFrame:
     """(key, strand, 0-based position, hash of the k-mer) at every step-th start of `s` (the first `most` starts), by an Arrow kernel."""
 
     def run(batches):
@@ -51,8 +51,8 @@ def _strands(inventory: DataFrame, both: bool, fold: bool) -> DataFrame:
 def _matches(goals: DataFrame, subjects: DataFrame, k: int, step: int, first_only: bool, least: int, fold: bool) -> DataFrame:
     g = goals.select(F.col("key"), (F.upper("bases") if fold else F.col("bases")).alias("bases"), "is_circular")
     doubled = g.select("key", F.lit(1).alias("strand"), F.when(F.col("is_circular"), F.concat("bases", F.expr("substring(bases, 1, length(bases) - 1)"))).otherwise(F.col("bases")).alias("s"))
-    q = _seeds(doubled, k, step).select(F.col("key").alias("query_key"), F.col("at").alias("q"), "seed")
-    s = _seeds(subjects, k, 1, 1 if first_only else None).select(F.col("key").alias("subject_key"), "strand", F.col("at").alias("p"), "seed")
+    q = seeds(doubled, k, step).select(F.col("key").alias("query_key"), F.col("at").alias("q"), "seed")
+    s = seeds(subjects, k, 1, 1 if first_only else None).select(F.col("key").alias("subject_key"), "strand", F.col("at").alias("p"), "seed")
     diagonals = q.join(s, "seed").select("query_key", "subject_key", "strand", (F.col("q") - F.col("p")).alias("diagonal")).distinct()
     per_pair = diagonals.groupBy("query_key", "subject_key", "strand").agg(F.collect_set("diagonal").alias("diagonals"))
     full = per_pair.join(g.withColumnRenamed("key", "query_key"), "query_key").join(subjects.withColumnRenamed("key", "subject_key"), ["subject_key", "strand"])

@@ -234,3 +234,31 @@ def edit_steps(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
     d = l.join(r, [*keys, "pos"], "full")
     differ = sum((F.when(F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")), 0).otherwise(1) for f in fields), F.lit(0))
     return d.select(*keys, "pos", F.when(F.col("l_here").isNull() | F.col("r_here").isNull(), len(fields)).otherwise(differ).alias("n_differ"))
+
+
+def distances_from(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """Best paths from sources(query_key, source) of plain graphs edges(query_key, src, dst, material, efficiency) by a search
+    ordered by SUM / PROD: (query_key, source, node, material, efficiency, cost), to a cost of `cutoff` at most."""
+    kind, node = dict(edges.dtypes)["query_key"], dict(edges.dtypes)["src"]
+    schema = f"query_key {kind}, source {node}, node {node}, material double, efficiency double, cost double"
+
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        rows, out = e.sort_values(["src", "dst", "material"]), []
+        nearby: dict = {}
+        for a, b, m, f in zip(rows["src"], rows["dst"], rows["material"], rows["efficiency"], strict=True):
+            nearby.setdefault(a, []).append((b, m, f))
+        for source in s["source"].drop_duplicates():
+            queue, done = [(0.0, source, 0.0, 1.0)], set()
+            while queue:
+                cost, at, m, f = heapq.heappop(queue)
+                if at in done or (cutoff is not None and cost > cutoff):
+                    continue
+                done.add(at)
+                out.append((s["query_key"].iloc[0], source, at, m, f, cost))
+                for b, dm, df in nearby.get(at, ()):
+                    if b not in done and f * df > 0:
+                        heapq.heappush(queue, ((m + dm) / (f * df), b, m + dm, f * df))
+        return pd.DataFrame(out, columns=["query_key", "source", "node", "material", "efficiency", "cost"])
+
+    e = edges.select("query_key", "src", "dst", F.col("material").cast("double"), F.col("efficiency").cast("double"))
+    return e.groupBy("query_key").cogroup(sources.select("query_key", "source").groupBy("query_key")).applyInPandas(run, schema)

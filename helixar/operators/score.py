@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from helixar import constants as K
 from helixar.functions import intervals as I
 from helixar.functions import sequences as S
+from helixar.operators import cost as C
+from helixar.operators import expand, graph
 
 
 def coverage(regions: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,3 +102,50 @@ def partition_edges(edges: DataFrame, cuts: DataFrame, overlap: int = K.PARTITIO
     )
     x = e.select("query_key", "length", F.explode(made).alias("x")).select("query_key", "x.*", "length")
     return x.withColumns({"l": c("src.expandable"), "r": c("dst.expandable"), "kind": F.lit("external")}).distinct()
+
+
+def template_misprimings(regions: DataFrame, alignments: DataFrame, templates: DataFrame, width: int = 500) -> DataFrame:
+    """The template with the fewest misprimings for each product of regions(query_key, mtype, a, b, n, length).
+
+    Candidates are alignments(query_key, subject_key, a, n, sa, sb, direction) of templates(key, bases) that hold the middle of the
+    product and every end of it that no primer gives. (query_key, mtype, a, b, template, n_misprimings, n_templates)
+    """
+    c = F.col
+    r = regions.select("query_key", "mtype", "a", "b", "n", "length").distinct().withColumn("_mid", F.pmod(c("a") + F.floor(c("n") / 2), c("length")))
+    t = alignments.filter(c("atype").isin([K.PCR, K.FRAGMENT])).select("query_key", "subject_key", c("a").alias("_ta"), c("n").alias("_tn"), "sa", "sb", "direction", F.explode(I.pieces(c("a"), c("n"), c("length"))).alias("_p"))
+    t = t.select("*", c("_p.lo").alias("_lo"), c("_p.hi").alias("_hi")).drop("_p")
+    pairs = I.range_join(t, r, ["query_key"], "_lo", "_hi", "_mid", width)
+    first, last = F.pmod(c("a") - c("_ta"), c("length")), F.pmod(c("b") - 1 - c("_ta"), c("length")) + 1
+    starts_in, ends_in = first < c("_tn"), last <= c("_tn")
+    free_left, free_right = c("mtype").isin([K.PCR_PRIMERS, K.PCR_LEFT]), c("mtype").isin([K.PCR_PRIMERS, K.PCR_RIGHT])
+    pairs = pairs.filter((starts_in | free_left) & (ends_in | free_right))
+    pairs = pairs.withColumns({"_i": F.when(starts_in, first).otherwise(0), "_j": F.when(ends_in, last).otherwise(c("_tn"))}).filter("_i < _j")
+    sub = expand.sub_alignment(c("_i"), c("_j") - c("_i"), c("sa"), c("sb"), c("direction"))
+    pairs = pairs.withColumn("_s", sub).select("query_key", "mtype", "a", "b", "subject_key", c("_s.sa").alias("_sa"), c("_s.sb").alias("_sb"))
+    once = pairs.select("subject_key", "_sa", "_sb").distinct().join(templates.select(c("key").alias("subject_key"), F.upper("bases").alias("_bases")), "subject_key")
+    scored = once.select("subject_key", "_sa", "_sb", S.misprimings(c("_bases"), c("_sa"), c("_sb"), F.lit(False)).alias("_m"))
+    best = pairs.join(scored, ["subject_key", "_sa", "_sb"]).groupBy("query_key", "mtype", "a", "b").agg(F.min(F.struct("_m", "subject_key")).alias("_w"), F.count_distinct("subject_key").alias("n_templates"))
+    return best.select("query_key", "mtype", "a", "b", c("_w.subject_key").alias("template"), c("_w._m").alias("n_misprimings"), "n_templates")
+
+
+def score_misprimings(edges: DataFrame, alignments: DataFrame, templates: DataFrame) -> DataFrame:
+    """PCR edges with the efficiency of their best template; edges without a candidate keep theirs."""
+    c = F.col
+    at = edges.withColumns({"_a": F.pmod(c("src.index"), c("length")), "_b": F.pmod(c("dst.index") - 1, c("length")) + 1})
+    inner = at.filter(c("mtype").isin(graph.PCR_TYPES)).select("query_key", "mtype", c("_a").alias("a"), c("_b").alias("b"), c("span").alias("n"), "length")
+    best = template_misprimings(inner, alignments, templates).select("query_key", "mtype", c("a").alias("_a"), c("b").alias("_b"), "n_misprimings")
+    out = at.join(best, ["query_key", "mtype", "_a", "_b"], "left")
+    e = F.coalesce(graph.mispriming_efficiency(c("n_misprimings"), c("efficiency")), c("efficiency"))
+    out = out.withColumn("efficiency", e).withColumn("cost", C.adjust(c("material"), c("efficiency")))
+    return out.select(*edges.columns)
+
+
+def remove_inefficient(edges: DataFrame, least: float = K.EDGE_EFFICIENCY) -> DataFrame:
+    return edges.filter(F.col("efficiency") >= least)
+
+
+def rolling_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, into: str = "mean") -> DataFrame:
+    """Mean of each row and the n - 1 before it; null for the first n - 1."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    full = F.row_number().over(w) >= n
+    return df.withColumn(into, F.when(full, F.avg(value).over(w.rowsBetween(1 - n, 0))))

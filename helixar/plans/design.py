@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixar import constants as K
-from helixar.operators import cost, expand, graph, match, output, paths, score
+from helixar.operators import cost, expand, graph, library as lib, match, output, paths, score
 
 
 @dataclass
@@ -41,8 +41,11 @@ def _sub(products: DataFrame, groups: DataFrame) -> DataFrame:
     return products.join(groups.select("gid", "cyclic"), "gid").select("query_key", "atype", "a", "b", "n", "length", "cyclic")
 
 
-def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None = None, primers: DataFrame | None = None, table: DataFrame | None = None, least: int = 30, n_paths: int = 3, postprocess: bool = True, partition: bool = True, dimers: bool = False, keep: list[str] | None = None) -> Design:
-    """All inputs are (key, bases, is_circular). Only circular goals can be assembled; `keep` limits to these keys."""
+def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None = None, primers: DataFrame | None = None, table: DataFrame | None = None, least: int = 30, n_paths: int = 3, postprocess: bool = True, partition: bool = True, misprime: bool = True, dimers: bool = False, library: bool = False, keep: list[str] | None = None) -> Design:
+    """All inputs are (key, bases, is_circular). Only circular goals can be assembled; `keep` limits to these keys.
+
+    With `library`, fragments that several goals share may be synthesized once, at a discount.
+    """
     c = F.col
     spark = goals.sparkSession
     if keep is not None:
@@ -62,10 +65,20 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
         every = every.unionByName(_sub(expand.primer_pairs(groups, p), groups))
         if dimers:
             every = every.unionByName(expand.extension_products(p).select("query_key", "atype", "a", "b", "n", "length", F.lit(True).alias("cyclic")))
+    together = None
+    if library:
+        together = lib.shared_groups(goals)
+        every = every.unionByName(together.drop("n_clusters"))
     every = every.distinct()
     edges = graph.assembly_graph(every, table)
     if postprocess:
-        edges = graph.score_complexity(graph.score_long_products(edges), goals)
+        edges = graph.score_long_products(edges)
+        if misprime:
+            stock = templates.select("key", "bases")
+            if fragments is not None:
+                stock = stock.unionByName(fragments.select("key", "bases"))
+            edges = score.score_misprimings(edges, aligned, stock.dropDuplicates(["key"]))
+        edges = graph.score_complexity(edges, goals)
         if partition:
             cuts = score.partition_points(goals)
             more = score.partition_edges(edges, cuts)
@@ -73,4 +86,6 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
             edges = edges.drop("complexity").unionByName(priced)
             edges = graph.score_complexity(edges, goals)
         edges = edges.filter(c("cost") < float("inf"))
+    if together is not None:
+        edges = lib.discount_shared(edges, together)
     return Design(goals, aligned, every, edges, paths.assemblies(edges, n_paths))

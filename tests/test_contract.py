@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from helixar.plans import queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"primer_cost", "synthesis_cost", "span_cost_lookup", "complexity_score", "overlap_edges", "gap_edges"}
+SLOW = {"span_cost_table", "primer_cost", "synthesis_cost", "span_cost_lookup", "complexity_score", "overlap_edges", "gap_edges"}
 
 
 def cells(rows):

@@ -223,3 +223,66 @@ def test_cyclic_weights_need_the_copy():
     m, e = paths.all_pairs(4, np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([1.0, 2.0, 1.0]), np.ones(3))
     w = paths.cyclic_weights(nodes, m, e, 10)
     assert w[0, 1] == m[0, 1] + m[1, 3]
+
+
+def test_digest_of_overlapping_sites(spark):
+    d = lab.digest(frame(spark, [("l", "GACGACGACTT"), ("m", "TTGACGAC"), ("n", "AAAA"), ("e", "")], False), "GACGAC", 1).collect()
+    assert sorted((r.key, r.start, r.n) for r in d) == [("l", 0, 1), ("l", 1, 3), ("l", 4, 7), ("m", 0, 3), ("m", 3, 5), ("n", 0, 4)]
+
+
+def test_template_with_fewest_misprimings(spark):
+    rng_seq, noise = dna(400, 31), dna(200, 32)
+    bad = rng_seq + noise + rng_seq[:60]  # its first 60 bases prime again
+    al = spark.createDataFrame(
+        [("g", "bad", K.PCR, 100, 400, 0, 400, 1), ("g", "good", K.PCR, 100, 400, 0, 400, -1), ("g", "far", K.PCR, 900, 400, 0, 400, 1)],
+        "query_key string, subject_key string, atype string, a int, n int, sa int, sb int, direction int",
+    ).withColumn("length", F.lit(2000))
+    rc = rng_seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    stock = frame(spark, [("bad", bad), ("good", rc), ("far", dna(400, 33))], False)
+    regions = spark.createDataFrame([("g", K.PCR, 100, 500, 400, 2000), ("g", K.PCR, 700, 900, 200, 2000), ("g", K.PCR_LEFT, 80, 500, 420, 2000), ("g", K.PCR_RIGHT, 80, 500, 420, 2000)], "query_key string, mtype string, a int, b int, n int, length int")
+    got = {(r.mtype, r.a): (r.template, r.n_misprimings, r.n_templates) for r in score.template_misprimings(regions, al, stock).collect()}
+    want = S.amplicon_misprimings(rc, 0, 400, False)
+    assert want < S.amplicon_misprimings(bad, 0, 400, False)
+    assert got == {(K.PCR, 100): ("good", want, 2), (K.PCR_LEFT, 80): ("good", want, 2)}
+
+
+def test_misprimings_lower_the_efficiency_of_pcr_edges(spark):
+    s = dna(400, 41)
+    stock = frame(spark, [("t", s + dna(100, 42) + s[:40])], False)
+    al = spark.createDataFrame([("g", "t", K.PCR, 0, 400, 0, 400, 1)], "query_key string, subject_key string, atype string, a int, n int, sa int, sb int, direction int").withColumn("length", F.lit(1000))
+    groups = spark.createDataFrame([("g", K.PCR, 0, 400, 400, 1000, True), ("g", K.FRAGMENT, 0, 400, 400, 1000, True)], "query_key string, atype string, a int, b int, n int, length int, cyclic boolean")
+    edges = graph.internal_edges(groups)
+    got = {(r.mtype, round(r.efficiency, 12)) for r in score.score_misprimings(edges, al, stock).collect()}
+    n = S.amplicon_misprimings(s + dna(100, 42) + s[:40], 0, 400, False)
+    assert n > 0 and got == {(K.PCR, round(0.95 * 0.5**n, 12)), (K.FRAGMENT, 0.98)}
+    assert score.remove_inefficient(edges.withColumn("efficiency", F.lit(0.01))).count() == 0
+
+
+def test_plan_of_a_library(spark, table):
+    part = dna(600, 51)
+    goals = frame(spark, [("g1", dna(800, 52) + part + dna(900, 53)), ("g2", dna(700, 54) + part + dna(1100, 55))], True)
+    shared = library.shared_groups(goals)
+    assert {(r.query_key, r.n, r.n_clusters) for r in shared.collect()} == {("g1", 600, 2), ("g2", 600, 2)}
+    g1 = goals.filter("key = 'g1'").first().bases
+    g2 = goals.filter("key = 'g2'").first().bases
+    d = design(goals, frame(spark, [("a", g1[:800]), ("b", g1[1400:]), ("c", g2[:700]), ("d", g2[1300:])], False), table=table, library=True, partition=False)
+    costs = {r.material for r in d.edges.filter(F.col("mtype") == K.SHARED).select("material").distinct().collect()}
+    assert costs == {1000.0 / 2 / 2}
+    assert {r.query_key for r in d.assemblies.select("query_key").distinct().collect()} == {"g1", "g2"}
+
+
+def test_paths_from_a_source(spark):
+    rows = [("k", 0, 1, 100.0, 0.5), ("k", 1, 4, 100.0, 0.5), ("k", 0, 5, 200.0, 0.75), ("k", 5, 4, 10.0, 0.75), ("k", 8, 9, 1.0, 1.0)]
+    e = spark.createDataFrame(rows, "query_key string, src int, dst int, material double, efficiency double")
+    src = spark.createDataFrame([("k", 0)], "query_key string, source int")
+    got = {r.node: round(r.cost, 6) for r in paths.distances_from(e, src).collect()}
+    assert got == {0: 0.0, 1: 200.0, 5: round(200 / 0.75, 6), 4: round(210 / 0.5625, 6)}
+    assert {r.node for r in paths.distances_from(e, src, cutoff=250).collect()} == {0, 1}
+
+
+def test_items_first(spark):
+    from helixar.operators import frame as tidy
+
+    d = spark.createDataFrame([([1, 2, 3],), ([4],), ([],)], "x array<int>")
+    got = [r.y for r in d.select(tidy.prioritize(F.col("x"), F.array(F.lit(2), F.lit(0))).alias("y")).collect()]
+    assert got == [[3, 1, 2], [4], []]
