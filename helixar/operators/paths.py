@@ -170,27 +170,33 @@ def path_distances(edges: DataFrame, most: int = 3000) -> DataFrame:
         return np.full(len(i), key), nodes[i], nodes[j], m[i, j], e[i, j]
 
     def run(batches):
-        """Rows come by key; the last key of a batch waits for the next batch."""
-        rest = None
-        for batch in _then_none(batches):
-            new = [np.asarray(x) for x in batch.columns] if batch is not None else None
-            cols = new if rest is None else rest if new is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if cols is None or not len(cols[0]):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            stop = np.concatenate([start[1:], [len(cols[0])]])
-            ready = len(start) if batch is None else len(start) - 1
-            rest = [x[start[ready] :] for x in cols] if ready < len(start) else None
-            done = [solve(cols[0][a], *[x[a:b] for x in cols[1:]]) for a, b in zip(start[:ready], stop[:ready], strict=True)]
-            if done:
-                k, s, d, m, e = (np.concatenate(x) for x in zip(*done, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, s, d, m, e, m / e)], ["query_key", "src", "dst", "material", "efficiency", "cost"])
+        for done in _by_key(batches, solve):
+            k, s, d, m, e = done
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, s, d, m, e, m / e)], ["query_key", "src", "dst", "material", "efficiency", "cost"])
 
     keyed = edges.select("query_key", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("material").cast("double"), F.col("efficiency").cast("double"))
     kind = dict(keyed.dtypes)["query_key"]
     return keyed.repartition("query_key").sortWithinPartitions("query_key", "src", "dst").mapInArrow(run, f"query_key {kind}, src long, dst long, material double, efficiency double, cost double")
 
 
+def _by_key(batches, solve):
+    """Joined results of solve(key, *columns) for all keys that end in a batch. Rows come by key, the first column; the last
+    key of a batch waits for the next batch."""
+    rest = None
+    for batch in _then_none(batches):
+        new = [np.asarray(x) for x in batch.columns] if batch is not None else None
+        cols = new if rest is None else rest if new is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if cols is None or not len(cols[0]):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        stop = np.concatenate([start[1:], [len(cols[0])]])
+        ready = len(start) if batch is None else len(start) - 1
+        rest = [x[start[ready] :] for x in cols] if ready < len(start) else None
+        done = [solve(cols[0][a], *[x[a:b] for x in cols[1:]]) for a, b in zip(start[:ready], stop[:ready], strict=True)]
+        if done:
+            yield [np.concatenate(x) for x in zip(*done, strict=True)]
+
+
 def _then_none(batches):
     yield from batches
     yield None
@@ -238,27 +244,34 @@ def edit_steps(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
 
 def distances_from(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
     """Best paths from sources(query_key, source) of plain graphs edges(query_key, src, dst, material, efficiency) by a search
-    ordered by SUM / PROD: (query_key, source, node, material, efficiency, cost), to a cost of `cutoff` at most."""
-    kind, node = dict(edges.dtypes)["query_key"], dict(edges.dtypes)["src"]
-    schema = f"query_key {kind}, source {node}, node {node}, material double, efficiency double, cost double"
+    ordered by SUM / PROD: (query_key, source, node, material, efficiency, cost), to a cost of `cutoff` at most. Nodes are numbers."""
 
-    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        rows, out = e.sort_values(["src", "dst", "material"]), []
+    def solve(key, is_source, src, dst, material, efficiency):
         nearby: dict = {}
-        for a, b, m, f in zip(rows["src"], rows["dst"], rows["material"], rows["efficiency"], strict=True):
+        for a, b, m, f in zip(*(x[~is_source].tolist() for x in (src, dst, material, efficiency)), strict=True):
             nearby.setdefault(a, []).append((b, m, f))
-        for source in s["source"].drop_duplicates():
+        out = []
+        for source in src[is_source].tolist():
             queue, done = [(0.0, source, 0.0, 1.0)], set()
             while queue:
                 cost, at, m, f = heapq.heappop(queue)
                 if at in done or (cutoff is not None and cost > cutoff):
                     continue
                 done.add(at)
-                out.append((s["query_key"].iloc[0], source, at, m, f, cost))
+                out.append((source, at, m, f, cost))
                 for b, dm, df in nearby.get(at, ()):
                     if b not in done and f * df > 0:
                         heapq.heappush(queue, ((m + dm) / (f * df), b, m + dm, f * df))
-        return pd.DataFrame(out, columns=["query_key", "source", "node", "material", "efficiency", "cost"])
+        kinds = (np.int64, np.int64, np.float64, np.float64, np.float64)
+        columns = zip(*out, strict=True) if out else [()] * 5
+        return np.full(len(out), key), *(np.asarray(x, t) for x, t in zip(columns, kinds, strict=True))
 
-    e = edges.select("query_key", "src", "dst", F.col("material").cast("double"), F.col("efficiency").cast("double"))
-    return e.groupBy("query_key").cogroup(sources.select("query_key", "source").groupBy("query_key")).applyInPandas(run, schema)
+    def run(batches):
+        for done in _by_key(batches, solve):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["query_key", "source", "node", "material", "efficiency", "cost"])
+
+    e = edges.select("query_key", F.lit(False).alias("is_source"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("material").cast("double"), F.col("efficiency").cast("double"))
+    s = sources.select("query_key", F.lit(True).alias("is_source"), F.col("source").cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.0).alias("material"), F.lit(0.0).alias("efficiency")).distinct()
+    kind = dict(edges.dtypes)["query_key"]
+    ordered = e.unionByName(s).repartition("query_key").sortWithinPartitions("query_key", "src", "dst", "material")
+    return ordered.mapInArrow(run, f"query_key {kind}, source long, node long, material double, efficiency double, cost double")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixar import constants as K
+from helixar.functions import shared
 from helixar.operators import cost, expand, graph, library as lib, match, output, paths, score
 
 
 @dataclass
 class Design:
-    """Lazy frames of one run."""
+    """Frames of one run; alignments and edges are checkpointed, the rest is lazy."""
 
     goals: DataFrame
     alignments: DataFrame
@@ -55,7 +56,8 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
     aligned = match.to_regions(hits, K.PCR)
     if fragments is not None:
         aligned = aligned.unionByName(match.to_regions(match.whole_matches(goals, fragments.filter(~c("is_circular"))), K.FRAGMENT))
-    aligned = expand.dedup_alignments(aligned)
+    shared.folder(spark)
+    aligned = expand.dedup_alignments(aligned).checkpoint()  # read by every later step
     regions = aligned.groupBy("query_key", "atype", "a", "b", "n", "length", "cyclic").agg(F.min("subject_key").alias("subject_key"))
     groups = regions.filter(expand.size_ok(c("n"), c("atype"))).withColumn("gid", F.concat_ws("|", "query_key", "atype", "a", "b"))
     every = groups.select("query_key", "atype", "a", "b", "n", "length", "cyclic")
@@ -67,7 +69,7 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
             every = every.unionByName(expand.extension_products(p).select("query_key", "atype", "a", "b", "n", "length", F.lit(True).alias("cyclic")))
     together = None
     if library:
-        together = lib.shared_groups(goals)
+        together = lib.shared_groups(goals).checkpoint()
         every = every.unionByName(together.drop("n_clusters"))
     every = every.distinct()
     edges = graph.assembly_graph(every, table)
@@ -88,4 +90,5 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
         edges = edges.filter(c("cost") < float("inf"))
     if together is not None:
         edges = lib.discount_shared(edges, together)
+    edges = edges.checkpoint()  # read by the search and again by the steps
     return Design(goals, aligned, every, edges, paths.assemblies(edges, n_paths))
