@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixar.functions import shared
 from helixar.sources import params as P
 
 INF = float("inf")
@@ -43,13 +44,13 @@ def primer_model(spark: SparkSession, params: dict | None = None) -> DataFrame:
     modifier, time_cost = float(p["global_material_modifier"]), float(p["global_time_cost"])
     material = F.round((c("i_m") + c("j_m")) * modifier + 2 * days * time_cost, 9)
     pair = F.struct(material.alias("material"), c("i_ext").alias("left_ext"), c("j_ext").alias("right_ext"), days.alias("time"))
-    best = left.crossJoin(right).groupBy(c("i_e").alias("l"), c("j_e").alias("r"), (c("i_ext") + c("j_ext")).alias("ext")).agg(F.min(pair).alias("pair"))
+    best = left.coalesce(1).crossJoin(F.broadcast(right)).groupBy(c("i_e").alias("l"), c("j_e").alias("r"), (c("i_ext") + c("j_ext")).alias("ext")).agg(F.min(pair).alias("pair"))
     widest = int(max(r[p["primer_cost"]["columns"].index("max")] for r in p["primer_cost"]["data"]))
     low = int(p["_primer_min_span"])
     spans = spark.range(low, 2 * widest - low).select(c("id").cast("int").alias("span"))
     eff = F.broadcast(_bands(spark, p["primer_efficiency"], {"efficiency": "efficiency"}))
     last = int(max(r[1] for r in p["primer_efficiency"]["data"])) - 1
-    grid = best.crossJoin(spans).withColumn("x", F.least(F.greatest(c("ext") - c("span"), F.lit(0)), F.lit(last))).join(eff, "x")
+    grid = best.crossJoin(F.broadcast(spans)).withColumn("x", F.least(F.greatest(c("ext") - c("span"), F.lit(0)), F.lit(last))).join(eff, "x")
     cost = F.round(F.when(c("efficiency") > 0, c("pair.material") / c("efficiency")).otherwise(F.lit(INF)), 9)
     won = grid.groupBy("l", "r", "span").agg(F.min(F.struct(cost.alias("cost"), "efficiency", c("pair.left_ext").alias("left_ext"), c("pair.right_ext").alias("right_ext"), c("pair.material").alias("material"), c("pair.time").alias("time"))).alias("w"))
     w = won.select("l", "r", "span", "w.*")
@@ -79,9 +80,13 @@ def synthesis_model(spark: SparkSession, params: dict | None = None, primers: Da
 
 
 def span_cost(spark: SparkSession, params: dict | None = None, primers: DataFrame | None = None, synthesis: DataFrame | None = None) -> DataFrame:
-    """The cheaper model for every (l, r, span); primers win ties. Columns of the other model are null."""
+    """The cheaper model for every (l, r, span); primers win ties. Columns of the other model are null.
+
+    Both models' tables, a few thousand rows bounded by the parameters, are checkpointed: every lookup reads them again.
+    """
     c = F.col
-    primers = primers if primers is not None else primer_model(spark, params)
+    shared.folder(spark)
+    primers = primers if primers is not None else primer_model(spark, params).coalesce(1).checkpoint()
     synthesis = synthesis if synthesis is not None else synthesis_model(spark, params, primers)
     top = int(max(r[1] for r in (params or P.DEFAULTS)["synthesis_cost"]["data"])) - 1
     a = primers.select("l", "r", "span", *[c(x).alias(f"p_{x}") for x in ("cost", "efficiency", "material", "time")], "left_ext", "right_ext")
@@ -89,7 +94,7 @@ def span_cost(spark: SparkSession, params: dict | None = None, primers: DataFram
     d = a.join(b, ["l", "r", "span"], "full").filter(c("span") < top)
     primer = c("p_cost").isNotNull() & (c("s_cost").isNull() | (c("p_cost") <= c("s_cost")))
     pick = lambda x: F.when(primer, c(f"p_{x}")).otherwise(c(f"s_{x}")).alias(x)
-    return d.select("l", "r", "span", *[pick(x) for x in ("cost", "efficiency", "material", "time")], *[F.when(primer, c(x)).alias(x) for x in ("left_ext", "right_ext")], *[F.when(~primer, c(x)).alias(x) for x in ("size", "lshift")])
+    return d.select("l", "r", "span", *[pick(x) for x in ("cost", "efficiency", "material", "time")], *[F.when(primer, c(x)).alias(x) for x in ("left_ext", "right_ext")], *[F.when(~primer, c(x)).alias(x) for x in ("size", "lshift")]).coalesce(1).checkpoint()
 
 
 def span_cost_cached(spark: SparkSession, root: str, params: dict | None = None) -> DataFrame:
