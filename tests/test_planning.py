@@ -286,3 +286,12 @@ def test_items_first(spark):
     d = spark.createDataFrame([([1, 2, 3],), ([4],), ([],)], "x array<int>")
     got = [r.y for r in d.select(tidy.prioritize(F.col("x"), F.array(F.lit(2), F.lit(0))).alias("y")).collect()]
     assert got == [[3, 1, 2], [4], []]
+
+
+def test_tiles_around_a_circle(spark):
+    s = dna(230, 61) + "A" * 40
+    got = {(r["size"], r["start"]): round(r.complexity, 9) for r in score.tiled_complexity(frame(spark, [("k", s)], True), (100, 500), 100).collect()}
+    gc = {i: (s + s)[i : i + 100].count("G") + (s + s)[i : i + 100].count("C") for i in (0, 100, 200)}
+    assert set(got) == {(100, i) for i in gc}
+    assert all(got[100, i] >= round(abs(n - 50) * 17 / 25, 9) for i, n in gc.items())
+    assert got == {(100, i): round(S.Profile(s + s).cost(i, i + 100), 9) for i in gc}
