@@ -5,7 +5,10 @@ the shuffle) are divided by the site's page total. A page has few lines next to
 (mean lines a page) / ratio lines of a site can exceed the ratio. They go to the pages by a broadcast if all
 together they are few, else by a join on the site salted over `salts` values, so one hot site is spread.
 
-Cases: null text stays null; blank lines stay; the null site is a site of its own; repeated pages count each; sites with
+With distinct_pages, pages of a site with the same text count once (by two 64-bit hashes of it), so that copies of a page do not make
+its lines boilerplate; then a low ratio can be taken. A line on fewer than `least` pages always stays.
+
+Cases: null text stays null; blank lines stay; the null site is a site of its own; repeated pages count each unless distinct_pages; sites with
 fewer than min_pages pages lose nothing; a page may become empty and is kept; an empty table gives no rows; all
 columns are carried, and working columns take free names.
 """
@@ -22,21 +25,27 @@ def _lines(text: str) -> F.Column:
     return F.split(F.col(f"`{text}`"), "\n")
 
 
-def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.4, min_pages: int = 10) -> DataFrame:
+def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.4, min_pages: int = 10, distinct_pages: bool = False, least: int = 1) -> DataFrame:
     """(site, line hashes h1, h2, n pages with it, total pages of the site) for lines over the ratio."""
-    d = docs.select(F.col(f"`{site_col}`").cast("string").alias("site"), F.array_distinct(F.transform(_lines(text_col), F.trim)).alias("lines"))
+    site = F.col(f"`{site_col}`").cast("string").alias("site")
+    if distinct_pages:
+        text = F.col(f"`{text_col}`")
+        page = docs.select(site, text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+        docs, text_col = page.groupBy("site", "t1", "t2").agg(F.min("text").alias("text")), "text"
+        site = F.col("site")
+    d = docs.select(site, F.array_distinct(F.transform(_lines(text_col), F.trim)).alias("lines"))
     totals = d.groupBy("site").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_pages)
     each = d.select("site", F.explode("lines").alias("line")).filter("line <> ''").select("site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
     counts = each.groupBy("site", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     totals = totals.withColumnRenamed("site", "_site")
-    return counts.filter(F.col("n") > F.lit(ratio * min_pages)).join(totals, F.col("site").eqNullSafe(F.col("_site"))).filter(F.col("n") > F.lit(ratio) * F.col("total")).drop("_site")
+    return counts.filter((F.col("n") > F.lit(ratio * min_pages)) & (F.col("n") >= least)).join(totals, F.col("site").eqNullSafe(F.col("_site"))).filter(F.col("n") > F.lit(ratio) * F.col("total")).drop("_site")
 
 
-def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.4, min_pages: int = 10, few: int = 100_000, salts: int = 64) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.4, min_pages: int = 10, few: int = 100_000, salts: int = 64, distinct_pages: bool = False, least: int = 1) -> DataFrame:
     """docs with those lines removed from the text, and n_lines, n_dropped (input columns of these names give way)."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    bad = common.materialize(boilerplate(docs, site_col, text_col, ratio, min_pages), "boilerplate")
+    bad = common.materialize(boilerplate(docs, site_col, text_col, ratio, min_pages, distinct_pages, least), "boilerplate")
     per_site = bad.groupBy("site").agg(F.collect_set("h1").alias("h1"), F.collect_set(F.struct("h1", "h2")).alias("both"))  # few lines a site, see above
     made: list[str] = []
     for x in ("_site", "_h1", "_both", "_salt", "_keep", "_drop"):

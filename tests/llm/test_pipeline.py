@@ -34,3 +34,11 @@ def test_stages_return_their_columns(spark, tmp_path):
     spark.createDataFrame([(1, "q")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_lines_on_a_tenth_of_the_pages(spark, tmp_path):
+    """A line on 10 of 100 different pages goes; the lines of a page with 50 copies stay."""
+    rows = [(i, f"body {i}\nmenu" if i < 10 else f"body {i}", "en", "s", 6, "r") for i in range(100)]
+    rows += [(100 + i, "copied\npage", "en", "s", 11, "r") for i in range(50)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got[3] == ("body 3", 6) and got[50] == ("body 50", 6) and got[120] == ("copied\npage", 11) and len(got) == 150
