@@ -72,6 +72,16 @@ def repeated(x: np.ndarray) -> int:
     return int((np.unique(x, return_counts=True)[1] > 1).sum())
 
 
+def seconds(x: np.ndarray) -> np.ndarray:
+    """repeated(x[:m]) for every m from 0 to len(x): how many values have come a second time."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]]) if len(y) else np.zeros(0, bool)
+    second = np.zeros(len(x), np.int64)
+    second[order[1:][new[:-1] & ~new[1:]]] = 1
+    return np.concatenate([[0], np.cumsum(second)])
+
+
 class Profile:
     """Statistics of one sequence; slices follow the start of windows and hairpin k-mers and the end of repeat k-mers."""
 
@@ -105,6 +115,42 @@ class Profile:
         repeats, hairpins, base, gc, _, gc_part = self.parts(i, j)
         return repeats + hairpins + base + gc + gc_part
 
+    def prefix_costs(self, i: int, at: np.ndarray) -> np.ndarray:
+        """cost(i, x) of every x, by running counts."""
+        n, k = len(self.code), K.REPEAT_K - 1
+        x = np.minimum(at, n)
+        lo = max(i - k, 0)
+        own = self.repeat[lo : max(int(x.max()) - k, 0)]
+        repeats = seconds(own)[np.clip(np.maximum(x - k, 0) - lo, 0, len(own))]
+        f, r = self.fwd[i : int(x.max())], self.rev[i : int(x.max())]
+        m = np.clip(x - i, 0, len(f))
+        hairpins = seconds(np.stack([f, r], 1).ravel())[2 * m] - 2 * seconds(f)[m]
+        return repeats + hairpins + self._rest(np.full(len(x), i), x)
+
+    def suffix_costs(self, at: np.ndarray, j: int) -> np.ndarray:
+        """cost(x, j) of every x, by running counts from the right."""
+        j, k = min(j, len(self.code)), K.REPEAT_K - 1
+        i = int(at.min())
+        lo = max(i - k, 0)
+        own = self.repeat[lo : max(j - k, 0)]
+        repeats = seconds(own[::-1])[np.clip(len(own) - (np.maximum(at - k, 0) - lo), 0, len(own))]
+        f, r = self.fwd[i:j], self.rev[i:j]
+        m = np.clip(len(f) - (at - i), 0, len(f))
+        hairpins = seconds(np.stack([f, r], 1)[::-1].ravel())[2 * m] - 2 * seconds(f[::-1])[m]
+        return repeats + hairpins + self._rest(at, np.full(len(at), j))
+
+    def _rest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Base and GC windows and the GC cost of every [a, b)."""
+        if not hasattr(self, "_run"):
+            d = self.windows / K.STATS_WINDOW
+            gc = (self.windows[1] + self.windows[2]) / K.STATS_WINDOW
+            hot = (d > K.BASE_FRACTION).sum(0) + (gc > K.GC_FRACTION)
+            self._run, self._gc = np.concatenate([[0], np.cumsum(hot)]), self.sums[1] + self.sums[2]
+        run, total = self._run, self._gc
+        size = b - a
+        part = np.where(size > 0, np.abs(100.0 * (total[b] - total[a]) / np.maximum(size, 1) - 50) * 17 / 25, 0.0)
+        return run[np.minimum(b, len(run) - 1)] - run[np.minimum(a, len(run) - 1)] + part
+
 
 PARTS = "n_repeats long, n_hairpins long, n_base_windows long, n_gc_windows long, n_at_windows long, gc_cost double, complexity double"
 

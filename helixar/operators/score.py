@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,18 +39,18 @@ def tiled_complexity(sequences: DataFrame, sizes: tuple = (100, 500, 1000, 2000)
 
 def best_cut(p: S.Profile, i: int, j: int, step: int, overlap: int) -> tuple[int | None, float]:
     """The cut of [i, j) that leaves the least complexity on both sides (the right side starts `overlap` later)."""
-    best: tuple[int | None, float] = (None, float("inf"))
-    for x in range(i + step, j - overlap, step):
-        c = p.cost(i, x) + p.cost(x + overlap, j)
-        if c < best[1]:
-            best = (x, c)
-    return best
+    at = np.arange(i + step, j - overlap, step)
+    if not len(at):
+        return None, float("inf")
+    c = p.prefix_costs(i, at) + p.suffix_costs(at + overlap, j)
+    best = int(np.argmin(c))
+    return int(at[best]), float(c[best])
 
 
-def cuts_of(bases: str, cyclic: bool, threshold: float, step: int, overlap: int) -> list[int]:
-    """Cut points, coarse then fine, parts cut again while over the threshold; circles are searched from two origins."""
+def cuts_of(bases: str, cyclic: bool, threshold: float, step: int, overlap: int, again: int = 100) -> list[int]:
+    """Cut points, coarse then fine, parts cut again in steps of `again` while over the threshold; circles are searched from two origins."""
 
-    def search(p: S.Profile, i: int, j: int, out: list[int]) -> None:
+    def search(p: S.Profile, i: int, j: int, out: list[int], step: int = again) -> None:
         if j - i < 2 * step or p.cost(i, j) < threshold:
             return
         x, c = best_cut(p, i, j, step, overlap)
@@ -67,17 +68,17 @@ def cuts_of(bases: str, cyclic: bool, threshold: float, step: int, overlap: int)
             search(p, x, j, out)
 
     found: list[int] = []
-    search(S.Profile(bases), 0, len(bases), found)
+    search(S.Profile(bases), 0, len(bases), found, step)
     if cyclic and bases:
         half = len(bases) // 2
         more: list[int] = []
-        search(S.Profile(bases[half:] + bases[:half]), 0, len(bases), more)
+        search(S.Profile(bases[half:] + bases[:half]), 0, len(bases), more, step)
         found += [(x + half) % len(bases) for x in more]
     return sorted(set(found))
 
 
-def partition_points(sequences: DataFrame, threshold: float = K.COMPLEXITY_THRESHOLD, step: int = 100, overlap: int = K.PARTITION_OVERLAP) -> DataFrame:
-    """(key, cut) for sequences(key, bases, is_circular)."""
+def partition_points(sequences: DataFrame, threshold: float = K.COMPLEXITY_THRESHOLD, step: int = K.PARTITION_STEP, overlap: int = K.PARTITION_OVERLAP) -> DataFrame:
+    """(key, cut) for sequences(key, bases, is_circular); `step` is that of the first search."""
 
     @F.pandas_udf("array<int>")
     def run(s: pd.Series, c: pd.Series) -> pd.Series:

@@ -394,7 +394,7 @@ def misprimings(spark, sf):
 @query()
 def partition_points(spark, sf):
     d = bases(read(spark, sf, "documents"), "doc_id").withColumn("is_circular", F.lit(False))
-    return score.partition_points(d, step=500)
+    return score.partition_points(d)
 
 
 @query()

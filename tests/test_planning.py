@@ -295,3 +295,24 @@ def test_tiles_around_a_circle(spark):
     assert set(got) == {(100, i) for i in gc}
     assert all(got[100, i] >= round(abs(n - 50) * 17 / 25, 9) for i, n in gc.items())
     assert got == {(100, i): round(S.Profile(s + s).cost(i, i + 100), 9) for i in gc}
+
+
+def test_partition_points_of_short_documents(spark, tmp_path):
+    """The query cuts documents under 1,000 bases, on the grid of 10; running counts give the cost of every slice."""
+    import random
+
+    from helixar.functions import sequences as S
+    from helixar.plans import queries
+
+    rng = random.Random(4)
+    x = "".join(rng.choice("ACGT") for _ in range(200))
+    text = x + "".join(rng.choice("ACGT") for _ in range(100)) + x
+    p = S.Profile(text)
+    at = [*range(40, 460)]
+    assert p.prefix_costs(30, S.np.array(at)).tolist() == [p.cost(30, i) for i in at]
+    assert p.suffix_costs(S.np.array(at), 470).tolist() == [p.cost(i, 470) for i in at]
+    letters = text.translate(str.maketrans("CGT", "BCD"))
+    spark.createDataFrame([(1, letters)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cuts = [r.cut for r in queries.partition_points(spark, str(tmp_path)).collect()]
+    best = min(range(10, 470, 10), key=lambda i: p.cost(0, i) + p.cost(i + 30, 500))
+    assert best in cuts
