@@ -10,7 +10,7 @@ from helixar import constants as K
 from helixar.functions import sequences as S
 from helixar.functions import shared
 from helixar.operators import cost, expand, frame, lab, library, output, paths, score
-from helixar.plans.queries import _CHAIN, _DNA, _MOL, _PRIMER, _RX, _SPANS, _SYNTH, _chain, _reactions, bases, c, query, read, spans
+from helixar.plans.queries import _CHAIN, _DNA, _MOL, _PRIMER, _RX, _SPANS, _SYNTH, _chain, _reactions, all_links, bases, c, query, read, spans
 from helixar.sources import sequences as files
 
 _KEYED = f"d as (select doc_id::varchar as key, doc_id % 2 = 0 is_circular, {_DNA} s from documents)"
@@ -86,8 +86,17 @@ def sequence_scalars(spark, sf):
 @query("with recursive e as (select distinct o_custkey a, l_partkey b from orders join lineitem on o_orderkey = l_orderkey where l_quantity > 49 and l_discount > 0.08), g as (select 'c' || a || ':0:100' x, 'p' || b || ':' || a % 2 || ':100' y from e), u as (select x, y from g union select y, x from g), r(x, c) as (select distinct x, x from u union select u.y, r.c from r join u on r.x = u.x), m as (select x, min(c) c from r group by 1), k as (select x, c, split_part(x, ':', 1) q, cast(split_part(x, ':', 2) as int) a, cast(split_part(x, ':', 3) as int) b from m), bad as (select distinct c from k group by c, q having count(*) > 1) select q query_key, a, b, c component, count(*) over (partition by c) n_clusters from k where c not in (select c from bad)")
 def shared_clusters(spark, sf):
     e = read(spark, sf, "orders").join(read(spark, sf, "lineitem").filter("l_quantity > 49 and l_discount > 0.08"), c("o_orderkey") == c("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    d = e.select(F.concat(F.lit("c"), "o_custkey").alias("query_key"), F.lit(0).alias("a"), F.lit(100).alias("b"), F.concat(F.lit("p"), "l_partkey").alias("subject_key"), (c("o_custkey") % 2).cast("int").alias("sa"), F.lit(100).alias("sb"))
-    return library.clusters(d)
+    return library.clusters(_shared_regions(e))
+
+
+@query()
+def shared_clusters_all(spark, sf):
+    """shared_clusters over all order lines."""
+    return library.clusters(_shared_regions(all_links(spark, sf)))
+
+
+def _shared_regions(e):
+    return e.select(F.concat(F.lit("c"), "o_custkey").alias("query_key"), F.lit(0).alias("a"), F.lit(100).alias("b"), F.concat(F.lit("p"), "l_partkey").alias("subject_key"), (c("o_custkey") % 2).cast("int").alias("sa"), F.lit(100).alias("sb"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when l_returnflag = 'A' then l_extendedprice / l_linenumber / 2 else l_extendedprice end, 6) material, round(case when l_returnflag = 'A' then l_extendedprice / l_linenumber / 2 else l_extendedprice end / (1 - l_discount), 6) as cost from lineitem")

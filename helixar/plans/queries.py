@@ -309,6 +309,17 @@ def shared_components(spark, sf):
     return library.connected(e)
 
 
+def all_links(spark, sf):
+    """Every link of a customer and a part by an order line."""
+    return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+
+
+@query()
+def shared_components_all(spark, sf):
+    """shared_components over all order lines."""
+    return library.connected(all_links(spark, sf).select(c("o_custkey").alias("a"), (1_000_000_000 + c("l_partkey")).alias("b")))
+
+
 def _reactions(spark, sf):
     l = read(spark, sf, "lineitem")
     mol = lambda t, s: F.struct(F.lit(t).alias("mtype"), s.alias("seq"))

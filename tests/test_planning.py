@@ -316,3 +316,39 @@ def test_partition_points_of_short_documents(spark, tmp_path):
     cuts = [r.cut for r in queries.partition_points(spark, str(tmp_path)).collect()]
     best = min(range(10, 470, 10), key=lambda i: p.cost(0, i) + p.cost(i + 30, 500))
     assert best in cuts
+
+
+def test_shared_queries_over_all_lines(spark, tmp_path):
+    """Components and clusters of all order lines against union-find; no quantity or discount leaves a line out."""
+    import random
+
+    from helixar.plans import part_queries, queries
+
+    rng = random.Random(8)
+    pairs = [(rng.randrange(40), rng.randrange(60)) for _ in range(45)]
+    spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, b, 1.0, 0.0) for i, (_, b) in enumerate(pairs)], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def components(edges):
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {x: find(x) for x in root}
+
+    got = {r.node: r.component for r in queries.shared_components_all(spark, str(tmp_path)).collect()}
+    assert got == components([(a, 1_000_000_000 + b) for a, b in pairs])
+    by = components([(f"c{a}:0:100", f"p{b}:{a % 2}:100") for a, b in pairs])
+    parts = {}
+    for x, k in by.items():
+        parts.setdefault(k, []).append(x)
+    good = {k: v for k, v in parts.items() if len({x.split(":")[0] for x in v}) == len(v)}
+    rows = part_queries.shared_clusters_all(spark, str(tmp_path)).collect()
+    assert {(f"{r.query_key}:{r.a}:{r.b}", r.component, r.n_clusters) for r in rows} == {(x, k, len(v)) for k, v in good.items() for x in v}
+    assert good
