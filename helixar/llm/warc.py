@@ -51,13 +51,13 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers (lower-case names; the last of equals) and payload."""
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers (lower-case names, in source order, repeated ones too) and payload."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     first, *lines = head.decode("latin-1").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
+    return first, [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
 def _headers(fields: list[tuple[str, str]]) -> str:
@@ -68,7 +68,7 @@ def derive_one(source: str, uri: str, date: str, block: bytes) -> list[dict]:
     """The two derivatives of one response."""
     uri, date = " ".join(uri.split()), " ".join(date.split())
     status, http, payload = split_http(block)
-    kind = http.get("content-type", "text/html")
+    kind = dict(http).get("content-type", "text/html")
     charset = (re.search(r"charset=[\"']?([\w-]+)", kind, re.I) or [None, "utf-8"])[1]
     try:
         page = payload.decode(charset, "replace")
@@ -78,7 +78,7 @@ def derive_one(source: str, uri: str, date: str, block: bytes) -> list[dict]:
     text = (plain_text(page) if is_html else page).encode()
     title = " ".join(html.unescape(m[1]).split()) if is_html and (m := _TITLE.search(page)) else ""
     links = [next(x for x in m if x is not None) for m in (y.groups() for y in _LINK.finditer(page))] if is_html else []
-    fields = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("source-content-length", str(len(block))), ("http-status", status), *((f"http-header-{k}", v) for k, v in sorted(http.items())), ("charset", charset), ("title", title), ("text-length", str(len(text))), ("text-digest", digest(text)), *(("outlink", html.unescape(x)) for x in links)]
+    fields = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("source-content-length", str(len(block))), ("http-status", status), *((f"http-header-{k}", v) for k, v in http), ("charset", charset), ("title", title), ("text-length", str(len(text))), ("text-digest", digest(text)), *(("outlink", html.unescape(x)) for x in links)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
     out = []
     for what, mime, body in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", meta)):

@@ -324,3 +324,9 @@ def test_empty_tables(spark, docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_warc_repeated_headers():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/plain\r\nVia: x\r\nSet-Cookie: b=2\r\n\r\nhi"
+    meta = next(r for r in warc.derive_one("<urn:x>", "http://h", "d", block) if r["kind"] == "metadata")["block"].decode().split("\r\n")
+    assert [x for x in meta if x.startswith("http-header-")] == ["http-header-set-cookie: a=1", "http-header-content-type: text/plain", "http-header-via: x", "http-header-set-cookie: b=2"]
