@@ -229,8 +229,8 @@ def genbank_round_trip(spark, sf):
 
 @query()
 def tiled_complexity(spark, sf):
-    """Complexity of windows around the benchmark passages taken as circles."""
-    d = score.tiled_complexity(bases(read(spark, sf, "benchmark"), "item_id"), (100, 500), 100)
+    """Complexity of windows of every size around the documents taken as circles."""
+    d = score.tiled_complexity(bases(read(spark, sf, "documents"), "doc_id"))
     return d.select("key", "size", "start", F.round("complexity", 6).alias("complexity"))
 
 

@@ -352,3 +352,19 @@ def test_shared_queries_over_all_lines(spark, tmp_path):
     rows = part_queries.shared_clusters_all(spark, str(tmp_path)).collect()
     assert {(f"{r.query_key}:{r.a}:{r.b}", r.component, r.n_clusters) for r in rows} == {(x, k, len(v)) for k, v in good.items() for x in v}
     assert good
+
+
+def test_tiled_complexity_of_documents(spark, tmp_path):
+    """The query profiles documents in all four sizes."""
+    import random
+
+    from helixar.functions import sequences as S
+    from helixar.plans import part_queries
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("ABCD") for _ in range(2050))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    dna = text.translate(str.maketrans("BCD", "CGT"))
+    want = {(n, i): round(S.Profile(dna + dna).cost(i, i + n), 6) for n in (100, 500, 1000, 2000) for i in range(0, 2050, 100)}
+    got = {(r["size"], r["start"]): r.complexity for r in part_queries.tiled_complexity(spark, str(tmp_path)).collect()}
+    assert got == want
