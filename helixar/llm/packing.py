@@ -4,8 +4,8 @@
    to a few dimensions; the ranks of the coordinates on a grid give a Hilbert key.
 2. Keys alone (a few bytes a document) are range-sorted along the curve and get their place in the stream of all ids:
    a running sum in each partition plus the partitions' prefix sums.
-3. Ids meet their places by a hashed join, and each document is cut where the stream crosses a multiple of the
-   sequence length. Only the very last sequence can be short.
+3. Ids meet their places by a sort-merge join, which can spill, and each document is cut where the stream crosses a
+   multiple of the sequence length. Only the very last sequence can be short.
 
 Cases: null or empty text is the end id alone; null doc_id is kept, first among equal keys; repeated rows are packed
 each; equal keys are ordered by doc_id; an empty table gives no pieces; other columns are not read.
@@ -69,9 +69,13 @@ class Curve:
         ends = np.cumsum(sizes)
         for i in range(0, len(sizes), 1024):
             n = sizes[i : i + 1024]
-            part = ids[ends[i] - n[0] : ends[i + len(n) - 1]]
-            doc = np.repeat(np.arange(len(n)), n)
-            vec = np.bincount(doc * self.width + self.bucket[part], self.sign[part], len(n) * self.width).reshape(len(n), -1)
+            vec = np.zeros((len(n), self.width))
+            at, first = ends[i] - n[0], np.concatenate([[0], np.cumsum(n)])
+            for a in range(0, int(first[-1]), 1 << 20):  # bounded, however long the texts
+                part = ids[at + a : min(at + a + (1 << 20), at + int(first[-1]))]
+                doc = np.searchsorted(first, np.arange(a, a + len(part)), "right") - 1 if a else np.repeat(np.arange(len(n)), n)[: len(part)]
+                low, high = int(doc[0]), int(doc[-1]) + 1
+                vec[low:high] += np.bincount((doc - low) * self.width + self.bucket[part], self.sign[part], (high - low) * self.width).reshape(-1, self.width)
             norm = np.sqrt((vec * vec).sum(1, keepdims=True))
             z = (vec / np.where(norm > 0, norm, 1)) @ self.project
             u = np.interp(z, np.linspace(-6, 6, 4097), self.grid)
@@ -86,18 +90,13 @@ def encode_documents(docs: DataFrame, tokenizer: str | None, end_id: int, id_col
     def encode(batches):
         enc = wordtok.encoder(tokenizer)
         curve = Curve(max(enc.vocab_size, end_id + 1))
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                own = [enc.encode(x.as_py()) + end for x in part.column(2)]
-                sizes = np.asarray([len(p) // 4 for p in own], np.int64)
-                ids = np.frombuffer(b"".join(own), "<u4")
-                raw, step = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
-                cut = np.concatenate([[0], np.cumsum(sizes)]) * step
+            for part in wordtok.slices(batch, 2):
+                ids, sizes = enc.encode(part.column(2), end_id)
+                raw = pa.py_buffer(ids.astype(kind))
+                cut = pa.py_buffer((np.concatenate([[0], np.cumsum(sizes)]) * np.dtype(kind).itemsize).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes), pa.array(curve.keys(ids, sizes)), pa.array([raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())],
-                    ["uid", "doc_id", "n_tokens", "curve_key", "ids"],
+                    [part.column(0), part.column(1), pa.array(sizes), pa.array(curve.keys(ids, sizes)), pa.Array.from_buffers(pa.binary(), len(sizes), [None, cut, raw])], ["uid", "doc_id", "n_tokens", "curve_key", "ids"]
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -135,22 +134,22 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_
     places = stream_places(encoded)
 
     def cut(batches):
+        names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                rows: list[tuple] = []
-                for doc, raw, place in zip(part.column("doc_id").to_pylist(), part.column("ids"), part.column("place").to_pylist(), strict=True):
-                    ids = np.frombuffer(raw.as_buffer(), kind)
-                    wide, a = ids.astype("<u4"), 0
-                    while a < len(ids):
-                        sequence, offset = divmod(place + a, length)
-                        b = min(len(ids), a + length - offset)
-                        row = (doc, a, b - a, zlib.crc32(wide[a:b]), len(ids), sequence, offset)
-                        rows.append((*row, ids[a:b].tobytes()) if with_ids else row)
-                        a = b
-                names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
-                kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
-
-    joined = encoded.select("uid", "doc_id", "ids").join(places.hint("shuffle_hash"), "uid").drop("uid")
+            for part in wordtok.slices(batch, 1):
+                raws = [np.frombuffer(x.as_buffer(), kind) for x in part.column(1)]
+                sizes = np.asarray([len(x) for x in raws], np.int64)
+                place = part.column(2).to_numpy()
+                n = (place + sizes - 1) // length - place // length + 1  # pieces of each document, which is never empty
+                doc = np.repeat(np.arange(len(sizes)), n)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                sequence = place[doc] // length + nth
+                start = np.maximum(sequence * length - place[doc], 0)
+                stop = np.minimum((sequence + 1) * length - place[doc], sizes[doc])
+                pieces = [raws[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True)]
+                crc = [zlib.crc32(x.astype("<u4")) for x in pieces]
+                cols = [part.column(0).take(pa.array(doc)), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(sequence), pa.array(place[doc] + start - sequence * length)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array([x.tobytes() for x in pieces], pa.binary())] * with_ids, names)
+
+    joined = encoded.select("uid", "doc_id", "ids").join(places, "uid").drop("uid")
     return joined.mapInArrow(cut, PIECE + ", ids binary" * with_ids)

@@ -77,21 +77,18 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str | None = None,
 
         shard, files, enc = TaskContext.get().partitionId(), Files(root), wordtok.encoder(tokenizer)
         mark = uuid.uuid4().hex
-        end = np.asarray([end_id], "<u4").tobytes()
         names = [f"{x}-{shard:06d}.bin" for x in ("tokens", "offsets", "ids")]
         out, n_docs, n_tokens = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for part in (x for batch in batches for x in wordtok.slices(batch, 1)):
             if out is None:
                 out = [files.writer(f"{x}.{mark}") for x in names]
                 out[1].write(np.zeros(1, "<u8").tobytes())
-            parts = [enc.encode(x.as_py()) + end for x in batch.column(1)]
-            ends = n_tokens + np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
-            out[0].write(np.frombuffer(b"".join(parts), "<u4").astype(kind).tobytes())
+            ids, sizes = enc.encode(part.column(1), end_id)
+            ends = n_tokens + np.cumsum(sizes)
+            out[0].write(ids.astype(kind).tobytes())
             out[1].write(ends.astype("<u8").tobytes())
-            out[2].write(np.asarray(batch.column(0).fill_null(NO_ID), "<i8").tobytes())
-            n_docs, n_tokens = n_docs + batch.num_rows, int(ends[-1])
+            out[2].write(np.asarray(part.column(0).fill_null(NO_ID), "<i8").tobytes())
+            n_docs, n_tokens = n_docs + part.num_rows, int(ends[-1])
         if out is not None:
             for f, x in zip(out, names, strict=True):
                 f.close()
@@ -99,9 +96,9 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str | None = None,
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     mix = F.xxhash64("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))  # row: equal rows may part
     shards = sorted(
-        rows.repartitionByRange(common.partitions(spark), "id", mix).sortWithinPartitions("id", mix, "text").mapInArrow(write, "shard long, n_docs long, n_tokens long").collect()
+        rows.repartitionByRange(common.partitions(spark), "id", mix, "row").sortWithinPartitions("id", mix, "text").drop("row").mapInArrow(write, "shard long, n_docs long, n_tokens long").collect()
     )
     manifest: dict = {"type": kind, "end_id": end_id, "shards": []}
     docs_before = tokens_before = 0
