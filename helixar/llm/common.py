@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, written tables, prefix sums over partitions."""
+"""What the corpus operators share: the shared folder, written tables and who deletes them, prefix sums over partitions."""
 
 from __future__ import annotations
 
@@ -6,20 +6,53 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+class Working:
+    """The working tables written inside one `with` block, and by nobody else; release() deletes these alone.
+
+    A frame made in the block reads them, so release it after the frame has been written. A block that fails releases at
+    once. Outside of a block tables stay in the shared folder, whose owner empties it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Working":
+        self._outer = _working.set(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _working.reset(self._outer)
+        if kind:
+            self.release()
+
+    def release(self, but: str | None = None) -> None:
+        """Delete them (all but one)."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in [x for x in self.paths if x != but]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            self.paths.remove(name)
+
+
 _own_dir: str | None = None
-_written: list[str] = []
+_working: ContextVar[Working | None] = ContextVar("helixar_working", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, if no
+    executor runs elsewhere."""
     global _own_dir
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="helixar-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -28,12 +61,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted by release()."""
+    """A new path in the shared folder, deleted with the tables of the block that asks for it."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    note(path)
     return path
 
 
+def note(path: str) -> None:
+    """From now on the path belongs to the block around, if any."""
+    if (working := _working.get()) is not None:
+        working.paths.append(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -42,17 +81,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete tables written so far (or only these); frames that read them must have been consumed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_written if paths is None else paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-        if path in _written:
-            _written.remove(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """Partitions for a shuffle that must keep its number: the session's setting, sized to the input by its owner."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
