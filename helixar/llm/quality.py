@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every rule is a ratio of counts of a text; larger is worse. Labelled documents are the holdout: nothing is fitted to
-them. For each stratum and rule the strictest cutoff of a fixed grid is taken for which the holdout shows, with an
-exact binomial test, that at most alpha / rules of the stratum's good documents lie above it. A cutoff with x of n
-good documents above it passes if P(Binomial(n, alpha / rules) <= x) <= delta / (strata * rules * cutoffs) (Bonferroni
-over every test made), so with probability 1 - delta no stratum loses more than alpha of its good documents to
-the rules. A stratum with too few labels gets no cutoff, and its documents are kept.
+them. The rules share a path of levels, from lenient to strict: level i has the i-th cutoff of every rule's fixed grid, and a
+document goes at level i if any rule is over its cutoff there. What a level rejects is rejected at each stricter one, so a
+stratum's levels are tested from lenient to strict and the last one before the first failure is taken; such a sequence of
+tests needs no correction, only the strata do (Bonferroni). A level that rejects x of a stratum's n good documents passes if
+P(Binomial(n, alpha) <= x) <= delta / strata, so with probability 1 - delta no stratum loses more than alpha of its
+good documents to the rules. A stratum of too few labels (under 86 of four strata) gets no cutoff, and its documents are kept.
 
 Base rules (given, not learnt) come first: fewer than 50 words, or more than half of them in repeated windows.
 
@@ -32,6 +33,7 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", (0.2, 0.3, 0.4, 0.5, 0.6)),
 }
 ALPHA, DELTA = 0.05, 0.05
+MADE = ("counts", "base_failed", "kept")
 _WS = r"[ \\t-\\r]+"
 
 
@@ -100,24 +102,34 @@ def allowed(n, rate: float, bound):
     return F.aggregate(F.sequence(F.lit(1).cast("long"), most), state, more)["x"]
 
 
+def strictness(counts: str = "counts"):
+    """Column: how many levels, from the strictest, reject a text: the most cutoffs of one rule that it is over."""
+    return F.greatest(*[sum((F.when(_ratio(r, counts) > F.lit(g), 1).otherwise(0) for g in grid), F.lit(0)) for r, (_, _, grid) in RULES.items()])
+
+
 def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", counts: str = "counts", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """A row per stratum with labels: stratum and, for each rule, its cutoff (null: none passes)."""
+    """A row per stratum with labels: stratum and, for each rule, its cutoff (null: no level passes)."""
+    levels = min(len(grid) for _, _, grid in RULES.values())
     good = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_good")).filter("_good = 1").select("_id")
-    held = counted.filter(~base_failed(counts)).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), *[_ratio(r, counts).alias(r) for r in RULES]).join(good, "_id")
-    above = [F.sum((F.col(r) > F.lit(g)).cast("long")).alias(f"{r}_{i}") for r, (_, _, grid) in RULES.items() for i, g in enumerate(grid)]
-    per = common.materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above), "holdout")
-    tests = max(1, per.count()) * sum(len(grid) for _, _, grid in RULES.values())
-    per = per.withColumn("most", allowed(F.col("n"), alpha / len(RULES), F.lit(delta / tests)))
-    return per.select("stratum", *[F.coalesce(*[F.when(F.col(f"{r}_{i}") <= F.col("most"), F.lit(g)) for i, g in enumerate(grid)]).alias(r) for r, (_, _, grid) in RULES.items()])
+    held = counted.filter(~base_failed(counts)).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), strictness(counts).alias("over")).join(good, "_id")
+    lost = [F.sum((F.col("over") > i).cast("long")).alias(f"x{i}") for i in range(levels)]
+    per = common.materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *lost), "holdout")
+    per = per.withColumn("most", allowed(F.col("n"), alpha, F.lit(delta / max(1, per.count()))))
+    # x0 >= x1 >= ..., so the strictest level that passes is the end of the sequence
+    return per.select("stratum", *[F.coalesce(*[F.when(F.col(f"x{i}") <= F.col("most"), F.lit(grid[i])) for i in range(levels)]).alias(r) for r, (_, _, grid) in RULES.items()])
 
 
-def decide(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang", counts: str = "counts", most_strata: int = 10_000) -> DataFrame:
-    """`counted` with base_failed and kept. Cutoffs go along by broadcast up to most_strata strata, else by a join."""
-    key = common.free_name(counted.columns, "_stratum")
+def decide(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang", counts: str = "counts", most_strata: int = 10_000, salts: int = 64) -> DataFrame:
+    """`counted` with base_failed and kept. Cutoffs go along by broadcast up to most_strata strata, else by a salted join."""
+    key, salt, own = (common.free_name(counted.columns, x) for x in ("_stratum", "_salt", "_own_salt"))
     names = {r: common.free_name(counted.columns, f"_cut_{r}") for r in RULES}
     cut = cutoffs.select(F.col("stratum").alias(key), *[F.col(r).alias(x) for r, x in names.items()])
-    cut = F.broadcast(cut) if cut.limit(most_strata + 1).count() <= most_strata else cut
-    joined = counted.join(cut, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col(key)), "left")
+    same = F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col(key))
+    if cut.limit(most_strata + 1).count() <= most_strata:
+        joined = counted.join(F.broadcast(cut), same, "left")
+    else:
+        dealt = counted.withColumn(own, F.pmod(F.xxhash64(*[F.col(f"`{counts}`.{c}") for c in ("n_words", "word_chars")]), F.lit(salts)).cast("int"))
+        joined = dealt.join(cut.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col(own) == F.col(salt)), "left").drop(own, salt)
     bad = F.lit(False)
     for r, x in names.items():
         bad = bad | F.coalesce(_ratio(r, counts) > F.col(x), F.lit(False))
@@ -130,8 +142,8 @@ def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col:
 
     Columns of the input named counts, base_failed or kept give way to the results.
     """
-    counted = add_counts(docs.drop("counts", "base_failed", "kept"), text_col)
-    carry = [c for c in (carry or docs.columns) if c not in ("counts", "base_failed", "kept")]
+    counted = add_counts(docs.drop(*MADE), text_col)
+    carry = [c for c in (carry or docs.columns) if c not in MADE]
     counted = common.materialize(counted.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, stratum, "doc_id"])], "counts"), "quality")
     cutoffs = common.materialize(calibrate(counted, labels, stratum), "cutoffs")
     return decide(counted, cutoffs, stratum).select(*[F.col(f"`{c}`") for c in carry], "counts", "base_failed", "kept")
