@@ -1,33 +1,41 @@
 """Language-model scoring with a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
-Tokens: ASCII-lower-cased words and one end per text. The model predicts symbols: the end, the `top` most frequent
-training words, and `classes` classes of all other words by their last two bytes; a word's probability is its symbol's,
-times its add-one share in its class (one share is for a word not seen), so probabilities of all words sum to 1.
+Tokens: ASCII-lower-cased words and one end per text. Symbols: the end, every word that the training texts hold at least
+sqrt(N) / 4 times (N: their tokens, so the vocabulary grows with the corpus), and `classes` classes of all other words by their
+last two bytes; a word's probability is its symbol's, times its add-one share in its class (one share is for a word not
+seen), so the probabilities of all words sum to 1. Context: the last `context` symbols, each with a matrix of its own.
 
-  score(next v | previous u) = q_v . (C r_u) + b_v
+  h = sum over i of C_i r(u_i);   P(v) = softmax over bands (h . q_band + b) * softmax in v's band (h . q_v + b_v)
 
-Gathered from the corpus, over all training texts: the count of every word (pre-aggregated, then shuffled) and the count
-of every pair of symbols (at most M * M numbers, M = 1 + top + classes, whatever the corpus). Training follows the
-gradient of the NCE objective over that pair table, with the expectation over the noise (unigram) distribution taken
-exactly. One batched matrix product and a log-sum-exp then give the table of normalised log-probabilities.
-Words beyond the `head` most frequent ones (the bound of what is broadcast) meet their counts in a join.
+Symbols are dealt by frequency in about sqrt(M) bands of sqrt(M) symbols, so a normalised log-probability takes two short
+batched matrix products instead of one over the whole vocabulary.
+
+Training goes over all tokens of all training texts once, in `rounds` parts (by a hash of the text): a task takes the model of
+the round before, runs minibatches with sampled noise (unigram bands, then unigram symbols of the band) under Adagrad over
+its texts, and gives the rows it has touched, weighted by how often; the rows' weighted means are formed in a shuffle, and the
+driver gets one row per symbol.
+
+Counts: those of every word over all texts, in training and in all (pre-aggregated, then shuffled), stay in a table. The at
+most `head` words of the highest count in all are broadcast with their counts; other words, which are rare everywhere, so that no
+key is hot, meet their counts in a join.
 
 Cases: null or empty text is the end alone; a null id counts as the empty text in the fold rule; repeated rows are
-scored each; without training texts all counts are 0 and the model is uniform; other columns are not read.
+scored each; without training texts all counts are 0; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixar.llm import common
+from helixar.llm import common, wordtok
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -37,167 +45,306 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*text.encode().translate(_LOWER).split(), b""] if text else [b""]
 
 
-def train_nce(pairs: np.ndarray, dims: int = 48, noise: int = 25, steps: int = 250, rate: float = 0.05, seed: int = 3) -> np.ndarray:
-    """M x M table of natural-log probabilities (row: previous symbol) of the model fitted to pair counts."""
-    m = len(pairs)
-    rng = np.random.default_rng(seed)
-    total = max(1.0, float(pairs.sum()))
-    weight = (pairs / total).astype(np.float32)
-    q = (pairs.sum(0) + 1.0) / (pairs.sum() + m)
-    log_kq = np.log(noise * q).astype(np.float32)
-    from_u = weight.sum(1, keepdims=True)
-    against = from_u * np.float32(noise) * q.astype(np.float32)
-    p = {"r": rng.normal(0, 0.1, (m, dims)), "c": np.eye(dims), "q": rng.normal(0, 0.1, (m, dims)), "b": np.log(q)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    for t in range(1, steps + 1):
-        hidden = p["r"] @ p["c"]
-        x = hidden @ p["q"].T + (p["b"] - log_kq)
-        sure = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        g = weight * (1 - sure) - against * sure
-        d_hidden = g @ p["q"]
-        grads = {"r": d_hidden @ p["c"].T, "c": p["r"].T @ d_hidden, "q": g.T @ hidden, "b": g.sum(0)}
-        for k, d in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * d
-            second[k] = 0.99 * second[k] + 0.01 * d * d
-            p[k] += np.float32(rate * (1 - t / (steps + 1))) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
-    out = p["r"] @ p["c"] @ p["q"].T + p["b"]
-    out -= out.max(1, keepdims=True)
-    return out - np.log(np.exp(out).sum(1, keepdims=True))
+def tokenize(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The same for a batch: number of each token's word in the distinct words, these (the end is the last), and tokens a text."""
+    if not len(texts):
+        return np.empty(0, np.int64), pa.array([""]), np.empty(0, np.int64)
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    distinct = parts.flatten().dictionary_encode()
+    words, at = distinct.dictionary, distinct.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # at white space in front or behind
+        doc, at = doc[at != empty], at[at != empty]
+    n = np.bincount(doc, minlength=len(texts))
+    return np.insert(at, np.cumsum(n), len(words)).astype(np.int64), pa.concat_arrays([words, pa.array([""])]), n + 1
+
+
+def strings(words: pa.Array) -> list[str]:
+    """The words of tokenize(), which hold no space, as a list."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ")
 
 
 class Vocabulary:
-    """Head words with counts; symbols for all words. Bounded by `head` and `classes`."""
+    """Head words with their training counts, and a symbol for every word. Bounded by `head` and `classes`."""
 
-    def __init__(self, head: list[tuple[bytes, int]], top: int, classes: int):
-        """head: by falling count; the end is always symbol 0."""
+    def __init__(self, head: list[tuple[str, int]], top: int, classes: int, ends: int):
+        """head: by falling training count; the first `top` are symbols. The end is symbol 0."""
         self.top, self.classes = top, classes
-        words = [(w, c) for w, c in head if w]
-        self.index = {b"": 0} | {w: i + 1 for i, (w, _) in enumerate(words)}
-        self.count = np.asarray([next((c for w, c in head if not w), 0), *(c for _, c in words)], np.int64)
-        self.symbol = np.asarray([0, *(i + 1 if i < top else self.class_of(w) for i, (w, _) in enumerate(words))], np.int64)
+        self.index = {"": 0} | {w: i + 1 for i, (w, _) in enumerate(head)}
+        self.count = np.asarray([ends, *(c for _, c in head)], np.int64)
+        self.symbol = np.asarray([0, *(i + 1 if i < top else self.class_of(w) for i, (w, _) in enumerate(head))], np.int64)
         self.size = 1 + top + classes
 
-    def class_of(self, word: bytes) -> int:
-        return 1 + self.top + zlib.crc32(word[-2:]) % self.classes
+    def class_of(self, word: str) -> int:
+        return 1 + self.top + zlib.crc32(word.encode()[-2:]) % self.classes
 
-    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Head index (-1: not in the head), symbol of each token, and positions of those not in the head."""
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Head index (-1: not in the head) and symbol of each word."""
         get = self.index.get
-        at = np.asarray([get(w, -1) for w in tokens], np.int64)
+        at = np.asarray([get(w, -1) for w in words], np.int64)
         symbol = self.symbol[at]
         rest = np.flatnonzero(at < 0)
-        if len(rest):
-            symbol[rest] = [self.class_of(tokens[i]) for i in rest.tolist()]
-        return at, symbol, rest
+        symbol[rest] = [self.class_of(words[i]) for i in rest.tolist()]
+        return at, symbol
+
+
+def contexts(symbol: np.ndarray, n: np.ndarray, context: int) -> np.ndarray:
+    """The `context` symbols before each token, the last one first; the end stands for those before a text."""
+    out = np.zeros((len(symbol), context), np.int64)
+    within = np.arange(len(symbol)) - np.repeat(np.cumsum(n) - n, n)
+    for i in range(context):
+        out[i + 1 :, i] = symbol[: -i - 1]
+        out[within <= i, i] = 0
+    return out
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows for each of n numbers."""
+    d = rows.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(np.float32)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Model:
+    """Parameters by kind, a row each: 0 context vectors, 1 symbols (vector and bias), 2 bands (same), 3 rows of the matrices C."""
+
+    def __init__(self, unigram: np.ndarray, context: int = 2, dims: int = 32, noise: int = 16, seed: int = 3):
+        m = len(unigram)
+        self.context, self.dims, self.noise, self.band = context, dims, noise, int(np.ceil(np.sqrt(m)))
+        rng, own = np.random.default_rng(seed), (unigram + 1.0) / (unigram.sum() + m)
+        bands = np.add.reduceat(own, np.arange(0, m, self.band))
+        self.q_band, self.q = bands, own / bands[np.arange(m) // self.band]
+        start = lambda k, bias: np.concatenate([rng.normal(0, 0.05, (k, dims)), bias[:, None]], 1).astype(np.float32)
+        self.rows = [rng.normal(0, 0.1, (m, dims)).astype(np.float32), start(m, np.log(self.q)), start(len(bands), np.log(bands)), np.concatenate([np.eye(dims) / (i + 1) for i in range(context)]).astype(np.float32)]
+
+    def hidden(self, before: np.ndarray) -> np.ndarray:
+        d = self.dims
+        return sum((self.rows[0] @ self.rows[3][i * d : i * d + d])[before[:, i]] for i in range(self.context))
+
+    def log_probs(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural logs of the normalised probabilities."""
+        out = np.empty(len(symbol))
+        for a in range(0, len(symbol), 1 << 15):
+            v = symbol[a : a + (1 << 15)]
+            h = _with_one(self.hidden(before[a : a + (1 << 15)]))
+            band = v // self.band
+            x = h @ self.rows[2].T
+            got = x[np.arange(len(v)), band] - _log_sum(x)
+            order = np.argsort(band, kind="stable")
+            cut = np.searchsorted(band[order], np.arange(len(self.q_band) + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = order[cut[b] : cut[b + 1]]
+                x = h[own] @ self.rows[1][b * self.band : (b + 1) * self.band].T
+                got[own] += x[np.arange(len(own)), v[own] - b * self.band] - _log_sum(x)
+            out[a : a + len(v)] = got
+        return out
+
+    def start_training(self, seed: int, rate: float = 0.1) -> None:
+        self.rng, self.rate = np.random.default_rng(seed), np.float32(rate)
+        self.squares = [np.full_like(x, 1e-6) for x in self.rows]
+        self.weight = [np.zeros(len(x)) for x in self.rows]
+
+    def train(self, before: np.ndarray, v: np.ndarray) -> None:
+        """One minibatch."""
+        d, k, size = self.dims, self.noise, self.band
+        h = _with_one(self.hidden(before))
+        band = v // size
+        grads = [np.zeros_like(x) for x in self.rows]
+        dh = np.zeros_like(h)
+
+        def seen(kind: int, at: np.ndarray, log_noise: np.ndarray) -> None:
+            q = self.rows[kind][at]
+            g = (1 - _sigmoid((h * q).sum(1) - log_noise)).astype(np.float32)[:, None]
+            grads[kind] += _scatter(at, g * h, len(self.rows[kind]))
+            np.add(dh, g * q, out=dh)
+            self.weight[kind] += np.bincount(at, minlength=len(self.rows[kind]))
+
+        def unseen(kind: int, own, at: np.ndarray, log_noise: np.ndarray) -> None:
+            q, mine = self.rows[kind][at], h[own]
+            g = -_sigmoid(mine @ q.T - log_noise).astype(np.float32)
+            np.add.at(grads[kind], at, g.T @ mine)
+            dh[own] += g @ q
+            np.add.at(self.weight[kind], at, len(mine) / k)
+
+        seen(2, band, np.log(k * self.q_band[band]))
+        drawn = np.minimum(np.searchsorted(np.cumsum(self.q_band), self.rng.random(k)), len(self.q_band) - 1)
+        unseen(2, slice(None), drawn, np.log(k * self.q_band[drawn]))
+        seen(1, v, np.log(k * self.q[v]))
+        order = np.argsort(band, kind="stable")
+        cut = np.searchsorted(band[order], np.arange(len(self.q_band) + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            q = self.q[b * size : (b + 1) * size]
+            drawn = b * size + np.minimum(np.searchsorted(np.cumsum(q), self.rng.random(k)), len(q) - 1)
+            unseen(1, order[cut[b] : cut[b + 1]], drawn, np.log(k * self.q[drawn]))
+        dh = dh[:, :d]
+        for i in range(self.context):
+            c = slice(i * d, i * d + d)
+            grads[0] += _scatter(before[:, i], dh @ self.rows[3][c].T, len(self.rows[0]))
+            grads[3][c] = self.rows[0][before[:, i]].T @ dh
+            self.weight[0] += np.bincount(before[:, i], minlength=len(self.rows[0]))
+            self.weight[3][c] += len(v)
+        for x, g, s in zip(self.rows, grads, self.squares, strict=True):
+            s += g * g
+            x += self.rate * g / np.sqrt(s)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1, keepdims=True)
+    return (np.log(np.exp(x - top).sum(1, keepdims=True)) + top)[:, 0]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def word_counts(train: DataFrame, text_col: str, classes: int, flush: int = 200_000) -> DataFrame:
-    """(word, class, c) over all training texts; the end is the empty word."""
+def word_counts(docs: DataFrame, train: Column, text_col: str, classes: int) -> DataFrame:
+    """(word, class, c in training texts, a in all) over all texts; the end is the empty word."""
 
     def run(batches):
-        held: Counter = Counter()
-
-        def out():
-            words = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([zlib.crc32(w[-2:]) % classes for w in words], pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "class", "c"])
-
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens_of(text.as_py()))
-                if len(held) > flush:
-                    yield out()
-                    held = Counter()
-        if held:
-            yield out()
-
-    partial = train.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "word string, class long, c long")
-    return common.materialize(partial.groupBy("word", "class").agg(F.sum("c").alias("c")), "counts")
+            for part in wordtok.slices(batch, 0, 8 << 20, 65536):
+                at, words, n = tokenize(part.column(0))
+                learnt = np.repeat(np.asarray(part.column(1).fill_null(False).to_numpy(zero_copy_only=False), np.int64), n)
+                cls = [zlib.crc32(w.encode()[-2:]) % classes for w in strings(words)]
+                yield pa.RecordBatch.from_arrays([words, pa.array(cls, pa.int64()), pa.array(np.bincount(at, learnt, len(words)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(words)))], ["word", "class", "c", "a"])
+
+    partial = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), train.alias("learn")).mapInArrow(run, "word string, class long, c long, a long")
+    return common.materialize(partial.groupBy("word", "class").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "counts")
+
+
+def head_words(counts: DataFrame, head: int) -> list[tuple[str, int]]:
+    """(word, c) of at most `head` words: all with a count in all texts over a threshold, which a histogram of logs gives."""
+    bucket = F.floor(F.log2("a") * 8).cast("int")
+    least, total = None, 0
+    for b, n in sorted(counts.filter("word <> ''").groupBy(bucket.alias("b")).agg(F.count(F.lit(1))).collect(), reverse=True):  # some hundred rows
+        total += n
+        if total > head:
+            break
+        least = b
+    if least is None:
+        return []
+    got = counts.filter((F.col("word") != "") & (bucket >= least)).select("word", "c").toArrow()
+    return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+
+
+def train_round(learn: DataFrame, text_col: str, vocabulary, model: Model, seed: int, batch_tokens: int = 1 << 14) -> Model:
+    """The model after one pass of all tasks over `learn`: the weighted means of the rows they touched."""
+    held = learn.sparkSession.sparkContext.broadcast(model)
+    cols = [f"x{j}" for j in range(model.dims + 1)]
 
+    def run(batches):
+        import copy
 
-def pair_counts(train: DataFrame, text_col: str, vocabulary) -> np.ndarray:
-    """How often symbol v follows u in the training texts (the end precedes a text)."""
+        from pyspark import TaskContext
 
-    def run(batches):
-        v = vocabulary.value
-        held = np.zeros(v.size * v.size, np.int64)
+        own, voc = copy.deepcopy(held.value), vocabulary.value
+        own.start_training(seed + TaskContext.get().partitionId())
         some = False
         for batch in batches:
-            tokens: list[bytes] = [b""]
-            for text in batch.column(0):
-                tokens += tokens_of(text.as_py())
-                if len(tokens) > 500_000:
-                    _, s, _ = v.numbers(tokens)
-                    held += np.bincount(s[:-1] * v.size + s[1:], minlength=len(held))
-                    tokens = [b""]
-            if len(tokens) > 1:
-                _, s, _ = v.numbers(tokens)
-                held += np.bincount(s[:-1] * v.size + s[1:], minlength=len(held))
-            some = some or batch.num_rows > 0
-        if some:
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
-
-    partial = train.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "pair long, n long")
-    got = partial.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most M * M rows
-    m = vocabulary.value.size
-    out = np.zeros(m * m, np.int64)
-    out[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
-    return out.reshape(m, m)
-
-
-def score(docs: DataFrame, train: Column | None = None, top: int = 767, classes: int = 256, head: int = 150_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
-
-    train: which rows to learn from (default: those not held_out()).
-    """
-    spark = docs.sparkSession
-    train = ~held_out(id_col) if train is None else train
-    learn = docs.filter(train)
-    counts = word_counts(learn, text_col, classes)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heads = [(r[0].encode(), r[1]) for r in counts.select("word", "c").orderBy(F.desc("c"), "word").limit(head).collect()]
-    ends = counts.filter("word = ''").select("c").collect()
-    heads = [(w, c) for w, c in heads if w]
-    vocabulary = Vocabulary([(b"", ends[0][0] if ends else 0), *heads], top, classes)
+            for part in wordtok.slices(batch, 0):
+                at, words, n = tokenize(part.column(0))
+                symbol = voc.numbers(strings(words))[1][at]
+                before = contexts(symbol, n, own.context)
+                for a in range(0, len(symbol), batch_tokens):
+                    own.train(before[a : a + batch_tokens], symbol[a : a + batch_tokens])
+                    some = True
+        for kind, (x, w) in enumerate(zip(own.rows, own.weight, strict=True)):
+            row = np.flatnonzero(w) if some else np.empty(0, np.int64)
+            for i in range(0, len(row), 8192):
+                r = row[i : i + 8192]
+                wide = np.zeros((len(r), len(cols)))
+                wide[:, : x.shape[1]] = x[r] * w[r, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind, np.int32)), pa.array(r), pa.array(w[r]), *(pa.array(c) for c in wide.T.copy())], ["kind", "row", "w", *cols])
+
+    touched = learn.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "kind int, row long, w double, " + ", ".join(f"{c} double" for c in cols))
+    got = touched.groupBy("kind", "row").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in cols]).toArrow()  # a row per symbol, at most
+    kind, row, w = (got.column(c).to_numpy() for c in ("kind", "row", "w"))
+    wide = np.stack([got.column(c).to_numpy() for c in cols], 1) if len(w) else np.empty((0, len(cols)))
+    for i, x in enumerate(model.rows):
+        own = kind == i
+        x[row[own]] = wide[own][:, : x.shape[1]] / w[own, None]
+    held.destroy()
+    return model
+
+
+class Fitted(NamedTuple):
+    """What scoring needs: the counts of all words, N and V, and the bounded rest that is broadcast."""
+
+    counts: DataFrame
+    n: int
+    v: int
+    vocabulary: Vocabulary
+    model: Model
+    share: np.ndarray
+
+
+def learns(train: Column | None, id_col: str) -> Column:
+    return F.coalesce(~held_out(id_col) if train is None else train, F.lit(False))
+
+
+def fit(docs: DataFrame, train: Column | None = None, least_share: float = 0.25, classes: int = 256, head: int = 150_000, context: int = 2, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    """Counts, vocabulary and model of the texts to learn from (default: those not held_out())."""
+    train = learns(train, id_col)
+    counts = word_counts(docs, train, text_col, classes)
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
+    heads = head_words(counts, head)
+    top = sum(c >= max(1.0, least_share * n**0.5) for _, c in heads)
+    vocabulary = Vocabulary(heads, top, classes, ends)
     own_n, own_v = np.zeros(classes), np.zeros(classes)  # of each class, without the words that are symbols themselves
-    for k, a, b in counts.filter("word <> ''").groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
+    for k, a, b in counts.filter("word <> ''").groupBy("class").agg(F.sum("c"), F.count_if(F.col("c") > 0)).collect():
         own_n[k], own_v[k] = a, b
     for w, c in heads[:top]:
-        own_n[zlib.crc32(w[-2:]) % classes] -= c
-        own_v[zlib.crc32(w[-2:]) % classes] -= 1
+        own_n[zlib.crc32(w.encode()[-2:]) % classes] -= c
+        own_v[zlib.crc32(w.encode()[-2:]) % classes] -= 1
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    model = Model(np.concatenate([vocabulary.count[: 1 + top], own_n]), context)
+    for r in range(rounds):
+        part = F.pmod(F.xxhash64(F.lit("round"), F.col(f"`{text_col}`").cast("string")), F.lit(rounds)) == r
+        model = train_round(docs.filter(train & part), text_col, held, model, 1000 * r)
+    held.destroy()
+    return Fitted(counts, n, v, vocabulary, model, np.concatenate([np.zeros(1 + top), np.log10(own_n + own_v + 1)]))  # log10 of a class's shares
+
+
+def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", fitted: Fitted | None = None, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text, by what fit() learns
+    from the same documents, or by what it has learnt."""
+    spark, train = docs.sparkSession, learns(train, id_col)
+    counts, n, v, vocabulary, model, share = fitted or fit(docs, train, id_col=id_col, text_col=text_col, **options)
     held = spark.sparkContext.broadcast(vocabulary)
-    table = (train_nce(pair_counts(learn, text_col, held)) / np.log(10)).astype(np.float32)
-    share = np.concatenate([np.zeros(1 + top), np.log10(own_n + own_v + 1)])  # log10 of a class's shares
     known_score = np.log10(vocabulary.count + 1.0)
-    inner = np.where(vocabulary.symbol > top, known_score, 0.0)
-    model = spark.sparkContext.broadcast((table, share, known_score, inner))
+    inner = np.where(vocabulary.symbol > vocabulary.top, known_score, 0.0)
+    shared = spark.sparkContext.broadcast((model, share, known_score, inner))
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "rare"]
 
     def run(batches):
-        voc, (logp, shares, known, within) = held.value, model.value
+        voc, (model, shares, known, within) = held.value, shared.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for text in batch.column(3):
-                tokens = tokens_of(text.as_py())
-                at, symbol, rest = voc.numbers(tokens)
-                inside = at[at >= 0]
-                before = np.concatenate([[0], symbol[:-1]])
-                lm = float(logp[before, symbol].sum(dtype=np.float64)) - float(shares[symbol].sum()) + float(within[inside].sum())
-                row = (len(tokens), int((voc.count[inside] > 0).sum()), float(known[inside].sum()), lm, [tokens[i] for i in rest.tolist()])
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names)
+            for part in wordtok.slices(batch, 3):
+                at, words, n = tokenize(part.column(3))
+                head_at, symbol = voc.numbers(strings(words))
+                base = np.where(head_at >= 0, known[head_at], 0.0)
+                inside = np.where(head_at >= 0, within[head_at], 0.0) - shares[symbol]
+                seen = (head_at >= 0) & (voc.count[head_at] > 0)
+                first = np.cumsum(n) - n
+                s = symbol[at]
+                lm = model.log_probs(contexts(s, n, model.context), s) / np.log(10) + inside[at]
+                total = lambda x, first=first: pa.array(np.add.reduceat(x, first))
+                rare = head_at[at] < 0
+                cut = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), first))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), total(seen[at].astype(np.int64)), total(base[at]), total(lm), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), words.take(pa.array(at[rare])))], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), (~train).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = rows.select("uid", "doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("lm", "double").add("rare", T.ArrayType(T.StringType()))
     scored = common.materialize(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word")
+    rare = scored.select("uid", F.explode("rare").alias("word")).join(counts.filter("c > 0").select("word", "c"), "word")
     found = rare.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("_sum"), F.count(F.lit(1)).alias("_known"))
     whole = scored.drop("rare").join(found, "uid", "left")
     more = F.coalesce("_sum", F.lit(0.0))
