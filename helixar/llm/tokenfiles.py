@@ -56,6 +56,9 @@ class Files:
         with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as f:
             return f.read()
 
+    def stream(self, name: str):
+        return self.fs.open_input_stream(f"{self.root}/{name}", compression=None)
+
     def array(self, name: str, kind: str) -> np.ndarray:
         """The file as an array; mapped, not read, where the file is local."""
         if self.local:

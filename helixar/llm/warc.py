@@ -5,10 +5,14 @@ A response is (record_id, target_uri, date, block), block being the HTTP message
 - a `metadata` record (application/warc-fields): the source's headers, digests, charset, title, links and size of text.
 Both hold WARC-Refers-To with the response's id, its target URI and its date; their ids are name-based UUIDs of the
 response's id and the kind, so a second run writes the same records. Digests are sha1 in base 32, as usual in WARC.
-write_records() makes gzip members of whole records in the shared folder, one file a partition; read_records() reads them.
-
-Cases: a null block is an empty one (its records are made); a null record_id is treated as an empty id; HTML of another charset
-than UTF-8 is decoded with replacement; repeated responses give repeated records; an empty table gives none.
+Chunked transfers and gzip, deflate and zstd contents are undone before text is taken; what cannot be undone is taken as it is,
+and the metadata say so. HTML is read in one pass, linear in its length whatever it holds.
+write_records() makes gzip members of whole records in the shared folder, one file a partition, after a warcinfo record;
+read_records() streams such files, a record at a time, and its `response` rows can go to derive().
+
+Cases: a null block is an empty one (its records are made); a null record_id is treated as an empty id; text of another charset
+than the one named is decoded with replacement; repeated responses give repeated records, repeated headers are kept in source
+order; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,23 +21,28 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
+from typing import NamedTuple
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixar.llm.tokenfiles import Files
+from helixar.llm.wordtok import slices
 
 RECORD = "source_id string, record_id string, kind string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, headers string, block binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:helixar:warc")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|td|th|article|section|nav|header|footer|aside|main|pre|blockquote|form|title|body|html)\b[^>]*>|<!doctype[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")}
+_BLOCKS = frozenset("p div br hr li ul ol h1 h2 h3 h4 h5 h6 tr table td th article section nav header footer aside main pre blockquote form title body html".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -44,11 +53,97 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(10).join(names))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text of an HTML page: a line per block element, entities resolved, blank lines dropped."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
-    return "\n".join(x for x in lines if x)
+class Page(NamedTuple):
+    text: str
+    title: str
+    links: list[str]
+
+
+def read_page(page: str) -> Page:
+    """Visible text (a line per block element, entities resolved, blank lines dropped), title and link targets of HTML."""
+    out: list[str] = []
+    links: list[str] = []
+    title, in_head, at, closed, titled = "", False, 0, True, True
+    while True:
+        i = page.find("<", at)
+        if not in_head:
+            out.append(page[at:] if i < 0 else page[at:i])
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        name = _NAME.match(page, i + 1)
+        end = page.find(">", i) if closed and (name or page[i + 1 : i + 2] in ("!", "?")) else -1
+        if end < 0:  # no tag; without a > ahead, nothing after is one
+            closed = closed and not (name or page[i + 1 : i + 2] in ("!", "?"))
+            if not in_head:
+                out.append("<")
+            at = i + 1
+            continue
+        at, kind, opens = end + 1, name[1].lower() if name else "", page[i + 1] != "/"
+        if kind in _BLOCKS or not name:
+            out.append("\n")
+        if opens and kind in _SKIPPED:
+            stop = _SKIPPED[kind].search(page, at)
+            if stop is None:
+                break
+            at = stop.end()
+        elif opens and kind == "title" and titled:
+            stop = _TITLE_END.search(page, at)
+            titled = stop is not None
+            if stop:
+                title = title or " ".join(html.unescape(page[at : stop.start()]).split())
+                at = stop.end() if in_head else at
+        elif kind == "head":
+            in_head = opens
+        elif kind == "body":
+            in_head = False
+        elif opens and kind == "a":
+            m = _HREF.search(page, name.end(), end)
+            if m:
+                links.append(html.unescape(next(x for x in m.groups() if x is not None)))
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return Page("\n".join(x for x in lines if x), title, links)
+
+
+def _dechunk(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.index(b"\r\n", at)
+        size = int(data[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        if len(data) < end + 2 + size:
+            raise ValueError("a chunk is cut")
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _inflate(data: bytes) -> bytes:
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return zlib.decompress(data, -15)
+
+
+_UNDO = {"chunked": _dechunk, "gzip": gzip.decompress, "x-gzip": gzip.decompress, "deflate": _inflate, "zstd": lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x), "identity": bytes}
+
+
+def decoded(http: list[tuple[str, str]], payload: bytes) -> tuple[bytes, list[str]]:
+    """The payload without its transfer and content codings (the last one named is undone first), and those left in it."""
+    named = [[c.strip().lower() for k, v in http if k == field for c in v.split(",") if c.strip()] for field in ("content-encoding", "transfer-encoding")]
+    left = named[0] + named[1]
+    while left:
+        try:
+            payload = _UNDO[left[-1]](payload)
+        except (KeyError, ValueError, EOFError, OSError, zlib.error, zstandard.ZstdError):
+            break
+        left.pop()
+    return payload, left
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -68,23 +163,22 @@ def derive_one(source: str, uri: str, date: str, block: bytes) -> list[dict]:
     """The two derivatives of one response."""
     uri, date = " ".join(uri.split()), " ".join(date.split())
     status, http, payload = split_http(block)
-    kind = dict(http).get("content-type", "text/html")
+    kind = next((v for k, v in http if k == "content-type"), "text/html")
     charset = (re.search(r"charset=[\"']?([\w-]+)", kind, re.I) or [None, "utf-8"])[1]
+    body, left = decoded(http, payload)
     try:
-        page = payload.decode(charset, "replace")
+        page = body.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
-    is_html = "html" in kind
-    text = (plain_text(page) if is_html else page).encode()
-    title = " ".join(html.unescape(m[1]).split()) if is_html and (m := _TITLE.search(page)) else ""
-    links = [next(x for x in m if x is not None) for m in (y.groups() for y in _LINK.finditer(page))] if is_html else []
-    fields = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("source-content-length", str(len(block))), ("http-status", status), *((f"http-header-{k}", v) for k, v in http), ("charset", charset), ("title", title), ("text-length", str(len(text))), ("text-digest", digest(text)), *(("outlink", html.unescape(x)) for x in links)]
+        page = body.decode("utf-8", "replace")
+    found = read_page(page) if "html" in kind.lower() and not left else Page("" if left else page, "", [])
+    text = found.text.encode("utf-8", "replace")
+    fields = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("source-content-length", str(len(block))), ("http-status", status), *((f"http-header-{k}", v) for k, v in http), ("charset", charset), *(("undecoded", x) for x in left), ("title", found.title), ("text-length", str(len(text))), ("text-digest", digest(text)), *(("outlink", x) for x in found.links)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
     out = []
-    for what, mime, body in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", meta)):
+    for what, mime, made in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", meta)):
         own = record_id(source, what)
-        head = [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("Content-Type", mime), ("WARC-Block-Digest", digest(body)), ("WARC-Payload-Digest", digest(body)), ("Content-Length", str(len(body)))]
-        out.append(dict(zip(_NAMES, (source, own, what, source, uri, date, mime, len(body), digest(body), digest(body), _headers(head), body), strict=True)))
+        head = [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("WARC-Date", date), ("Content-Type", mime), ("WARC-Block-Digest", digest(made)), ("WARC-Payload-Digest", digest(made)), ("Content-Length", str(len(made)))]
+        out.append(dict(zip(_NAMES, (source, own, what, source, uri, date, mime, len(made), digest(made), digest(made), _headers(head), made), strict=True)))
     return out
 
 
@@ -109,8 +203,7 @@ def derive(responses: DataFrame, carry: list[str] | None = None, with_blocks: bo
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, len(carry) + 3, 8 << 20, 512):
                 ids, uris, dates, blocks = (part.column(c) for c in ("record_id", "target_uri", "date", "block"))
                 made = [r for a, u, d, b in zip(ids.to_pylist(), uris.to_pylist(), dates.to_pylist(), blocks, strict=True) for r in derive_one(a, u, d, b.as_py() or b"")]
                 if not with_blocks:
@@ -122,18 +215,25 @@ def derive(responses: DataFrame, carry: list[str] | None = None, with_blocks: bo
     return rows.mapInArrow(run, schema)
 
 
-def write_records(records: DataFrame, root: str) -> list[tuple[str, int]]:
-    """Write records (headers, block) as gzip members to `part-*.warc.gz` under root: file names and numbers of records."""
+def write_records(records: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> list[tuple[str, int]]:
+    """Write records (headers, block) as gzip members to `part-*.warc.gz` under root, after a warcinfo record of that date:
+    file names and numbers of records."""
     Files(root).mkdir()
 
     def run(batches):
         from pyspark import TaskContext
 
         files, name, n, out, mark = Files(root), f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0, None, uuid.uuid4().hex
+
+        def member(head: str, block: bytes) -> bytes:
+            return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", mtime=0)
+
         for batch in batches:
             for head, block in zip(batch.column(0), batch.column(1), strict=True):
-                out = out or files.writer(f"{name}.{mark}")
-                out.write(gzip.compress(head.as_py().encode() + b"\r\n" + (block.as_py() or b"") + b"\r\n\r\n", mtime=0))
+                if out is None:
+                    out, info = files.writer(f"{name}.{mark}"), b"software: helixar\r\nformat: WARC File Format 1.0\r\n"
+                    out.write(member(_headers([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, "warcinfo")), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", digest(info)), ("Content-Length", str(len(info)))]), info))
+                out.write(member(head.as_py(), block.as_py() or b""))
                 n += 1
         if out:
             out.close()
@@ -143,26 +243,52 @@ def write_records(records: DataFrame, root: str) -> list[tuple[str, int]]:
     return [tuple(r) for r in records.select("headers", "block").mapInArrow(run, "name string, n long").collect()]  # a row per partition
 
 
-def parse_records(data: bytes):
-    """(header fields, block) of every record of a WARC file's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def parse_records(stream):
+    """(header fields by lower-case name, block) of every record of a plain WARC byte stream, one at a time."""
+    while True:
+        line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            if line.strip():
+                raise ValueError(f"no WARC record begins with {line[:40]!r}")
+            continue
+        fields: dict[str, str] = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
+            raise ValueError(f"record {fields.get('warc-record-id')} is cut")
+        yield fields, block
+
 
+READ = "kind string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, block binary"
 
-def read_records(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """kind, record_id, refers_to, target_uri, block of the files' records; a task per file."""
+
+def read_records(spark: SparkSession, root: str, names: list[str], most: int = 16 << 20) -> DataFrame:
+    """READ's columns of the files' records, streamed in batches of about `most` bytes; a task per file, gzip or plain."""
+    keys = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest"]
+    cols = [x.split()[0] for x in READ.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], cols)
 
     def run(batches):
         files = Files(root)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = [(f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Refers-To"), f.get("WARC-Target-URI"), b) for f, b in parse_records(gzip.decompress(files.read(name)))]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["kind", "record_id", "refers_to", "target_uri", "block"])
-
-    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names))).mapInArrow(run, "kind string, record_id string, refers_to string, target_uri string, block binary")
+                rows, held = [], 0
+                with files.stream(name) as raw:
+                    plain = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if name.endswith(".gz") else io.BufferedReader(raw)
+                    for fields, block in parse_records(plain):
+                        rows.append((*map(fields.get, keys), block))
+                        held += len(block) + 512
+                        if held > most:
+                            yield made(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield made(rows)
+
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names))).mapInArrow(run, READ)
