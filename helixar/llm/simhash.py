@@ -135,11 +135,11 @@ def _bucket_edges(batches, radius: int):
 
 def link_edges(nodes: DataFrame, radius: int = 3, most: int = 16_384) -> DataFrame:
     """(a, b) edges, a < b, with the same components as all links among the distinct `fp` of nodes."""
-    masks = covering_masks(radius)
+    masks, most = covering_masks(radius), max(most, 2 << radius)  # so a larger bucket has more than radius + 1 free bits, to be cut
     keyed = nodes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"), F.lit(_signed(~m & (1 << 64) - 1)).alias("free")) for i, m in enumerate(masks)])).alias("x"), "fp").select(F.col("x.t").cast("long").alias("t"), "x.key", "x.free", "fp")
     keyed = common.materialize(keyed, "keyed")
     found = []
-    for depth in range(8):
+    while True:
         sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sizes = common.materialize(sizes, "sizes")
         live = keyed.join(sizes.filter(F.col("n") <= most).select("t", "key"), ["t", "key"], "left_semi")
@@ -153,10 +153,8 @@ def link_edges(nodes: DataFrame, radius: int = 3, most: int = 16_384) -> DataFra
         for m in {r[0] for r in keyed.select("free").distinct().collect()}:  # at most masks * (radius + 1) ** depth values
             own = [i for i in range(64) if (m >> i) & 1]
             parts = [sum(1 << i for i in own[j :: radius + 1]) for j in range(radius + 1)]
-            splits[m] = parts if len(own) > radius + 1 else []
+            splits[m] = parts
         rows = [(m, j, _signed(part), _signed((m & (1 << 64) - 1) & ~part)) for m, parts in splits.items() for j, part in enumerate(parts)]
-        if not rows:
-            break
         table = common.small_frame(nodes.sparkSession, rows, "free long, j long, part long, rest long")
         keyed = common.materialize(
             large.join(table, "free").select(F.xxhash64("t", "key", "j").alias("t"), F.xxhash64("t", "key", "j", F.col("fp").bitwiseAND(F.col("part"))).alias("key"), F.col("rest").alias("free"), "fp"), "keyed"
