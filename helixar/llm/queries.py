@@ -46,7 +46,7 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = chat.rotate(_read(spark, sf_dir, "conversations"))
     marks = F.array_join(F.transform("mask", lambda x: F.when(x, "1").otherwise("0")), "")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return r.select("conv_id", "perspective", "segment", "part", "n_messages", "n_repeats", "text", marks.alias("mask"), spans.alias("spans"))
+    return r.select("conv_id", "perspective", "chunk", "start", "n_messages", "text", marks.alias("mask"), spans.alias("spans"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _RULE_SQL = {r: f"coalesce(try_cast({a} as double) / nullif({b}, 0), 0.0)" for r, (a, b, _) in quality.RULES.items()}
-_N_TESTS = sum(len(g) for _, _, g in quality.RULES.values())
-_RATE = quality.ALPHA / len(quality.RULES)
+_LEVELS = range(min(len(g) for _, _, g in quality.RULES.values()))
+_OVER = ", ".join(" + ".join(f"cast(r_{r} > {g} as int)" for g in grid) for r, (_, _, grid) in quality.RULES.items())
 _OP4 = rf"""
 with d as (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 k as (select row_number() over () rid, *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from d),
@@ -83,33 +83,36 @@ c as (select rid, doc_id, lang, cast(len(w) as bigint) n_words, cast(length(rege
   from k left join cov using (rid)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {", ".join(f"{sql} r_{r}" for r, sql in _RULE_SQL.items())} from c),
 good as (select doc_id from labels group by doc_id having max(quality) = 1),
-per as (select lang, cast(count(*) as bigint) n, {", ".join(f"sum(cast(r_{r} > {g} as bigint)) {r}_{i}" for r, (_, _, grid) in quality.RULES.items() for i, g in enumerate(grid))} from f join good using (doc_id) where not base_failed group by lang),
-pmf as (select lang, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})) p from (select lang, n, unnest(range(0, cast(greatest(1, ceil(n * {_RATE})) as bigint) + 1)) i from per)),
+per as (select lang, cast(count(*) as bigint) n, {", ".join(f"cast(sum(cast(o > {i} as int)) as bigint) x{i}" for i in _LEVELS)} from (select lang, greatest({_OVER}) o from f join good using (doc_id) where not base_failed) group by lang),
+pmf as (select lang, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA})) p from (select lang, n, unnest(range(0, cast(greatest(1, ceil(n * {quality.ALPHA})) as bigint) + 1)) i from per)),
 cdf as (select lang, i, sum(p) over (partition by lang order by i) p from pmf),
-most as (select lang, coalesce(max(i) filter (where p <= {quality.DELTA} / ({_N_TESTS} * (select count(*) from per))), -1) x from cdf group by lang),
-cut as (select per.lang, {", ".join("coalesce(" + ", ".join(f"case when {r}_{i} <= x then {g} end" for i, g in enumerate(grid)) + f") c_{r}" for r, (_, _, grid) in quality.RULES.items())} from per join most on per.lang is not distinct from most.lang)
+most as (select lang, coalesce(max(i) filter (where p <= {quality.DELTA} / (select count(*) from per)), -1) x from cdf group by lang),
+cut as (select per.lang, {", ".join("coalesce(" + ", ".join(f"case when x{i} <= x then {grid[i]} end" for i in _LEVELS) + f") c_{r}" for r, (_, _, grid) in quality.RULES.items())} from per join most on per.lang is not distinct from most.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({" or ".join(f"coalesce(r_{r} > c_{r}, false)" for r in quality.RULES)}) kept
 from f left join cut on f.lang is not distinct from cut.lang
 """
 _OP7 = r"""
-with m as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') t, count(*) - 1 reps from conversations group by 1, 2, 3, 4),
+with m as (select conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\r\n]', ' ', 'g') as role, replace(coalesce(text, ''), '<|', '< |') t from conversations),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(t)) - 1 pos from m),
 who as (select distinct conv_id, role perspective from m where role <> 'system'),
-x as (select m.*, perspective, case when role = 'system' then '<|im_start|>system' when role = perspective then '<|im_start|>assistant' else '<|im_start|>user name=' || role end || chr(10) head from m join who on m.conv_id is not distinct from who.conv_id),
-y as (select *, cast(coalesce(sum(length(head) + length(t) + 11) over (partition by conv_id, perspective, floor(coalesce(turn, 0) / 256) order by turn nulls first, role, t rows between unbounded preceding and 1 preceding), 0) as bigint) + length(head) a from x)
-select conv_id, perspective, cast(floor(coalesce(turn, 0) / 256) as bigint) segment, cast(0 as bigint) part, count(*) n_messages, cast(sum(reps) as bigint) n_repeats,
-  string_agg(head || t || '<|im_end|>' || chr(10), '' order by turn nulls first, role, t) as text,
-  string_agg(case when role = perspective then '1' else '0' end, '' order by turn nulls first, role, t) mask,
-  coalesce(string_agg(a || '-' || (a + length(t)), ',' order by turn nulls first, role, t) filter (where role = perspective), '') spans
+x as (select o.*, perspective, case when role = 'system' then '<|im_start|>system' when role = perspective then '<|im_start|>assistant' else '<|im_start|>user name=' || role end || chr(10) head from o join who on o.conv_id is not distinct from who.conv_id),
+y as (select *, cast(coalesce(sum(length(head) + length(t) + 11) over (partition by conv_id, perspective order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) a from x)
+select conv_id, perspective, pos // 1024 as chunk, min(a) as start, count(*) n_messages,
+  string_agg(head || t || '<|im_end|>' || chr(10), '' order by pos) as text,
+  string_agg(case when role = perspective then '1' else '0' end, '' order by pos) mask,
+  coalesce(string_agg((a + length(head)) || '-' || (a + length(head) + length(t)), ',' order by pos) filter (where role = perspective), '') spans
 from y group by 1, 2, 3
 """
-_OP9 = r"""
-with d as (select row_number() over () rid, doc_id, source, text, string_split(text, chr(10)) ls from documents),
-tot as (select source, count(*) total from d group by 1 having count(*) >= 10),
-n as (select source, trim(l) l, count(distinct rid) n from (select rid, source, unnest(ls) l from d) where trim(l) <> '' group by 1, 2),
-bad as (select n.source, list(l) bad from n join tot on n.source is not distinct from tot.source where n > 0.4 * total group by 1)
+_BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+_OP9 = rf"""
+with d as (select doc_id, source, text, string_split(text, chr(10)) ls from documents),
+p as (select distinct source, text from documents),
+tot as (select source, count(*) total from p group by 1 having count(*) >= {line_dedup.MIN_PAGES}),
+n as (select source, l, count(*) n from (select distinct source, text, trim(l, {_BLANK}) l from (select source, text, unnest(string_split(text, chr(10))) l from p)) where l <> '' group by 1, 2),
+bad as (select n.source, list(l) bad from n join tot on n.source is not distinct from tot.source where n > cast({line_dedup.RATIO} as double) * total and n >= {line_dedup.LEAST} group by 1)
 select doc_id, d.source, cast(coalesce(len(ls), 0) as bigint) n_lines,
-  cast(coalesce(len(list_filter(ls, lambda l: list_contains(coalesce(bad, []), trim(l)))), 0) as bigint) n_dropped,
-  case when text is not null then md5(array_to_string(list_filter(ls, lambda l: not list_contains(coalesce(bad, []), trim(l))), chr(10))) end text_md5
+  cast(coalesce(len(list_filter(ls, lambda l: list_contains(coalesce(bad, []), trim(l, {_BLANK})))), 0) as bigint) n_dropped,
+  case when text is not null then md5(array_to_string(list_filter(ls, lambda l: not list_contains(coalesce(bad, []), trim(l, {_BLANK}))), chr(10))) end text_md5
 from d left join bad on d.source is not distinct from bad.source
 """
 

@@ -81,6 +81,16 @@ def test_packing(spark, docs, rows):
     assert np.concatenate([np.frombuffer(r.ids, "<u2") for r in big]).tolist() == ids_of(next(r[1] for r in rows if r[0] == 64))
 
 
+def test_stream_follows_the_curve(spark, docs, rows):
+    """Pieces by place give the documents by Hilbert key, then id."""
+    curve = packing.Curve(max(wordtok.encoder().vocab_size, 2))
+    key = {crc(ids): int(curve.keys(np.asarray(ids, np.int64), np.asarray([len(ids)]))[0]) for ids in (ids_of(r[1]) for r in rows)}
+    got = sorted(packing.pack(docs, length=100_000).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert len(got) == len(rows)
+    order = [(key[r.ids_crc32], r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and len({k for k, *_ in order}) > 40
+
+
 def test_hilbert_curve_steps_to_neighbours():
     g = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     order = g[np.argsort(packing.hilbert_keys(g, 3))]
@@ -231,18 +241,41 @@ def test_fingerprint_by_definition():
     assert simhash.fingerprint("a b") == xxhash.xxh64_intdigest(b"a b", 42) and simhash.fingerprint(None) == simhash.fingerprint(" ") == 0
 
 
+def brute_rotation(messages, per_chunk):
+    safe = lambda x, default: (default if x is None else x).replace("<|", "< |")
+    by_conv: dict = {}
+    for conv, turn, role, text in messages:
+        by_conv.setdefault(conv, []).append((turn is not None, turn or 0, safe(role, "unknown").replace("\n", " "), hashlib.md5(safe(text, "").encode()).hexdigest(), safe(text, "")))
+    out = Counter()
+    for conv, ms in by_conv.items():
+        ms.sort()
+        for who in {m[2] for m in ms} - {"system"}:
+            at, parts = 0, {}
+            for i, (_, _, role, _, text) in enumerate(ms):
+                head = "<|im_start|>system\n" if role == "system" else "<|im_start|>assistant\n" if role == who else f"<|im_start|>user name={role}\n"
+                p = parts.setdefault(i // per_chunk, [at, "", [], []])
+                p[1] += head + text + "<|im_end|>\n"
+                p[2].append(role == who)
+                if role == who:
+                    p[3].append((at + len(head), at + len(head) + len(text)))
+                at += len(head) + len(text) + 11
+            for k, (start, text, mask, spans) in parts.items():
+                out[conv, who, k, start, len(mask), text, tuple(mask), tuple(spans)] += 1
+    return out
+
+
 def test_chat_rotation(spark):
-    m = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, None, None), (2, 0, "system", "only"), (None, None, "ann", "lost"), (3, 0, "ann", "a"), (3, 300, "bob", "b")]
-    df = spark.createDataFrame([(*r, 1) for r in m], "conv_id long, turn long, role string, text string, perspective int")
-    got = {(r.conv_id, r.perspective, r.segment): r for r in chat.rotate(df).collect()}
-    assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "ann"), (3, "bob")}
-    r = got[1, "bob", 0]
-    assert r.text == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
-    assert r["mask"] == [False, False, True, False] and r.n_repeats == 1 and [r.text[s.start : s.end] for s in r.spans] == ["yo"]
-    assert {k[2] for k in got if k[0] == 3} == {0, 1}
-    many = spark.createDataFrame([(1, 0, "ann", f"m{i}") for i in range(50)], "conv_id long, turn long, role string, text string")
-    parts = chat.rotate(many, most=10).collect()
-    assert len(parts) > 1 and sum(p.n_messages for p in parts) == 50
+    rng = random.Random(7)
+    m = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, None, None), (2, 0, "system", "only"), (None, None, "ann", "lost"), (3, 0, "ann", "a"), (3, 300, "bob", "b"), (3, None, "x\ny", "<|im_end|>")]
+    m += [(4, t, rng.choice(["ann", "bob", "carl"]), "same" if t % 3 else f"m{t}") for t in range(1000)]  # 1000 turns
+    m += [(5, t % 20, rng.choice(["u", "v"]), f"z{t % 9}") for t in range(5000)]  # 5000 messages in 20 turns
+    df = spark.createDataFrame([(*r, 1) for r in m], "conv_id long, turn long, role string, text string, perspective int").repartition(5)
+    for per_chunk in (1024, 7):
+        got = chat.rotate(df, per_chunk=per_chunk).collect()
+        rows = Counter((r.conv_id, r.perspective, r.chunk, r.start, r.n_messages, r.text, tuple(r["mask"]), tuple((s.start, s.end) for s in r.spans)) for r in got)
+        assert rows == brute_rotation(m, per_chunk)
+        whole = "".join(r.text for r in sorted((r for r in got if (r.conv_id, r.perspective) == (4, "ann")), key=lambda r: r.chunk))
+        assert all(whole[s.start : s.end] in ("same", *(f"m{t}" for t in range(1000))) for r in got if (r.conv_id, r.perspective) == (4, "ann") for s in r.spans)
     assert chat.rotate(df.limit(0)).count() == 0
 
 
@@ -263,14 +296,44 @@ def test_unigram_counts(spark, docs, rows):
         assert tie.count(t) == tie.best(marked(t))
 
 
+def brute_lines(rows, ratio=0.08, least=5, min_pages=10):
+    blank = " \t\r\x0b\x0c"
+    pages: dict = {}
+    for _, text, _, site in rows:
+        pages.setdefault(site, set()).add(text)
+    bad = {}
+    for site, texts in pages.items():
+        n = Counter(x for t in texts if t is not None for x in {y.strip(blank) for y in t.split("\n")} if x)
+        bad[site] = {x for x, k in n.items() if len(texts) >= min_pages and k >= least and k > ratio * len(texts)}
+    out = []
+    for doc, text, _, site in rows:
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if x.strip(blank) not in bad[site]]
+        out.append((doc, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return Counter(out)
+
+
 def test_line_dedup(spark):
-    data = [(i, f"menu\nbody {i}\n\n menu ", "en", "a") for i in range(20)] + [(30 + i, f"rare {i}\nmenu", "en", "b") for i in range(3)] + [(50, None, "en", "a"), (51, "", "en", None)]
+    data = [(i, f"menu\nbody {i}\n\n\tmenu \r", "en", "a") for i in range(20)] + [(30 + i, f"rare {i}\nmenu", "en", "b") for i in range(3)] + [(50, None, "en", "a"), (51, "", "en", None)]
+    data += [(100 + i, f"page {i}" + "\nseldom" * (i < 8), "en", "c") for i in range(100)] + [(300 + i, "copied\npage", "en", "c") for i in range(60)] + [(400 + i, f"x {i}\nfoot", "en", None) for i in range(15)]
+    data += [(500, "\n".join(f"l{i}" for i in range(20_000)), "en", "d")] + [(501 + i, "\n".join(f"l{j}" for j in range(5000)) + f"\n{i}", "en", "d") for i in range(12)]  # long pages, 5000 lines to drop
+    want = brute_lines(data)
     for few in (100_000, 0):
-        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(frame(spark, data), few=few).collect()}
-        assert got[3] == ("body 3\n", 4, 2) and got[31] == ("rare 1\nmenu", 2, 0) and got[50] == (None, 0, 0) and got[51] == ("", 1, 0)
+        got = line_dedup.drop_boilerplate(frame(spark, data).repartition(3), few=few).collect()
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == want
+    assert {r.doc_id: r.text for r in got}[3] == "body 3\n" and ((300, "copied\npage", 2, 0) in want) and ((103, "page 3\nseldom", 2, 0) in want)
     assert line_dedup.drop_boilerplate(frame(spark, data).limit(0)).count() == 0
 
 
+def test_line_dedup_by_host(spark):
+    rows = [(i, f"https://www.Site{i % 2}.org/p{i}", f"text {i}\nnav {i % 2}", "crawl") for i in range(40)] + [(90 + i, u, f"text {i}\nnav 0", "other") for i, u in enumerate([None, "not a url", "http://"])]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, url_col="url").collect()}
+    assert got[4] == "text 4" and got[7] == "text 7" and got[90] == "text 0\nnav 0" and got[92] == "text 2\nnav 0"
+    sites = {r[0] for r in df.select(line_dedup.site_of("source", "url")).collect()}
+    assert sites == {"site0.org", "site1.org", "other"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = "<!DOCTYPE html><html><head><title>A &amp; B</title><script>x<y</script></head><body><p>One<b>two</b><br>three &lt;4<a href='/x?a=1&amp;b=2'>go</a></body></html>"
     pages = spark.createDataFrame([(1, "http://h/ä", html), (2, None, None), (1, "http://h/ä", html), (3, "http://h", "")], "page_id long, url string, html string")
@@ -282,33 +345,99 @@ def test_warc_round_trip(spark, tmp_path):
     meta = bytes(next(r for r in got if r.page_id == 1 and r.kind == "metadata").block).decode()
     assert "title: A & B\r\n" in meta and "outlink: /x?a=1&b=2\r\n" in meta and f"http-header-content-length: {len(html)}" in meta
     names = warc.write_records(made, f"file://{tmp_path}/w")
-    back = warc.read_records(spark, f"file://{tmp_path}/w", [n for n, _ in names]).collect()
+    back = warc.read_records(spark, f"file://{tmp_path}/w", [n for n, _ in names]).filter("kind <> 'warcinfo'").collect()
+    assert warc.read_records(spark, f"file://{tmp_path}/w", [n for n, _ in names]).filter("kind = 'warcinfo'").count() == len(names)
     key = lambda r: (r.kind, r.record_id, r.refers_to, r.target_uri, bytes(r.block))
     assert Counter(map(key, back)) == Counter(map(key, got))
 
 
+def plain_log10(fitted, tokens):
+    """Natural code for the sum of log10 probabilities of a text's words and end."""
+    voc, model, share = fitted.vocabulary, fitted.model, fitted.share
+    count = {w: int(voc.count[i]) for w, i in voc.index.items()}
+    total, last = 0.0, [0] * model.context
+    for w in [t.decode() for t in tokens]:
+        s = int(voc.symbol[voc.index[w]]) if w in voc.index else voc.class_of(w)
+        h = sum(model.rows[0][u] @ model.rows[3][i * model.dims : (i + 1) * model.dims] for i, u in enumerate(last))
+        band = s // model.band
+        for rows, own in ((model.rows[2], band), (model.rows[1][band * model.band : (band + 1) * model.band], s % model.band)):
+            x = rows[:, :-1] @ h + rows[:, -1]
+            total += float(x[own] - np.log(np.exp(x.astype(float)).sum())) / np.log(10)
+        if s > voc.top:
+            total += np.log10(count.get(w, 0) + 1) - share[s]
+        last = [s, *last[:-1]]
+    return total
+
+
 def test_lm_scores(spark, docs, rows):
-    got = lbl.score(docs, top=6, classes=4, head=9).collect()
     train = [r for r in rows if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 != 2]
     c = Counter(w for r in train for w in lbl.tokens_of(r[1]))
     n, v = sum(c.values()), len(c)
-    want = Counter((r[0], len(t := lbl.tokens_of(r[1])), sum(c[w] > 0 for w in t), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t), 4)) for r in rows)
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    nothing = lbl.score(docs, train=F.lit(False), top=6, classes=4, head=9).collect()
+    fitted = lbl.fit(docs, classes=4, least_share=5.0, head=1000)
+    assert 0 < fitted.vocabulary.top < v - 1 and (fitted.n, fitted.v) == (n, v)
+    got = lbl.score(docs, fitted=fitted).collect()
+    want = Counter((r[0], len(t := lbl.tokens_of(r[1])), sum(c[w] > 0 for w in t), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t), 4), round(plain_log10(fitted, t) / len(t), 3)) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score / r.n_tokens, 3)) for r in got) == want
+    few = lbl.score(docs, classes=4, head=9).collect()  # most words meet their counts in the join
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in few) == Counter(x[:5] for x in want.elements())
+    nothing = lbl.score(docs, train=F.lit(False), classes=4, head=9).collect()
     assert len(nothing) == len(rows) and all(r.held_out and r.n_known == 0 for r in nothing)
 
 
-def test_lm_learns_and_is_normalised():
+def test_lm_tokens(rows):
+    import pyarrow as pa
+
+    texts = pa.array([r[1] for r in rows])
+    at, words, n = lbl.tokenize(texts)
+    assert [lbl.strings(words)[i].encode() for i in at.tolist()] == [w for r in rows for w in lbl.tokens_of(r[1])] and n.sum() == len(at)
+    before = lbl.contexts(np.arange(1, 8), np.array([3, 1, 3]), 2)
+    assert before.tolist() == [[0, 0], [1, 0], [2, 1], [0, 0], [0, 0], [5, 0], [6, 5]]
+
+
+def test_lm_probabilities_sum_to_one(spark, docs, rows):
+    fitted = lbl.fit(docs, classes=4, least_share=5.0, head=1000)
+    voc, m = fitted.vocabulary, fitted.vocabulary.size
+    before = np.array([[u, w] for u in range(0, m, 2) for w in range(0, m, 3)])
+    p = np.exp(np.stack([fitted.model.log_probs(before, np.full(len(before), s)) for s in range(m)], 1))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    for k in range(1 + voc.top, m):  # the words of a class and one share for all others
+        own = [int(voc.count[i]) for w, i in voc.index.items() if voc.symbol[i] == k and voc.count[i]]
+        assert np.isclose(sum((x + 1) / 10 ** fitted.share[k] for x in own) + 1 / 10 ** fitted.share[k], 1)
+
+
+def test_lm_learns_from_two_words():
     rng = np.random.default_rng(1)
-    true = rng.dirichlet(np.full(12, 0.2), 12)
-    pairs = np.array([rng.multinomial(4000, p) for p in true])
-    table = lbl.train_nce(pairs, dims=12)
-    assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
-    q = pairs.sum(0) / pairs.sum()
-    assert (true * table).sum() > (true * np.log(q)[None]).sum() + 3
-    voc = lbl.Vocabulary([(b"", 5), (b"aa", 9), (b"bb", 7), (b"cc", 2)], 2, 3)
-    at, symbol, rest = voc.numbers([b"aa", b"cc", b"new", b""])
-    assert at.tolist() == [1, 3, -1, 0] and symbol[0] == 1 and symbol[3] == 0 and symbol[1] >= 3 and rest.tolist() == [2]
+    true = rng.dirichlet(np.full(12, 0.1), (12, 12))
+    s = [0, 1]
+    for _ in range(60_000):
+        s.append(int(rng.choice(12, p=true[s[-2], s[-1]])))
+    s = np.array(s)
+    before = lbl.contexts(s, np.array([len(s)]), 2)
+    model = lbl.Model(np.bincount(s[:50_000], minlength=12).astype(float), dims=16)
+    model.start_training(1)
+    for _ in range(6):
+        for a in range(0, 50_000, 512):
+            model.train(before[a : a + 512], s[a : a + 512])
+    q = np.bincount(s[:50_000], minlength=12) / 50_000
+    pair = np.full((12, 12), 1.0)
+    np.add.at(pair, (s[:49_999], s[1:50_000]), 1)
+    got, one = model.log_probs(before[50_000:], s[50_000:]).mean(), np.log(q[s[50_000:]]).mean()
+    two = np.log((pair / pair.sum(1, keepdims=True))[s[49_999:-1], s[50_000:]]).mean()
+    assert got > one + 0.2 and got > two  # better than the best model of one word of context
+
+
+def test_quality_tests_go_from_lenient_to_strict(spark):
+    rng = random.Random(3)
+    clean = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    marked = clean().replace(" w", " ## w")  # share of symbols about 0.27: over the four strictest cutoffs
+    data = [(i, clean(), "en", "s") for i in range(200)] + [(300 + i, marked, "en", "s") for i in range(30)] + [(500 + i, clean(), "de", "s") for i in range(60)] + [(600, marked, "de", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in [*range(200), *range(300, 330), *range(500, 560)]], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.assess(frame(spark, data), labels).collect()}
+    assert all(got.values())  # en: a stricter level would lose 30 of 230 good ones; de: 60 labels prove nothing
+    cut = {r.stratum: r for r in quality.calibrate(quality.add_counts(frame(spark, data)), labels).collect()}
+    assert cut["en"].symbols == 0.3 and cut["de"].symbols is None
+    joined = [sorted((r.doc_id, r.kept) for r in quality.decide(quality.add_counts(frame(spark, data)), quality.calibrate(quality.add_counts(frame(spark, data)), labels), most_strata=n).collect()) for n in (0, 10)]
+    assert joined[0] == joined[1]
 
 
 def test_empty_tables(spark, docs):
@@ -317,7 +446,7 @@ def test_empty_tables(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     root = common.new_path(spark, "none")
     tokenfiles.write_token_files(none, root)
-    frames = [packing.pack(none), decontam.find_contamination(none, bench), tokenfiles.read_token_files(spark, root), quality.assess(none, labels), lbl.score(none, top=5, classes=3), simhash.near_duplicates(none), unigram_count.count_tokens(none), warc.derive(warc.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string")))]
+    frames = [packing.pack(none), decontam.find_contamination(none, bench), tokenfiles.read_token_files(spark, root), quality.assess(none, labels), lbl.score(none, classes=3), simhash.near_duplicates(none), unigram_count.count_tokens(none), warc.derive(warc.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string")))]
     assert [f.count() for f in frames] == [0] * len(frames)
     assert decontam.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
@@ -330,3 +459,59 @@ def test_warc_repeated_headers():
     block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/plain\r\nVia: x\r\nSet-Cookie: b=2\r\n\r\nhi"
     meta = next(r for r in warc.derive_one("<urn:x>", "http://h", "d", block) if r["kind"] == "metadata")["block"].decode().split("\r\n")
     assert [x for x in meta if x.startswith("http-header-")] == ["http-header-set-cookie: a=1", "http-header-content-type: text/plain", "http-header-via: x", "http-header-set-cookie: b=2"]
+
+
+def test_decontamination_is_linear_in_repetitive_texts():
+    import time
+
+    block = decontam.Block([("a", [b"w"] * 8000), ("b", [b"w"] * 3)], 10, 5)
+    began = time.process_time()
+    mask, found = block.hits(np.zeros(100_000, np.int64))
+    assert mask.all() and found == {0, 1} and time.process_time() - began < 2
+
+
+def test_warc_codings():
+    import gzip
+
+    page = "<p>ünï</p><p>two</p>".encode()
+    zipped = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(zipped[i : i + 7]), zipped[i : i + 7]) for i in range(0, len(zipped), 7)) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
+    text, meta = warc.derive_one("<urn:x>", "http://h", "2020-01-01T00:00:00Z", block)
+    assert text["block"].decode() == "ünï\ntwo" and "undecoded" not in meta["block"].decode()
+    for field in ("WARC-Refers-To: <urn:x>", "WARC-Refers-To-Target-URI: http://h", "WARC-Refers-To-Date: 2020-01-01T00:00:00Z"):
+        assert field in text["headers"] and field in meta["headers"]
+    broken = warc.derive_one("<urn:x>", "http://h", "", block.replace(b"gzip", b"br"))
+    assert broken[0]["block"] == b"" and "undecoded: br" in broken[1]["block"].decode()
+
+
+@pytest.mark.parametrize("part", ["<a ", "<title ", "<!-- ", "</script", "<a href='", "<", "<script>", "<title>", "&amp", "<p>"])
+def test_warc_odd_html_is_linear(part):
+    import time
+
+    began = time.process_time()
+    warc.read_page(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 3
+
+
+def test_warc_in_warc_out(spark, tmp_path):
+    """Responses in files, read as a stream, derived, written and read again: links and digests hold."""
+    pages = [(i, f"http://h{i % 3}/p{i}", f"<title>t{i}</title><p>text {i}<a href=/q{i}>x</a>" + "<p>long</p>" * (i * 50)) for i in range(40)]
+    made = warc.responses_of_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), date="2021-02-03T04:05:06Z").repartition(3)
+    rows = made.collect()
+    head = lambda r: warc._headers([("WARC-Type", "response"), ("WARC-Record-ID", r.record_id), ("WARC-Target-URI", r.target_uri), ("WARC-Date", r.date), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(r.block)))])
+    names = warc.write_records(spark.createDataFrame([(head(r), bytes(r.block)) for r in rows], "headers string, block binary").repartition(3), f"file://{tmp_path}/in")
+    read = warc.read_records(spark, f"file://{tmp_path}/in", [n for n, _ in names], most=4096).filter("kind = 'response'")
+    derived = warc.derive(read)
+    out = warc.write_records(derived, f"file://{tmp_path}/out")
+    back = warc.read_records(spark, f"file://{tmp_path}/out", [n for n, _ in out]).filter("kind <> 'warcinfo'").collect()
+    want = Counter()
+    for r in rows:
+        i = int(r.target_uri.rsplit("p", 1)[1])
+        text = "\n".join([f"t{i}", f"text {i}x", *["long"] * (i * 50)]).encode()
+        want["conversion", r.record_id, r.target_uri, r.date, warc.digest(text)] += 1
+        want["metadata", r.record_id, r.target_uri, r.date, None] += 1
+    assert Counter((r.kind, r.refers_to, r.target_uri, r.date, r.block_digest if r.kind == "conversion" else None) for r in back) == want
+    assert all(r.block_digest == warc.digest(bytes(r.block)) for r in back)
+    meta = next(bytes(r.block).decode() for r in back if r.kind == "metadata" and r.target_uri.endswith("p7"))
+    assert "title: t7\r\n" in meta and "outlink: /q7\r\n" in meta
