@@ -99,10 +99,15 @@ def contexts(symbol: np.ndarray, n: np.ndarray, context: int) -> np.ndarray:
     return out
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows for each of n numbers."""
-    d = rows.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(np.float32)
+def _order(at: np.ndarray, m: int) -> np.ndarray:
+    """The stable order of numbers below m; sorting 16-bit numbers is a fast radix sort."""
+    return np.argsort(at.astype(np.uint16) if m <= 1 << 16 else at, kind="stable")
+
+
+def _add_runs(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to out at its number; the numbers ascend."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first]] += np.add.reduceat(rows, first, axis=0)
 
 
 def _with_one(h: np.ndarray) -> np.ndarray:
@@ -110,7 +115,11 @@ def _with_one(h: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -121,7 +130,7 @@ class Model:
         self.context, self.dims, self.noise, self.band = context, dims, noise, int(np.ceil(np.sqrt(m)))
         rng, own = np.random.default_rng(seed), (unigram + 1.0) / (unigram.sum() + m)
         bands = np.add.reduceat(own, np.arange(0, m, self.band))
-        self.q_band, self.q = bands, own / bands[np.arange(m) // self.band]
+        self.q_band, self.q = bands.astype(np.float32), (own / bands[np.arange(m) // self.band]).astype(np.float32)
         start = lambda k, bias: np.concatenate([rng.normal(0, 0.05, (k, dims)), bias[:, None]], 1).astype(np.float32)
         self.rows = [rng.normal(0, 0.1, (m, dims)).astype(np.float32), start(m, np.log(self.q)), start(len(bands), np.log(bands)), np.concatenate([np.eye(dims) / (i + 1) for i in range(context)]).astype(np.float32)]
 
@@ -132,19 +141,17 @@ class Model:
     def log_probs(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural logs of the normalised probabilities."""
         out = np.empty(len(symbol))
-        for a in range(0, len(symbol), 1 << 15):
-            v = symbol[a : a + (1 << 15)]
-            h = _with_one(self.hidden(before[a : a + (1 << 15)]))
+        for a in range(0, len(symbol), 1 << 14):
+            order = _order(symbol[a : a + (1 << 14)], len(self.q))
+            v = symbol[a : a + (1 << 14)][order]
+            h = _with_one(self.hidden(before[a : a + (1 << 14)][order]))
             band = v // self.band
-            x = h @ self.rows[2].T
-            got = x[np.arange(len(v)), band] - _log_sum(x)
-            order = np.argsort(band, kind="stable")
-            cut = np.searchsorted(band[order], np.arange(len(self.q_band) + 1))
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[b] : cut[b + 1]]
-                x = h[own] @ self.rows[1][b * self.band : (b + 1) * self.band].T
-                got[own] += x[np.arange(len(own)), v[own] - b * self.band] - _log_sum(x)
-            out[a : a + len(v)] = got
+            got = _log_share(h @ self.rows[2].T, band)
+            cut = np.searchsorted(band, np.arange(len(self.q_band) + 1)).tolist()
+            for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if j > i:
+                    got[i:j] += _log_share(h[i:j] @ self.rows[1][b * self.band : (b + 1) * self.band].T, v[i:j] - b * self.band)
+            out[a + order] = got
         return out
 
     def start_training(self, seed: int, rate: float = 0.1) -> None:
@@ -153,52 +160,58 @@ class Model:
         self.weight = [np.zeros(len(x)) for x in self.rows]
 
     def train(self, before: np.ndarray, v: np.ndarray) -> None:
-        """One minibatch."""
-        d, k, size = self.dims, self.noise, self.band
-        h = _with_one(self.hidden(before))
-        band = v // size
-        grads = [np.zeros_like(x) for x in self.rows]
-        dh = np.zeros_like(h)
-
-        def seen(kind: int, at: np.ndarray, log_noise: np.ndarray) -> None:
-            q = self.rows[kind][at]
-            g = (1 - _sigmoid((h * q).sum(1) - log_noise)).astype(np.float32)[:, None]
-            grads[kind] += _scatter(at, g * h, len(self.rows[kind]))
-            np.add(dh, g * q, out=dh)
-            self.weight[kind] += np.bincount(at, minlength=len(self.rows[kind]))
-
-        def unseen(kind: int, own, at: np.ndarray, log_noise: np.ndarray) -> None:
-            q, mine = self.rows[kind][at], h[own]
-            g = -_sigmoid(mine @ q.T - log_noise).astype(np.float32)
-            np.add.at(grads[kind], at, g.T @ mine)
-            dh[own] += g @ q
+        """One minibatch, in the order of the symbols, so that those of one symbol or band are a slice."""
+        d, k, size, m = self.dims, self.noise, self.band, len(self.q)
+        order = _order(v, m)
+        v, before = v[order], before[order]
+        h, band = _with_one(self.hidden(before)), v // size
+        grads, dh = [np.zeros_like(x) for x in self.rows], np.zeros_like(h)
+
+        def seen(kind: int, at: np.ndarray, q: np.ndarray) -> None:
+            x = self.rows[kind][at]
+            g = 1 - _sigmoid(np.einsum("ij,ij->i", h, x) - np.log(k * q[at]))
+            _add_runs(grads[kind], at, g[:, None] * h)
+            x *= g[:, None]
+            np.add(dh, x, out=dh)
+            self.weight[kind] += np.bincount(at, minlength=len(q))
+
+        def unseen(kind: int, own: slice, first: int, q: np.ndarray) -> None:
+            at = first + np.minimum(np.searchsorted(np.cumsum(q), self.rng.random(k)), len(q) - 1)
+            x, mine = self.rows[kind][at], h[own]
+            g = _sigmoid(mine @ x.T - np.log(k * q[at - first]))
+            np.subtract.at(grads[kind], at, g.T @ mine)
+            dh[own] -= g @ x
             np.add.at(self.weight[kind], at, len(mine) / k)
 
-        seen(2, band, np.log(k * self.q_band[band]))
-        drawn = np.minimum(np.searchsorted(np.cumsum(self.q_band), self.rng.random(k)), len(self.q_band) - 1)
-        unseen(2, slice(None), drawn, np.log(k * self.q_band[drawn]))
-        seen(1, v, np.log(k * self.q[v]))
-        order = np.argsort(band, kind="stable")
-        cut = np.searchsorted(band[order], np.arange(len(self.q_band) + 1))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            q = self.q[b * size : (b + 1) * size]
-            drawn = b * size + np.minimum(np.searchsorted(np.cumsum(q), self.rng.random(k)), len(q) - 1)
-            unseen(1, order[cut[b] : cut[b + 1]], drawn, np.log(k * self.q[drawn]))
-        dh = dh[:, :d]
+        seen(2, band, self.q_band)
+        unseen(2, slice(None), 0, self.q_band)
+        seen(1, v, self.q)
+        cut = np.searchsorted(band, np.arange(len(self.q_band) + 1)).tolist()
+        for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if j > i:
+                unseen(1, slice(i, j), b * size, self.q[b * size : (b + 1) * size])
+        dh = np.ascontiguousarray(dh[:, :d])
         for i in range(self.context):
-            c = slice(i * d, i * d + d)
-            grads[0] += _scatter(before[:, i], dh @ self.rows[3][c].T, len(self.rows[0]))
-            grads[3][c] = self.rows[0][before[:, i]].T @ dh
-            self.weight[0] += np.bincount(before[:, i], minlength=len(self.rows[0]))
+            c, u = slice(i * d, i * d + d), before[:, i]
+            order = _order(u, m)
+            sums, weight = np.zeros((m, d), np.float32), np.bincount(u, minlength=m)
+            _add_runs(sums, u[order], dh[order])
+            grads[0] += sums @ self.rows[3][c].T  # C_i is the same for all, so it is applied to the sums
+            grads[3][c] = self.rows[0].T @ sums
+            self.weight[0] += weight
             self.weight[3][c] += len(v)
         for x, g, s in zip(self.rows, grads, self.squares, strict=True):
             s += g * g
-            x += self.rate * g / np.sqrt(s)
+            g *= self.rate
+            g /= np.sqrt(s)
+            x += g
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    return (np.log(np.exp(x - top).sum(1, keepdims=True)) + top)[:, 0]
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """x at each row's number, less the log of the row's sum of exp. Changes x."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
