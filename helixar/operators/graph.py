@@ -41,26 +41,24 @@ def external_edges(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     ends the one over the origin stays.
     """
     c = F.col
-    pick = lambda kind, p: nodes.filter(c("ntype") == kind).select("query_key", "length", c("index").alias(f"{p}_i"), c("expandable").alias(f"{p}_x"), c("overhang").alias(f"{p}_o"))
-    pairs = pick("B", "b").join(pick("A", "a").drop("length"), "query_key").filter(c("a_o") == c("b_o"))
-    region = I.make(c("a_i"), c("b_i"), c("length"), F.lit(True))
-    pairs = pairs.withColumn("q", region)
-    over = pairs.filter(c("a_o") & (c("q.n") != 0))
-    plain = over.filter(c("b_i") > c("a_i")).select("*", (c("a_i") - c("b_i")).alias("span"), F.lit(0).alias("origin"))
-    around = over.filter((c("a_i") <= c("length")) & (c("b_i") >= c("length"))).select("*", (-c("q.n")).alias("span"), F.lit(1).alias("origin"))
-    near = starts.select(c("query_key").alias("_key"), "start").distinct()
-    inside = F.when(c("origin") == 0, (c("start") >= c("q.a")) & (c("start") <= c("q.b"))).otherwise((c("start") >= c("q.a")) | (c("start") <= c("q.b")))
-    overlaps = plain.unionByName(around).join(near, (c("query_key") == c("_key")) & inside, "left_semi").filter("span <= 0")
-    free = pairs.filter(~c("a_o"))
-    gaps = free.filter(c("b_i") <= c("a_i")).select("*", (c("a_i") - c("b_i")).alias("span"), F.lit(0).alias("origin"))
-    first = I.make(F.lit(0), c("a_i"), c("length"), F.lit(True))["n"]
-    rest = I.make(c("b_i"), c("a_i"), c("length"), F.lit(True))["n"]
-    turn = free.filter((c("a_i") <= c("length")) & (c("b_i") >= c("length"))).select("*", F.when(c("b_i") == c("length"), first).otherwise(rest).alias("span"), F.lit(1).alias("origin"))
-    tagged = overlaps.withColumn("mtype", F.lit(K.OVERLAP)).unionByName(gaps.unionByName(turn).withColumn("mtype", F.lit(K.GAP)))
-    node = lambda p, kind: F.struct(c(f"{p}_i").alias("index"), c(f"{p}_x").alias("expandable"), F.lit(kind).alias("ntype"), c(f"{p}_o").alias("overhang"))
-    out = tagged.select("query_key", node("b", "B").alias("src"), node("a", "A").alias("dst"), "mtype", F.lit("external").alias("kind"), c("span").cast("int").alias("span"), c("b_x").alias("l"), c("a_x").alias("r"), "origin", "length")
-    last = out.groupBy("query_key", "src", "dst").agg(F.max(F.struct("origin", "mtype", "kind", "span", "l", "r", "length")).alias("w"))
-    return last.select("query_key", "src", "dst", "w.mtype", "w.kind", "w.span", "w.l", "w.r", "w.origin", "w.length")
+    pick = lambda kind, p: nodes.filter(c("ntype") == kind).select("query_key", "length", c("index").alias(f"{p}_i"), c("expandable").alias(f"{p}_x"), c("overhang").alias("over"))
+    pairs = pick("B", "b").join(pick("A", "a").drop("length"), ["query_key", "over"])
+    a, b, n = c("a_i"), c("b_i"), c("length")
+    meets = (a <= n) & (b >= n)  # such a pair may close over the origin
+    one = lambda span, origin: F.struct(span.cast("int").alias("span"), F.lit(origin).alias("origin"))
+    # every pair has one place over the origin and one not, so the edge that stays is chosen in its row
+    first, rest = I.make(F.lit(0), a, n, F.lit(True))["n"], I.make(b, a, n, F.lit(True))["n"]
+    turn = one(F.when(b == n, first).otherwise(rest), 1)
+    gaps = pairs.filter(~c("over")).withColumn("w", F.when(meets, turn).when(b <= a, one(a - b, 0)))
+    near = starts.groupBy("query_key").agg(F.collect_set("start").alias("starts"))
+    q = c("q")
+    inside = F.exists("starts", lambda s: (s >= q["a"]) & (s <= q["b"]))
+    around = F.exists("starts", lambda s: (s >= q["a"]) | (s <= q["b"]))
+    over = pairs.filter(c("over") & ((b > a) | meets)).withColumn("q", I.make(a, b, n, F.lit(True))).filter("q.n <> 0").join(near, "query_key")
+    overlaps = over.withColumn("w", F.when(meets & around, one(-q["n"], 1)).when((b > a) & inside, one(a - b, 0))).drop("q", "starts")
+    tagged = overlaps.withColumn("mtype", F.lit(K.OVERLAP)).unionByName(gaps.withColumn("mtype", F.lit(K.GAP))).filter(c("w").isNotNull())
+    node = lambda p, kind: F.struct(c(f"{p}_i").alias("index"), c(f"{p}_x").alias("expandable"), F.lit(kind).alias("ntype"), c("over").alias("overhang"))
+    return tagged.select("query_key", node("b", "B").alias("src"), node("a", "A").alias("dst"), "mtype", F.lit("external").alias("kind"), "w.span", c("b_x").alias("l"), c("a_x").alias("r"), "w.origin", "length")
 
 
 def priced(external: DataFrame, table: DataFrame, threshold: float = K.COST_THRESHOLD) -> DataFrame:

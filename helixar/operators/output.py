@@ -92,20 +92,98 @@ def sequence_json(sequences: DataFrame) -> DataFrame:
     return sequences.select("key", F.to_json(F.struct("bases", "name", F.col("is_circular").alias("isCircular"), F.col("features").alias("annotations"))).alias("json"))
 
 
-def reactions_of(edges: DataFrame, goals: DataFrame) -> DataFrame:
-    """Reactions of assembly edges: PCR or direct use of internal pieces, synthesis of gaps, and the assembly itself.
+def junctions(edges: DataFrame, table: DataFrame) -> DataFrame:
+    """Assembly edges with ext_before and ext_after, the bases that the neighbouring junctions add to the piece's ends, and
+    size and lshift of the gene that a junction is filled with, if any.
 
-    Primers of a PCR come from the ends of its product (see functions.sequences.design_primer).
+    A junction's left primer extends the piece before it and its right primer the piece after. One that is filled by a gene
+    meets it in two junctions, whose primers are looked up at their own spans.
     """
     c = F.col
-    e = edges.join(goals.select(c("key").alias("query_key"), F.upper("bases").alias("_s")), "query_key").filter("span > 0")
-    piece = S.slice_region(c("_s"), F.pmod(c("src.index"), c("length")), c("span"))
-    mol = lambda t, s: F.struct(F.lit(t).alias("mtype") if isinstance(t, str) else t.alias("mtype"), s.alias("seq"))
-    e = e.withColumn("piece", piece)
-    is_pcr, is_gap = c("mtype").startswith("PCR_PRODUCT"), c("mtype").isin([K.GAP, K.SHARED])
-    name = F.when(is_pcr, "PCR").when(is_gap, "Synthesize").otherwise("Retrieve Fragment")
-    primers = F.array(mol(K.PRIMER, S.design_primer(c("piece"))), mol(K.PRIMER, S.design_primer(S.reverse_complement(c("piece")))), mol(K.TEMPLATE, c("piece")))
-    inputs = F.when(is_pcr, primers).otherwise(F.array().cast("array<struct<mtype:string,seq:string>>"))
-    parts = e.select(c("query_key").alias("design_key"), c("rank").alias("assembly_id"), c("pos").alias("reaction_id"), name.alias("name"), inputs.alias("inputs"), F.array(mol(c("mtype"), c("piece"))).alias("outputs"), "_s")
-    final = parts.groupBy("design_key", "assembly_id").agg((F.max("reaction_id") + 1).alias("reaction_id"), F.lit("Assembly").alias("name"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("reaction_id", "outputs"))), lambda x: x["outputs"])).alias("inputs"), F.array(mol("PLASMID", F.first("_s"))).alias("outputs"))
-    return parts.drop("_s").unionByName(final)
+    t = table.select(c("l").alias("_l"), c("r").alias("_r"), c("span").alias("_at"), "left_ext", "right_ext", "size", "lshift")
+    yes = lambda x: c(x).cast("int")
+
+    def ext(df: DataFrame, left, right, span, take: dict[str, str]) -> DataFrame:
+        side = F.broadcast(t.select("_l", "_r", "_at", *[c(k).alias(v) for k, v in take.items()]))
+        return df.join(side, (left == c("_l")) & (right == c("_r")) & (span == c("_at")), "left").drop("_l", "_r", "_at")
+
+    outer = c("kind") == "external"
+    e = ext(edges, F.when(outer, yes("src.expandable")), yes("dst.expandable"), c("span"), {"left_ext": "left_ext", "right_ext": "right_ext", "size": "size", "lshift": "lshift"})
+    e = ext(e, F.when(outer, yes("src.expandable")), F.lit(0), c("lshift"), {"left_ext": "gene_left"})
+    e = ext(e, F.when(outer, F.lit(0)), yes("dst.expandable"), c("span") - c("size") - c("lshift"), {"right_ext": "gene_right"})
+    left, right = F.coalesce("left_ext", "gene_left", F.lit(0)).cast("int"), F.coalesce("right_ext", "gene_right", F.lit(0)).cast("int")
+    e = e.withColumns({"_left": left, "_right": right})
+    w = Window.partitionBy("query_key", "rank").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, after = F.coalesce(F.lag("_right").over(w), F.last("_right").over(whole)), F.coalesce(F.lead("_left").over(w), F.first("_left").over(whole))
+    return e.withColumns({"ext_before": before, "ext_after": after}).drop("left_ext", "right_ext", "gene_left", "gene_right", "_left", "_right")
+
+
+def molecule(mtype, seq, key=None, a=None, b=None, length=None):
+    """A molecule of a reaction: its type and bases, the record it comes from, and its region on the goal."""
+    none, where = F.lit(None).cast("string"), F.lit(None).cast("struct<a:int,b:int,context_length:int>")
+    if a is not None:
+        where = F.struct(F.pmod(a, length).cast("int").alias("a"), (F.pmod(b - 1, length) + 1).cast("int").alias("b"), length.cast("int").alias("context_length"))
+    return F.struct((F.lit(mtype) if isinstance(mtype, str) else mtype).alias("mtype"), seq.alias("seq"), (none if key is None else key).alias("key"), where.alias("region"))
+
+
+_NO_INPUTS = "array<struct<mtype:string,seq:string,key:string,region:struct<a:int,b:int,context_length:int>>>"
+
+
+def reactions_of(edges: DataFrame, goals: DataFrame, table: DataFrame, alignments: DataFrame, stock: DataFrame, primed: DataFrame | None = None) -> DataFrame:
+    """Reactions of assembly edges: PCR or direct use of internal pieces, synthesis of genes, and the assembly itself.
+
+    A PCR product reaches over both junctions by their extensions; a new primer is that overhang and the bases that anneal
+    to the product's end (see functions.sequences.design_primer), a primer of the inventory is taken as it is, without
+    overhang. Its template is the record of alignments(query_key, atype, a, n, subject_key) that covers the product, the
+    least key of several; bases come from stock(key, bases); two overlapping primers that extend each other have none. primed: alignments of inventory primers with their `bases`.
+    A junction that its primers close alone has no reaction.
+    """
+    c = F.col
+    types = F.broadcast(edges.sparkSession.createDataFrame(K.MOLECULE_TYPES, K.MOLECULE_SCHEMA).select(c("name").alias("mtype"), c("l").alias("new_left"), c("r").alias("new_right")))
+    e = junctions(edges, table).join(goals.select(c("key").alias("query_key"), F.upper("bases").alias("_s")), "query_key").join(types, "mtype", "left")
+    is_extension, is_fragment = c("mtype").startswith("PRIMER_EXTENSION"), c("mtype") == K.FRAGMENT
+    is_pcr = c("mtype").startswith("PCR_PRODUCT") | is_extension
+    gene = (c("kind") == "external") & c("size").isNotNull()
+    e = e.filter(((c("kind") == "internal") & (c("span") > 0)) | gene)
+    start = F.pmod(c("src.index"), c("length"))
+    e = e.withColumns({"_a": F.when(gene, F.pmod(start + c("lshift"), c("length"))).otherwise(start).cast("int"), "_n": F.when(gene, c("size")).otherwise(c("span")).cast("int")})
+    e = e.withColumns({"_lo": F.when(is_pcr & c("new_left"), c("ext_before")).otherwise(0), "_hi": F.when(is_pcr & c("new_right"), c("ext_after")).otherwise(0)})
+    piece = lambda at, n: S.slice_region(c("_s"), F.pmod(at, c("length")), n)
+    e = e.withColumns({"_core": piece(c("_a"), c("_n")), "_product": piece(c("_a") - c("_lo"), c("_n") + c("_lo") + c("_hi")), "_left": piece(c("_a") - c("_lo"), c("_lo")), "_right": S.reverse_complement(piece(c("_a") + c("_n"), c("_hi")))})
+    at = ["query_key", "rank", "pos"]
+    kind = F.when(c("atype") == K.FRAGMENT, F.lit(K.FRAGMENT)).otherwise(F.lit(K.PCR))
+    here = alignments.select(c("query_key").alias("_q"), kind.alias("_t"), c("a").alias("_b"), c("n").alias("_m"), "subject_key").distinct()
+    covers = (c("query_key") == c("_q")) & (c("_t") == F.when(is_fragment, F.lit(K.FRAGMENT)).otherwise(F.lit(K.PCR))) & (F.pmod(c("_a") - c("_b"), c("length")) + c("_n") <= c("_m"))
+    source = e.filter(is_pcr | is_fragment).filter(~is_extension).join(here, covers).groupBy(*at).agg(F.min("subject_key").alias("_key"))
+    source = source.join(stock.select(c("key").alias("_key"), F.upper("bases").alias("_stock")), "_key")
+    e = e.join(source, at, "left")
+    if primed is not None:
+        p = primed.select(c("query_key").alias("_q"), c("a").alias("_b"), (c("a") + c("n")).alias("_e"), F.struct(c("subject_key").alias("key"), F.upper("bases").alias("seq")).alias("_p"))
+        ends = {"_fwd": (~c("new_left")) & (c("_b") == c("_a")), "_rev": (~c("new_right")) & (F.pmod(c("_e") - c("_a") - c("_n"), c("length")) == 0)}
+        for name, same in ends.items():
+            own = e.filter(is_pcr).join(p, (c("query_key") == c("_q")) & same).groupBy(*at).agg(F.min("_p").alias(name))
+            e = e.join(own, at, "left")
+    else:
+        e = e.withColumns({x: F.lit(None).cast("struct<key:string,seq:string>") for x in ("_fwd", "_rev")})
+    left = molecule(K.PRIMER, F.coalesce("_fwd.seq", F.concat("_left", S.design_primer(c("_core")))), c("_fwd.key"))
+    right = molecule(K.PRIMER, F.coalesce("_rev.seq", F.concat("_right", S.design_primer(S.reverse_complement(c("_core"))))), c("_rev.key"))
+    inputs = F.when(is_extension, F.array(left, right)).when(is_pcr, F.array(left, right, molecule(K.TEMPLATE, c("_stock"), c("_key")))).otherwise(F.array().cast(_NO_INPUTS))
+    made = F.when(is_fragment, F.coalesce("_stock", "_product")).otherwise(c("_product"))
+    out = molecule(c("mtype"), made, F.when(is_fragment, c("_key")), c("_a") - c("_lo"), c("_a") + c("_n") + c("_hi"), c("length"))
+    name = F.when(is_extension, "Primer Extension").when(is_pcr, "PCR").when(is_fragment, "Retrieve Fragment").otherwise("Synthesize")
+    parts = e.select(c("query_key").alias("design_key"), c("rank").alias("assembly_id"), c("pos").alias("reaction_id"), name.alias("name"), inputs.alias("inputs"), F.array(out).alias("outputs"), "_s", "length")
+    whole = molecule("PLASMID", F.first("_s"), None, F.lit(0), F.first("length"), F.first("length"))
+    final = parts.groupBy("design_key", "assembly_id").agg((F.max("reaction_id") + 1).alias("reaction_id"), F.lit("Assembly").alias("name"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("reaction_id", "outputs"))), lambda x: x["outputs"])).alias("inputs"), F.array(whole).alias("outputs"))
+    return parts.drop("_s", "length").unionByName(final)
+
+
+def reaction_table(reactions: DataFrame, goals: DataFrame, rank: int | None = None) -> DataFrame:
+    """The full table of molecules over all designs: 13 columns, the designs numbered from 0 by key; rank: one assembly's rank."""
+    c = F.col
+    ids = goals.groupBy(c("key").alias("design_key")).agg(F.min("name").alias("name") if "name" in goals.columns else F.min("key").alias("name"))
+    ids = ids.withColumn("design_id", F.row_number().over(Window.orderBy("design_key")) - 1)  # a row per design, the driver's own list
+    chosen = reactions if rank is None else reactions.filter(c("assembly_id") == rank)
+    sides = F.array(*[F.struct(F.lit(x).alias("role"), c(y).alias("m")) for x, y in (("INPUT", "inputs"), ("OUTPUT", "outputs"))])
+    d = chosen.select("design_key", "assembly_id", "reaction_id", c("name").alias("reaction_name"), F.explode(sides).alias("s")).select("*", F.explode("s.m").alias("x")).join(ids, "design_key")
+    return d.select(c("design_id").alias("DESIGN_ID"), c("design_key").alias("DESIGN_KEY"), c("assembly_id").alias("ASSEMBLY_ID"), c("reaction_id").alias("REACTION_ID"), c("reaction_name").alias("REACTION_NAME"), c("name").alias("NAME"), c("x.mtype").alias("TYPE"), F.coalesce("x.key", molecule_key(c("x.mtype"), c("x.seq"))).alias("KEY"), c("s.role").alias("ROLE"), c("x.region").alias("REGION"), c("x.seq").alias("SEQUENCE"), F.length("x.seq").alias("LENGTH"), F.create_map(F.lit("content_key"), S.content_key(c("x.seq"))).alias("META"))

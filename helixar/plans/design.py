@@ -21,6 +21,9 @@ class Design:
     groups: DataFrame
     edges: DataFrame
     assemblies: DataFrame
+    table: DataFrame
+    stock: DataFrame
+    primed: DataFrame | None = None
 
     def steps(self) -> DataFrame:
         return paths.assembly_edges(self.assemblies, self.edges)
@@ -29,7 +32,10 @@ class Design:
         return output.summary_rows(self.steps(), self.alignments)
 
     def reactions(self) -> DataFrame:
-        return output.reactions_of(self.steps(), self.goals)
+        return output.reactions_of(self.steps(), self.goals, self.table, self.alignments, self.stock, self.primed)
+
+    def reaction_table(self, rank: int | None = None) -> DataFrame:
+        return output.reaction_table(self.reactions(), self.goals, rank)
 
     def json(self) -> DataFrame:
         return output.output_json(self.summary())
@@ -52,7 +58,11 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
     if keep is not None:
         goals = goals.filter(c("key").isin(keep))
     table = table if table is not None else cost.span_cost(spark)
-    hits = match.exact_matches(goals, templates, least)
+    stock = templates.select("key", "bases", "is_circular")
+    if fragments is not None:  # a fragment may be copied, too
+        stock = stock.unionByName(fragments.select("key", "bases", "is_circular"))
+    stock = stock.dropDuplicates(["key"])
+    hits = match.exact_matches(goals, stock, least)
     aligned = match.to_regions(hits, K.PCR)
     if fragments is not None:
         aligned = aligned.unionByName(match.to_regions(match.whole_matches(goals, fragments.filter(~c("is_circular"))), K.FRAGMENT))
@@ -67,6 +77,9 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
         every = every.unionByName(_sub(expand.primer_pairs(groups, p), groups))
         if dimers:
             every = every.unionByName(expand.extension_products(p).select("query_key", "atype", "a", "b", "n", "length", F.lit(True).alias("cyclic")))
+    primed = None
+    if primers is not None:
+        primed = p.join(primers.select(c("key").alias("subject_key"), "bases"), "subject_key").select("query_key", "subject_key", "a", "n", "bases")
     together = None
     if library:
         together = lib.shared_groups(goals).checkpoint()
@@ -76,10 +89,7 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
     if postprocess:
         edges = graph.score_long_products(edges)
         if misprime:
-            stock = templates.select("key", "bases")
-            if fragments is not None:
-                stock = stock.unionByName(fragments.select("key", "bases"))
-            edges = score.score_misprimings(edges, aligned, stock.dropDuplicates(["key"]))
+            edges = score.score_misprimings(edges, aligned, stock.select("key", "bases"))
         edges = graph.score_complexity(edges, goals)
         if partition:
             cuts = score.partition_points(goals)
@@ -91,4 +101,4 @@ def design(goals: DataFrame, templates: DataFrame, fragments: DataFrame | None =
     if together is not None:
         edges = lib.discount_shared(edges, together)
     edges = edges.checkpoint()  # read by the search and again by the steps
-    return Design(goals, aligned, every, edges, paths.assemblies(edges, n_paths))
+    return Design(goals, aligned, every, edges, paths.assemblies(edges, n_paths), table, stock.select("key", "bases"), primed)

@@ -368,3 +368,37 @@ def test_tiled_complexity_of_documents(spark, tmp_path):
     want = {(n, i): round(S.Profile(dna + dna).cost(i, i + n), 6) for n in (100, 500, 1000, 2000) for i in range(0, 2050, 100)}
     got = {(r["size"], r["start"]): r.complexity for r in part_queries.tiled_complexity(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_reactions_join_to_the_goal(spark):
+    """Products reach into their neighbours by the extensions of their new primers, so that the pieces on end are the goal."""
+    rng = random.Random(12)
+    goal = "".join(rng.choice("ACGT") for _ in range(3000))
+    templates = [("t1", "GATTACA" + goal[:960]), ("t2", goal[1000:2000]), ("t3", goal[2010:3000])]
+    d = design(frame(spark, [("g", goal)], True), frame(spark, templates, False), postprocess=False, n_paths=1)
+    table = [r for r in d.reaction_table(rank=0).collect()]
+    assert len(table[0]) == 13 and {r.DESIGN_ID for r in table} == {0}
+    by: dict = {}
+    for r in table:
+        by.setdefault(r.REACTION_ID, []).append(r)
+    twice = goal + goal
+    pieces, stock = [], dict(templates)
+    for rows in by.values():
+        out = next(r for r in rows if r.ROLE == "OUTPUT")
+        if rows[0].REACTION_NAME == "Assembly":
+            assert out.SEQUENCE == goal and sum(r.ROLE == "INPUT" for r in rows) == len(by) - 1
+            continue
+        a = out.REGION.a
+        assert out.SEQUENCE == twice[a : a + out.LENGTH] and out.REGION.b == (a + out.LENGTH - 1) % 3000 + 1
+        pieces.append((a, out.LENGTH))
+        if rows[0].REACTION_NAME == "PCR":
+            left, right, template = [r for r in rows if r.ROLE == "INPUT"]
+            assert template.TYPE == "TEMPLATE" and template.SEQUENCE == stock[template.KEY] and template.SEQUENCE != out.SEQUENCE
+            other = out.SEQUENCE[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            assert out.SEQUENCE.startswith(left.SEQUENCE) and other.startswith(right.SEQUENCE)
+            tail = next(n for n in range(len(left.SEQUENCE)) if left.SEQUENCE[n:] in template.SEQUENCE)
+            assert out.SEQUENCE[tail:][:200] in template.SEQUENCE  # overhang, then what anneals
+    pieces.sort()
+    assert len(pieces) >= 3
+    for (a, n), (b, _) in zip(pieces, pieces[1:] + [(pieces[0][0] + 3000, 0)], strict=True):
+        assert 10 <= a + n - b <= 200  # neighbours overlap
