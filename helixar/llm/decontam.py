@@ -196,7 +196,7 @@ def bloom_of(items: DataFrame, span: int, k: int, bits: int) -> Bloom:
         at = np.flatnonzero(own.words)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *(-t for t in lengths)], pa.int64()), pa.array([*own.words[at].view(np.int64).tolist(), *(0 for _ in lengths)], pa.int64())], ["at", "bits"])
 
-    got = items.select("text").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 + span rows
+    got = items.select("text").mapInArrow(common.tidy(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 + span rows
     at, words = got.column("at").to_numpy(), got.column("bits").to_numpy()
     out.words[at[at >= 0]] = words[at >= 0].view(np.uint64)
     out.lengths = sorted(-at[at < 0])
@@ -242,7 +242,7 @@ def _in_one_pass(docs: DataFrame, block: Block | None, carry: list[str], text_co
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias(common.free_name(carry, "_text")), *[F.col(f"`{c}`") for c in carry])
     schema = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.add("n_words", "long")
-    return rows.mapInArrow(run, schema.add("items", T.ArrayType(T.StringType())).add("spans", T._parse_datatype_string("array<struct<start:int,end:int>>")))
+    return rows.mapInArrow(common.tidy(run), schema.add("items", T.ArrayType(T.StringType())).add("spans", T._parse_datatype_string("array<struct<start:int,end:int>>")))
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str, span: int, k: int, block_words: int, bloom_bits: int, few: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: st
         for batch in batches:
             yield batch.filter(pa.array([bloom.value.holds(hashed(words_of(x.as_py())), span, k) for x in batch.column(2)], pa.bool_()))
 
-    texts = docs.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")).mapInArrow(maybe, "h1 long, h2 long, text string")
+    texts = docs.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")).mapInArrow(common.tidy(maybe), "h1 long, h2 long, text string")
     texts = common.materialize(texts.groupBy("h1", "h2").agg(F.min("text").alias("text")), "candidates")
     found = spark.createDataFrame([], "h1 long, h2 long, items array<string>, spans array<struct<start:int,end:int>>")
     for block in _blocks(items.select("item", "text"), span, k, block_words):
@@ -268,7 +268,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: st
                 out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], _ITEMS), pa.array([x for _, x in got], _SPANS)], ["h1", "h2", "items", "spans"])
                 yield out.filter(pa.array([bool(x) for x, _ in got], pa.bool_()))
 
-        found = found.unionByName(common.materialize(texts.mapInArrow(run, found.schema), "hits"))
+        found = found.unionByName(common.materialize(texts.mapInArrow(common.tidy(run), found.schema), "hits"))
         held.destroy()
     both = found.groupBy("h1", "h2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row per block
 
@@ -285,7 +285,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: st
                 out.append(whole)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, _SPANS)], batch.schema.names)
 
-    both = common.materialize(both.mapInArrow(merge, both.schema), "hits")
+    both = common.materialize(both.mapInArrow(common.tidy(merge), both.schema), "hits")
     made: list[str] = []
     for x in ("_h1", "_h2"):
         made.append(common.free_name([*carry, *made], x))

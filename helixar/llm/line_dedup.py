@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixar.llm import common
+from helixar.llm import common, wordtok
 
 MADE = ("n_lines", "n_dropped")
 #: A line on over one in 12.5 different pages of its site is not what the page is about; `least` and `min_pages` keep small sites from chance.
@@ -90,15 +90,15 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
         page = found.groupBy("site", "t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias(made[1])).withColumnsRenamed({"site": "_s", "t1": made[2], "t2": made[3]})
         a, b = _page(text)
         keyed = keyed.join(page, F.col(site).eqNullSafe(F.col("_s")) & (a == F.col(t1)) & (b == F.col(t2)), "left").select(*[F.col(f"`{c}`") for c in names], F.col(site), F.col(drop))
-    keyed = keyed.withColumn(made[2], text)
-    schema = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in names]).schema
     at = [c.lower() for c in names].index(text_col.lower())
+    own_columns = [F.col(f"`{c}`").cast("string").alias(c) if i == at else F.col(f"`{c}`") for i, c in enumerate(names)]
+    keyed, schema = keyed.select(*own_columns, F.col(site), F.col(drop)), docs.select(*own_columns).schema
 
     def run(batches):
         hash_of = xxhash.xxh64_intdigest
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        for batch in batches:
-            sites, own, texts = (batch.column(c) for c in (made[0], made[1], made[2]))
+        for batch in (part for whole in batches for part in wordtok.slices(whole, at)):
+            texts, sites, own = (batch.column(c) for c in (at, len(names), len(names) + 1))
             out, n_lines, n_dropped = [], [], []
             for i, x in enumerate(texts):
                 text = x.as_py()
@@ -118,4 +118,4 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *MADE])
 
-    return keyed.mapInArrow(run, schema.add("n_lines", "long").add("n_dropped", "long"))
+    return keyed.mapInArrow(common.tidy(run), schema.add("n_lines", "long").add("n_dropped", "long"))

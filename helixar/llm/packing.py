@@ -100,7 +100,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None, end_id: int, id_col
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.materialize(rows.mapInArrow(encode, "uid long, doc_id long, n_tokens long, curve_key long, ids binary"), "encoded")
+    return common.materialize(rows.mapInArrow(common.tidy(encode), "uid long, doc_id long, n_tokens long, curve_key long, ids binary"), "encoded")
 
 
 def stream_places(encoded: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def stream_places(encoded: DataFrame) -> DataFrame:
 
     order = ["curve_key", "doc_id", "uid"]
     keys = encoded.select("uid", "doc_id", "n_tokens", "curve_key")
-    placed = common.materialize(keys.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(running, "part int, uid long, local long, n_tokens long"), "places")
+    placed = common.materialize(keys.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(common.tidy(running), "part int, uid long, local long, n_tokens long"), "places")
     bases, total = [], 0
     for part, n in sorted(placed.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row per partition
         bases.append((part, total))
@@ -152,4 +152,4 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([x.tobytes() for x in pieces], pa.binary())] * with_ids, names)
 
     joined = encoded.select("uid", "doc_id", "ids").join(places, "uid").drop("uid")
-    return joined.mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return joined.mapInArrow(common.tidy(cut), PIECE + ", ids binary" * with_ids)
