@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from helixar.llm import minhash, simhash
 
@@ -64,3 +65,24 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()} == {0, 2}
+
+
+def test_bitmap_never_shows_more_than_the_difference():
+    rng = random.Random(7)
+    for size in (0, 1, 90, 5000):
+        words = [f"w{rng.randrange(99999)}" for _ in range(size)]
+        other = [f"x{rng.randrange(99999)}" if rng.random() < 0.1 else w for w in words]
+        a, b = (minhash.shingles(" ".join(t)) for t in (words, other))
+        bits = minhash.bitmap(a) ^ minhash.bitmap(b)
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert int(np.bitwise_count(bits.view(np.uint64)).sum()) <= apart
+        folded = np.bitwise_xor.reduce(bits.reshape(-1, minhash.FOLDED), axis=0)
+        assert int(np.bitwise_count(folded.view(np.uint64)).sum()) <= apart
+        if size == 90:
+            assert np.bitwise_count(bits.view(np.uint64)).sum() > 0.8 * apart
+
+
+def test_own_shingles_are_a_lower_bound(spark):
+    sets = {1: [2, 4, 6, 7], 2: [4, 7, 9], 3: [9, 11]}
+    got = minhash.own_shingles(spark.createDataFrame(list(sets.items()), "node long, set array<long>")).collect()
+    assert {r.node: r.own for r in got} == {1: 2}
