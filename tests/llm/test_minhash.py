@@ -48,10 +48,10 @@ def corpus():
     return [*rows, (at, rows[3][1].upper()), (at + 1, None), (at + 2, ""), (at + 3, "a b"), (at + 4, "A  b")]
 
 
-@pytest.mark.parametrize("small,rounds", [(32, 4), (2, 0), (2, 1)])
-def test_components(spark, small, rounds):
+@pytest.mark.parametrize("small,rounds,huge", [(32, 4, 1000), (2, 0, 2), (2, 1, 1000), (2, 1, 20)])
+def test_components(spark, small, rounds, huge):
     rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=small, rounds=rounds).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=small, rounds=rounds, huge=huge).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows) and len(got) == len(rows)
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
