@@ -109,6 +109,23 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def join_spread(many: DataFrame, few: DataFrame, key: str, salts: int = 64, share: int = 1000) -> DataFrame:
+    """Left join of `many` (a written table) with `few`, which has at most one row a key. Keys with over one in `share` rows
+    of many, of which there are fewer than `share`, are dealt over `salts` parts, their rows of `few` repeated for each."""
+    n = many.count()
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > max(1, n // share)).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(materialize(hot, "hot"))  # under `share` rows of a key
+    dealt = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    wide = few.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(wide, [key, "_salt"], "left").drop("_salt")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def free_name(taken, wanted: str) -> str:
     """wanted, with underscores until no column has that name (names compare without case)."""
     low = {c.lower() for c in taken}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixar.llm import chat, common, decontam, lbl, line_dedup, packing, quality, simhash, tokenfiles, unigram_count, warc
+from helixar.llm import chat, common, decontam, fim, lbl, line_dedup, merkle, packing, quality, secrets, simhash, tokenfiles, unigram_count, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,28 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    one_more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    changed = F.when(tampered, merkle.leaf_of(*[one_more if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]))
+    rows = merkle.manifest(_read(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id"), "changed": changed})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(_read(spark, sf_dir, "documents"), with_text=False).drop("output")
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_read(spark, sf_dir, "documents"), common.new_path(spark, "ledger"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = secrets.listed(F.filter("spans", lambda x: x["nth"] < 3))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (op1_packing, op2_decontamination, op3_token_files, op4_quality_rules, op5_lm_scoring, op6_simhash_dedup, op7_chat_rotation, op8_token_counts, op9_line_dedup, op10_warc_derivatives)
+    fs = (op1_packing, op2_decontamination, op3_token_files, op4_quality_rules, op5_lm_scoring, op6_simhash_dedup, op7_chat_rotation, op8_token_counts, op9_line_dedup, op10_warc_derivatives, op11_merkle_manifest, op12_fill_in_middle, op13_secret_scans)
     return {f.__name__: f for f in fs}
 
 
@@ -117,5 +137,57 @@ from d left join bad on d.source is not distinct from bad.source
 """
 
 
+_FIELD = "case when {0} is null then '-' else octet_length(encode({1}::varchar)) || ':' || {1}::varchar end"
+_LEAF, _CHANGED = (" || ".join(_FIELD.format(c, f"({c}::hugeint + 1)" if c == more else c) for c in merkle.COLUMNS) for more in ("", "n_chars"))
+#: CRC-32 of a decimal number, bit by bit
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda s, b: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(s, b)), 4294967295::bigint))"
+_OP11 = rf"""
+with recursive d as (select row_number() over () rid, doc_id, lang, sha256({_LEAF}) leaf, case when {_CRC} % 7 = 0 then sha256({_CHANGED}) end changed from documents),
+l as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf, rid) - 1 pos, count(*) over (partition by lang) n from d),
+node(lang, lvl, pos, n, h) as (select lang, 0, pos, n, leaf from l union all select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from node where n > 1 group by lang, lvl, pos // 2, n),
+sub as (select lang, h subroot, lvl height, row_number() over (order by lang nulls first) - 1 place, count(*) over () langs from node where n = 1),
+upper_node(lvl, pos, n, h) as (select 0, place, langs, subroot from sub union all select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from upper_node where n > 1 group by lvl, pos // 2, n),
+top as (select h root, lvl more from upper_node where n = 1),
+p as (select l.*, subroot, root, height, more, place from l join sub on l.lang is not distinct from sub.lang cross join top),
+step as (
+  select rid, v.lvl, (p.pos >> v.lvl) & 1 side, h other from p, unnest(range(height)) v(lvl) left join node s on s.lang is not distinct from p.lang and s.lvl = v.lvl and s.pos = xor(p.pos >> v.lvl, 1)
+  union all
+  select rid, height + v.lvl, (place >> v.lvl) & 1, h from p, unnest(range(more)) v(lvl) left join upper_node s on s.lvl = v.lvl and s.pos = xor(place >> v.lvl, 1)),
+way as (select rid, list({{'side': side, 'other': coalesce(other, '')}} order by lvl) steps from step group by rid),
+up(rid, steps, i, h) as (select p.rid, steps, 1, coalesce(changed, leaf) from p left join way using (rid) union all select rid, steps, i + 1, sha256(case when steps[i].side = 1 then steps[i].other || h else h || steps[i].other end) from up where i <= coalesce(len(steps), 0))
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s.other), ''), '')) proof_sha256, h folded_root, h = root verified
+from p join up using (rid) where i > coalesce(len(steps), 0)
+"""
+_DRAW = "('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), {}, 8))::ubigint"
+_JOINED = "coalesce(list_aggregate(list_filter(ls, lambda x, i: i > {} and i <= {}), 'string_agg', ''), '')"
+_OP12 = rf"""
+with d as (select doc_id, coalesce(text, '') t, string_split(t, chr(10)) parts, {", ".join(f"{_DRAW.format(8 * i + 1)} h{i + 1}" for i in range(4))} from documents),
+u as (select *, list_filter(list_transform(parts, lambda x, i: case when i < len(parts) then x || chr(10) else x end), lambda x: x <> '') ls from d),
+c as (select *, least(h1 % (len(ls) + 1)::ubigint, h2 % (len(ls) + 1)::ubigint) a, greatest(h1 % (len(ls) + 1)::ubigint, h2 % (len(ls) + 1)::ubigint) b,
+  case when t = '' or strpos(t, '<P>') > 0 or strpos(t, '<S>') > 0 or strpos(t, '<M>') > 0 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from u),
+x as (select *, {_JOINED.format(0, "a")} pre, {_JOINED.format("a", "b")} mid, {_JOINED.format("b", "len(ls)")} suf from c)
+select doc_id, len(ls)::bigint n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256
+from x
+"""
+
+
+def _secret_sql() -> str:
+    """Matches by rule, their places by running sums over the pieces between them."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = " union all ".join(
+        f"select rid, {i} nth, {q(r.kind)} kind, unnest(list_zip(regexp_extract_all(t, {q(r.pattern)}), string_split_regex(t, {q(r.pattern)})[:-2], regexp_extract_all(t, {q(r.pattern)}, {r.group}), range(len(regexp_extract_all(t, {q(r.pattern)}))))) x, {r.least} least from d"
+        for i, r in enumerate(secrets.RULES)
+    )
+    return f"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+m as (select rid, nth, kind, x[1] s, x[2] gap, x[3] g, x[4] i, least from ({kinds})),
+e as (select *, sum(length(gap) + length(s)) over (partition by rid, nth order by i) stop from m),
+f as (select rid, nth, stop - length(s) start, kind || ':' || (stop - length(s))::bigint || ':' || stop::bigint span from e where length(g) >= least),
+a as (select rid, {", ".join(f"count(*) filter (nth = {i}) n_{secrets.RULES[i].kind}" for i in range(3))}, string_agg(span, ',' order by start, nth) filter (nth < 3) base, string_agg(span, ',' order by start, nth) spans from f group by rid)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in secrets.RULES[:3])}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _OP4, "op7_chat_rotation": _OP7, "op9_line_dedup": _OP9}
+    return {"op4_quality_rules": _OP4, "op7_chat_rotation": _OP7, "op9_line_dedup": _OP9, "op11_merkle_manifest": _OP11, "op12_fill_in_middle": _OP12, "op13_secret_scans": _secret_sql()}
