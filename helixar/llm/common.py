@@ -113,11 +113,13 @@ def join_spread(many: DataFrame, few: DataFrame, key: str, salts: int = 64, shar
     """Left join of `many` (a written table) with `few`, which has at most one row a key. Keys with over one in `share` rows
     of many, of which there are fewer than `share`, are dealt over `salts` parts, their rows of `few` repeated for each."""
     n = many.count()
-    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > max(1, n // share)).select(key, F.lit(True).alias("_hot"))
+    is_hot = free_name([*many.columns, *few.columns], "_hot")
+    salt = free_name([*many.columns, *few.columns], "_salt")
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias(is_hot)).filter(F.col(is_hot) > max(1, n // share)).select(key, F.lit(True).alias(is_hot))
     hot = F.broadcast(materialize(hot, "hot"))  # under `share` rows of a key
-    dealt = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    wide = few.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return dealt.join(wide, [key, "_salt"], "left").drop("_salt")
+    dealt = many.join(hot, key, "left").withColumn(salt, F.when(F.col(is_hot), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop(is_hot)
+    wide = few.join(hot, key, "left").withColumn(salt, F.explode(F.when(F.col(is_hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(is_hot)
+    return dealt.join(wide, [key, salt], "left").drop(salt)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

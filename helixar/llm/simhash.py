@@ -193,14 +193,17 @@ def components(edges: DataFrame, seed: int = 11) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, most: int = 16_384) -> DataFrame:
     """`carry` columns (default: the id) with fingerprint (hex), root (signed fingerprint that stands for the component) and component_id.
 
-    Carried columns named like a result give way to it.
+    Carried columns named like a result, in any case, give way to it.
     """
-    carry = [c for c in (carry or [id_col]) if c not in ("fingerprint", "component_id", "root", "_fp")]
-    known = fingerprints(docs, text_col, list(dict.fromkeys([*carry, id_col])), shingle, "_fp")
-    nodes = common.materialize(known.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least")), "nodes")
+    carry = [c for c in (carry or [id_col]) if c.lower() not in ("fingerprint", "component_id", "root")]
+    own = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*carry, id_col]))}
+    slim = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    known = fingerprints(slim, "text", list(own.values()), shingle, "fp")
+    nodes = common.materialize(known.groupBy("fp").agg(F.min(own[id_col]).alias("least")), "nodes")
     roots = common.materialize(components(link_edges(nodes, radius, most)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_least"))
-    table = named.join(least, named["root"] == F.col("_root"), "left").select(F.col("fp").alias("_fp"), "root", F.coalesce("_least", "least").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("_fp")), 16, "0")
-    return known.join(table, "_fp").select(*[F.col(f"`{c}`") for c in carry], hexed.alias("fingerprint"), "root", "component_id")
+    table = named.join(least, named["root"] == F.col("_root"), "left").select("fp", "root", F.coalesce("_least", "least").alias("component_id"))
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    # copies of a text, and all empty ones, are one key
+    return common.join_spread(known, table, "fp").select(*[F.col(own[c]).alias(c) for c in carry], hexed.alias("fingerprint"), "root", "component_id")
