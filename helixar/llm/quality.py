@@ -137,13 +137,13 @@ def decide(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang", counts
     return joined.withColumns({"base_failed": failed, "kept": ~failed & ~bad}).drop(key, *names.values())
 
 
-def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", carry: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """`carry` columns (default all) with struct `counts`, base_failed and kept; the counts are written once and used twice.
 
-    Columns of the input named counts, base_failed or kept give way to the results.
+    Columns of the input named counts, base_failed or kept, in any case, give way to the results.
     """
     counted = add_counts(docs.drop(*MADE), text_col)
-    carry = [c for c in (carry or docs.columns) if c not in MADE]
-    counted = common.materialize(counted.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, stratum, "doc_id"])], "counts"), "quality")
-    cutoffs = common.materialize(calibrate(counted, labels, stratum), "cutoffs")
+    carry = [c for c in (carry or docs.columns) if c.lower() not in MADE]
+    counted = common.materialize(counted.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, stratum, id_col])], "counts"), "quality")
+    cutoffs = common.materialize(calibrate(counted, labels, stratum, id_col=id_col), "cutoffs")
     return decide(counted, cutoffs, stratum).select(*[F.col(f"`{c}`") for c in carry], "counts", "base_failed", "kept")
