@@ -123,23 +123,51 @@ def _dechunk(data: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _inflate(data: bytes) -> bytes:
-    try:
-        return zlib.decompress(data)
-    except zlib.error:
-        return zlib.decompress(data, -15)
+class TooLarge(ValueError):
+    """A payload that grows beyond what is undone."""
+
+
+def _inflate(data: bytes, most: int, kinds: tuple[int, ...]) -> bytes:
+    """The zlib stream (gzip: all its members) in the first of the kinds of window that fits."""
+    for kind in kinds:
+        out, rest = [], data
+        try:
+            while rest:
+                stream = zlib.decompressobj(kind)
+                out.append(stream.decompress(rest, most + 1 - sum(map(len, out))))
+                if sum(map(len, out)) > most:
+                    raise TooLarge
+                if not stream.eof:
+                    raise EOFError
+                rest = stream.unused_data.lstrip(b"\0") if kind == 31 else b""
+            return b"".join(out)
+        except zlib.error:
+            if kind == kinds[-1]:
+                raise
+    return b""
+
+
+def _unzstd(data: bytes, most: int) -> bytes:
+    with zstandard.ZstdDecompressor().stream_reader(data) as stream:
+        out = stream.read(most + 1)
+    if len(out) > most:
+        raise TooLarge
+    return out
+
 
+_UNDO = {"chunked": lambda x, _: _dechunk(x), "gzip": lambda x, n: _inflate(x, n, (31,)), "x-gzip": lambda x, n: _inflate(x, n, (31,)), "deflate": lambda x, n: _inflate(x, n, (15, -15)), "zstd": _unzstd, "identity": lambda x, _: bytes(x)}
 
-_UNDO = {"chunked": _dechunk, "gzip": gzip.decompress, "x-gzip": gzip.decompress, "deflate": _inflate, "zstd": lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x), "identity": bytes}
 
+def decoded(http: list[tuple[str, str]], payload: bytes, times: int = 64, least: int = 16 << 20) -> tuple[bytes, list[str]]:
+    """The payload without its transfer and content codings (the last one named is undone first), and those left in it.
 
-def decoded(http: list[tuple[str, str]], payload: bytes) -> tuple[bytes, list[str]]:
-    """The payload without its transfer and content codings (the last one named is undone first), and those left in it."""
+    A coding stays if the payload would be over `times` its length as received, and over `least` bytes.
+    """
     named = [[c.strip().lower() for k, v in http if k == field for c in v.split(",") if c.strip()] for field in ("content-encoding", "transfer-encoding")]
-    left = named[0] + named[1]
+    left, most = named[0] + named[1], max(least, times * len(payload))
     while left:
         try:
-            payload = _UNDO[left[-1]](payload)
+            payload = _UNDO[left[-1]](payload, most)
         except (KeyError, ValueError, EOFError, OSError, zlib.error, zstandard.ZstdError):
             break
         left.pop()
@@ -194,7 +222,7 @@ def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_
 
 def derive(responses: DataFrame, carry: list[str] | None = None, with_blocks: bool = True) -> DataFrame:
     """RECORD's columns for both derivatives of every response, after `carry` columns; block is null unless with_blocks."""
-    carry = [c for c in carry or [] if c not in _NAMES]
+    carry = [c for c in carry or [] if c.lower() not in _NAMES]
     rows = responses.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(F.col("record_id"), F.lit("")).alias("record_id"), F.coalesce(F.col("target_uri"), F.lit("")).alias("target_uri"), F.coalesce(F.col("date"), F.lit("")).alias("date"), F.col("block"))
     schema = responses.select(*[F.col(f"`{c}`") for c in carry]).schema
     for x in RECORD.split(", "):
