@@ -37,4 +37,5 @@ EDGE_EFFICIENCY = 0.05
 NOT_SYNTHESIZABLE = 0.1
 PCR_BANDS = [(4000, 5000, 0.8), (5000, 6000, 0.5), (6000, 1000, 0.2)]
 PARTITION_OVERLAP, PARTITION_STEP = 30, 10
+MIN_GENE = 100
 BASE_FRACTION, GC_FRACTION, AT_FRACTION = 0.75, 0.85, 0.90

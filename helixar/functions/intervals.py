@@ -6,7 +6,7 @@ it crosses the origin; c is the unwrapped end a + length. Joins never see wraps:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,89 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi:
     points = right.withColumn("_bucket", F.floor(F.col(point) / width))
     upper = F.col(point) <= F.col(hi) if closed else F.col(point) < F.col(hi)
     return wide.join(points, [*keys, "_bucket"]).filter((F.col(point) >= F.col(lo)) & upper).drop("_bucket")
+
+
+def cover(regions: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """(keys, length, lo, hi): the disjoint linear pieces, in no order, that `least` or more of regions(keys, a, n, length) cover.
+
+    A sweep over the pieces' ends, counted for each position first; pieces that touch are one.
+    """
+    c = F.col
+    p = regions.filter("n > 0").select(*keys, "length", F.explode(pieces(c("a"), F.least("n", "length"), c("length"))).alias("p"))
+    ends = p.select(*keys, "length", F.explode(F.array(F.struct(c("p.lo").alias("pos"), F.lit(1).alias("s")), F.struct(c("p.hi").alias("pos"), F.lit(-1).alias("s")))).alias("e"))
+    ends = ends.groupBy(*keys, "length", c("e.pos").alias("pos")).agg(F.sum("e.s").alias("s")).filter("s <> 0")
+    w = Window.partitionBy(*keys).orderBy("pos")
+    ends = ends.withColumn("depth", F.sum("s").over(w))
+    deep = (c("depth") >= least) != (c("depth") - c("s") >= least)  # a piece begins or ends here, by turns
+    return ends.filter(deep).withColumn("hi", F.lead("pos").over(w)).filter(c("depth") >= least).select(*keys, "length", c("pos").alias("lo"), "hi")
+
+
+def _rejoined(linear: DataFrame, by: list[str], crosses: Column) -> DataFrame:
+    """Linear pieces (lo, hi) as regions (a, n); of those with equal `by`, one that ends at the origin and one that starts there are one if `crosses`."""
+    c = F.col
+    w = Window.partitionBy(*by)
+    d = linear.withColumns({"_open": crosses, "_first": F.max(F.when(c("lo") == 0, c("hi"))).over(w), "_last": F.max(F.when(c("hi") == c("length"), c("lo"))).over(w)})
+    goes_on = c("_open") & c("_first").isNotNull() & c("_last").isNotNull() & (c("_last") > 0)
+    n = c("hi") - c("lo") + F.when(goes_on & (c("hi") == c("length")), c("_first")).otherwise(0)
+    return d.filter(~(goes_on & (c("lo") == 0))).withColumns({"a": c("lo"), "n": n.cast("int")}).drop("lo", "hi", "_open", "_first", "_last")
+
+
+def union(regions: DataFrame, keys: list[str], cyclic: bool = True, least: int = 1) -> DataFrame:
+    """(keys, length, a, n) of the regions that `least` or more of regions(keys, a, n, length) cover, over the origin of circles too."""
+    return _rejoined(cover(regions, keys, least), keys, F.lit(cyclic))
+
+
+def gaps(regions: DataFrame, keys: list[str], contexts: DataFrame | None = None, cyclic: bool = True) -> DataFrame:
+    """(keys, length, a, n) of what no region covers; contexts(keys, length) adds those without any region."""
+    c = F.col
+    whole = regions.select(*keys, "length").distinct()
+    if contexts is not None:
+        whole = whole.unionByName(contexts.select(*keys, "length")).distinct()
+    return difference(whole.withColumns({"a": F.lit(0), "n": c("length")}), regions, keys, [], cyclic)
+
+
+def _covered(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, DataFrame]:
+    """left(.., p) with its pieces as lo, hi, and those of them that meet a piece (c_lo, c_hi) of the cover of right, for each that they meet."""
+    c = F.col
+    lin = left.select("*", "p.lo", "p.hi").drop("p")
+    over = cover(right, keys).select(*keys, c("lo").alias("c_lo"), c("hi").alias("c_hi"))
+    inside = range_join(lin, over, keys, "lo", "hi", "c_lo", width)
+    before = range_join(over, lin, keys, "c_lo", "c_hi", "lo", width).filter("lo > c_lo")
+    cols = [*lin.columns, "c_lo", "c_hi"]
+    return lin, inside.select(*cols).unionByName(before.select(*cols))
+
+
+def touched(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], width: int = 1000) -> DataFrame:
+    """The rows of left(keys, ids, a, n, length, ..) that share a position with any of right(keys, a, n, length).
+
+    Only the disjoint cover of right is joined, so the pairs made are no more than the pieces that a region meets.
+    """
+    c = F.col
+    by = [*keys, *ids]
+    p = left.filter("n > 0").select(*by, "length", F.explode(pieces(c("a"), F.least("n", "length"), c("length"))).alias("p"))
+    met = _covered(p, right, keys, width)[1].select(*by).distinct()
+    return left.join(met, by, "left_semi")
+
+
+def difference(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], cyclic: bool = True, width: int = 1000) -> DataFrame:
+    """(keys, ids, length, a, n) of the parts of each of left(keys, ids, a, n, length) that none of right(keys, a, n, length) covers.
+
+    A region may give several parts; those on both sides of the origin are one if the region crosses it (and a whole circle, if cyclic).
+    keys and ids tell the left regions apart.
+    """
+    c = F.col
+    by = [*keys, *ids]
+    crosses = (c("a") + c("n") > c("length")) | (F.lit(cyclic and not ids) & (c("n") >= c("length")))
+    lin, hits = _covered(left.filter("n > 0").select(*by, "length", crosses.alias("_crosses"), F.explode(pieces(c("a"), F.least("n", "length"), c("length"))).alias("p")), right, keys, width)
+    end = lin.withColumns({"c_lo": c("hi"), "c_hi": c("hi")})  # so the part behind the last one is like those between
+    hits = hits.unionByName(end.select(*hits.columns))
+    w = Window.partitionBy(*by, "lo").orderBy("c_lo", "c_hi")
+    rest = hits.withColumn("_from", F.greatest(F.coalesce(F.lag("c_hi").over(w), c("lo")), c("lo"))).filter("_from < c_lo")
+    return _rejoined(rest.select(*by, "length", "_crosses", c("_from").alias("lo"), c("c_lo").alias("hi")), by, c("_crosses")).drop("_crosses")
+
+
+def exclusive(regions: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
+    """(keys, ids, length, a, n) of the parts of each region that no other one covers."""
+    c = F.col
+    shared = cover(regions, keys, 2).select(*keys, "length", c("lo").alias("a"), (c("hi") - c("lo")).alias("n"))
+    return difference(regions, shared, keys, ids)

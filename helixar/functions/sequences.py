@@ -185,6 +185,20 @@ def slice_complexity(bases: Column, i: Column, j: Column) -> Column:
     return run(bases, i, j)
 
 
+def slice_complexities(bases: Column, starts: Column, ends: Column, turns: int = 2) -> Column:
+    """Complexity of every [i, j) of two arrays on `turns` turns of the sequence, which is profiled once."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, p, q in zip(s, a, b, strict=True):
+            profile = Profile((x or "") * turns)
+            out.append([profile.cost(int(i), int(j)) for i, j in zip(p, q, strict=True)])
+        return pd.Series(out)
+
+    return run(bases, starts, ends)
+
+
 def flank_misprimings(code: np.ndarray, i: int, j: int, k: int = K.MIN_ANNEAL, fwd: np.ndarray | None = None, rev: np.ndarray | None = None) -> int:
     """Priming sites of [i, j) elsewhere: k-mers of the slice met in the flanks on the top strand, on the bottom
     strand (plus repeats of the bottom k-mers), and k-mers repeated within the slice."""

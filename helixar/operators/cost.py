@@ -106,13 +106,13 @@ def span_cost_cached(spark: SparkSession, root: str, params: dict | None = None)
     return spark.read.parquet(path)
 
 
-def lookup(edges: DataFrame, table: DataFrame, invalidate: bool = True) -> DataFrame:
+def lookup(edges: DataFrame, table: DataFrame, invalidate: bool = True, spans: tuple[int, int] | None = None) -> DataFrame:
     """edges(l, r, span, ..) with the table's columns; beyond the table's spans the nearest row, made impossible if invalidate.
 
-    The table is a few thousand rows, bounded by its parameters: it is broadcast.
+    The table is a few thousand rows, bounded by its parameters: it is broadcast. spans: its least and greatest, if known.
     """
     c = F.col
-    low, high = table.agg(F.min("span"), F.max("span")).first()
+    low, high = spans or table.agg(F.min("span"), F.max("span")).first()
     t = F.broadcast(table.withColumnRenamed("span", "_span"))
     e = edges.withColumn("_span", F.least(F.greatest(c("span"), F.lit(low)), F.lit(high)).cast("int"))
     out = e.join(t, ["l", "r", "_span"], "left").drop("_span")

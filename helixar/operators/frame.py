@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixar.functions import shared
+
 
 def values_of(df: DataFrame, axes: list[str]) -> list[str]:
     return [c for c in df.columns if c not in axes]
@@ -76,3 +78,17 @@ def last_of(df: DataFrame, keys: list[str], order: list[str], names: dict[str, s
     rest = [c for c in df.columns if c not in keys and c not in order]
     out = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("w")).select(*keys, "w.*")
     return out.withColumnsRenamed(names or {})
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """df with dense numbers from 0 in an order that tells all rows apart (null first): places in the parts of a range sort plus
+    the sizes of the parts before. The parts are checkpointed; only a count per part reaches the driver."""
+    spark = df.sparkSession
+    shared.folder(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = sorted(dealt.groupBy("_part").count().collect())  # a row per part
+    bases = [(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    base = F.broadcast(spark.createDataFrame(bases, "_part int, _base long"))
+    return dealt.withColumn(into, within).join(base, "_part").withColumn(into, (F.col(into) + F.col("_base")).cast("long")).drop("_part", "_base")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixar import constants as K
@@ -34,15 +34,31 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return both.select("query_key", "length", "node.*").distinct()
 
 
-def external_edges(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+def _pairs_within(ends: DataFrame, begins: DataFrame, least: int, most: int) -> DataFrame:
+    """Pairs of end and start nodes whose span can lie in [least, most]: spans are a - b and whole turns, so each start stands
+    for itself and its copies, and these meet the ends in buckets of positions. No pair comes twice."""
+    c = F.col
+    copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((2 * c("length") + most - c("a_i")) / c("length")).cast("int")))
+    points = begins.withColumn("_k", F.explode(copies)).select("*", (c("a_i") + c("_k") * c("length")).alias("_p")).drop("_k")
+    near = I.range_join(ends.withColumns({"_lo": c("b_i") + least, "_hi": c("b_i") + most}), points.drop("length"), ["query_key", "over"], "_lo", "_hi", "_p", max(64, (most - least) // 4), closed=True)
+    return near.drop("_lo", "_hi", "_p").distinct()
+
+
+def external_edges(nodes: DataFrame, starts: DataFrame, spans: tuple[int, int] | None = None) -> DataFrame:
     """Overlap and gap edges from end (B) to start (A) nodes of each goal, also over the origin, without costs.
 
     starts(query_key, start): starts of the goal's groups; an overlap needs one of them in its region. Of edges with equal
-    ends the one over the origin stays.
+    ends the one over the origin stays. spans: only edges of these spans, and only pairs that can have one are made.
     """
     c = F.col
     pick = lambda kind, p: nodes.filter(c("ntype") == kind).select("query_key", "length", c("index").alias(f"{p}_i"), c("expandable").alias(f"{p}_x"), c("overhang").alias("over"))
-    pairs = pick("B", "b").join(pick("A", "a").drop("length"), ["query_key", "over"])
+    # Of a start node and the goal's starts all that an overlap asks is the next start from the node on, and the first one.
+    at = nodes.filter(c("ntype") == "A").select("query_key", c("index").alias("a_i"), F.pmod(c("index"), c("length")).alias("_at")).distinct()
+    own = at.select("query_key", "a_i", "_at", F.lit(None).cast("int").alias("_s")).unionByName(starts.distinct().select("query_key", F.lit(None).cast("int").alias("a_i"), c("start").cast("int").alias("_at"), c("start").cast("int").alias("_s")))
+    from_here = Window.partitionBy("query_key").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumns({"_next": F.min("_s").over(from_here), "_first": F.min("_s").over(Window.partitionBy("query_key"))}).filter("a_i IS NOT NULL").select("query_key", "a_i", "_next", "_first")
+    begins = pick("A", "a").join(own, ["query_key", "a_i"])
+    pairs = pick("B", "b").join(begins.drop("length"), ["query_key", "over"]) if spans is None else _pairs_within(pick("B", "b"), begins, *spans)
     a, b, n = c("a_i"), c("b_i"), c("length")
     meets = (a <= n) & (b >= n)  # such a pair may close over the origin
     one = lambda span, origin: F.struct(span.cast("int").alias("span"), F.lit(origin).alias("origin"))
@@ -50,21 +66,22 @@ def external_edges(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     first, rest = I.make(F.lit(0), a, n, F.lit(True))["n"], I.make(b, a, n, F.lit(True))["n"]
     turn = one(F.when(b == n, first).otherwise(rest), 1)
     gaps = pairs.filter(~c("over")).withColumn("w", F.when(meets, turn).when(b <= a, one(a - b, 0)))
-    near = starts.groupBy("query_key").agg(F.collect_set("start").alias("starts"))
     q = c("q")
-    inside = F.exists("starts", lambda s: (s >= q["a"]) & (s <= q["b"]))
-    around = F.exists("starts", lambda s: (s >= q["a"]) | (s <= q["b"]))
-    over = pairs.filter(c("over") & ((b > a) | meets)).withColumn("q", I.make(a, b, n, F.lit(True))).filter("q.n <> 0").join(near, "query_key")
-    overlaps = over.withColumn("w", F.when(meets & around, one(-q["n"], 1)).when((b > a) & inside, one(a - b, 0))).drop("q", "starts")
+    inside = c("_next") <= q["b"]
+    around = c("_next").isNotNull() | (c("_first") <= q["b"])
+    over = pairs.filter(c("over") & ((b > a) | meets)).withColumn("q", I.make(a, b, n, F.lit(True))).filter("q.n <> 0")
+    overlaps = over.withColumn("w", F.when(meets & around, one(-q["n"], 1)).when((b > a) & inside, one(a - b, 0))).drop("q")
     tagged = overlaps.withColumn("mtype", F.lit(K.OVERLAP)).unionByName(gaps.withColumn("mtype", F.lit(K.GAP))).filter(c("w").isNotNull())
+    if spans is not None:
+        tagged = tagged.filter(c("w.span").between(*spans))
     node = lambda p, kind: F.struct(c(f"{p}_i").alias("index"), c(f"{p}_x").alias("expandable"), F.lit(kind).alias("ntype"), c("over").alias("overhang"))
     return tagged.select("query_key", node("b", "B").alias("src"), node("a", "A").alias("dst"), "mtype", F.lit("external").alias("kind"), "w.span", c("b_x").alias("l"), c("a_x").alias("r"), "w.origin", "length")
 
 
-def priced(external: DataFrame, table: DataFrame, threshold: float = K.COST_THRESHOLD) -> DataFrame:
+def priced(external: DataFrame, table: DataFrame, threshold: float = K.COST_THRESHOLD, spans: tuple[int, int] | None = None) -> DataFrame:
     """External edges with material, efficiency and cost; those over the threshold (or impossible) are dropped."""
     e = external.withColumns({"l": F.col("l").cast("int"), "r": F.col("r").cast("int")})
-    return C.lookup(e, table.select("l", "r", "span", "cost", "efficiency", "material")).filter(F.col("cost") <= threshold)
+    return C.lookup(e, table.select("l", "r", "span", "cost", "efficiency", "material"), spans=spans).filter(F.col("cost") <= threshold)
 
 
 def assembly_graph(groups: DataFrame, table: DataFrame, threshold: float = K.COST_THRESHOLD) -> DataFrame:
@@ -72,7 +89,8 @@ def assembly_graph(groups: DataFrame, table: DataFrame, threshold: float = K.COS
     cols = ["query_key", "src", "dst", "mtype", "kind", "span", "material", "efficiency", "cost", "length"]
     inner = internal_edges(groups)
     inner = inner.groupBy("query_key", "src", "dst").agg(F.max(F.struct("mtype", "kind", "span", "material", "efficiency", "cost", "length")).alias("w")).select("query_key", "src", "dst", "w.*")
-    outer = priced(external_edges(nodes_of(inner), groups.select("query_key", F.col("a").alias("start"))), table, threshold)
+    spans = table.agg(F.min("span"), F.max("span")).first()  # beyond them nothing has a price
+    outer = priced(external_edges(nodes_of(inner), groups.select("query_key", F.col("a").alias("start")), tuple(spans)), table, threshold, spans)
     return inner.select(*cols).unionByName(outer.select(*cols))
 
 
@@ -107,8 +125,11 @@ def score_complexity(edges: DataFrame, goals: DataFrame, threshold: float = K.CO
     wanted = (c("mtype").isin([K.GAP, K.SHARED])) & (c("span") > 0)
     start = F.when(c("src.index") >= c("length"), c("src.index") - c("length")).otherwise(c("src.index"))
     keyed = edges.withColumn("_a", F.when(wanted, start))
-    parts = keyed.filter(wanted).select("query_key", "_a", "span").distinct().join(goals.select(c("key").alias("query_key"), F.concat("bases", "bases").alias("_s")), "query_key")
-    parts = parts.select("query_key", "_a", "span", S.slice_complexity(c("_s"), c("_a"), c("_a") + c("span")).alias("complexity"))
+    # a goal's stretches go to its bases in one row, so each goal is profiled once
+    asked = keyed.filter(wanted).groupBy("query_key").agg(F.collect_set(F.struct("_a", "span")).alias("at"))
+    asked = asked.join(goals.select(c("key").alias("query_key"), c("bases").alias("_s")), "query_key")
+    costs = S.slice_complexities(c("_s"), F.transform("at", lambda x: x["_a"]), F.transform("at", lambda x: x["_a"] + x["span"]))
+    parts = asked.select("query_key", F.explode(F.arrays_zip("at", costs.alias("complexity"))).alias("x")).select("query_key", "x.at._a", "x.at.span", "x.complexity")
     out = keyed.join(parts, ["query_key", "_a", "span"], "left").drop("_a")
     out = out.withColumn("efficiency", F.coalesce(complexity_efficiency(c("complexity"), c("efficiency"), threshold), c("efficiency")))
     return out.withColumn("cost", C.adjust(c("material"), c("efficiency")))

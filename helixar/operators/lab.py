@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,51 @@ def digest(sequences: DataFrame, site: str, cut: int) -> DataFrame:
     return d.select("key", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("start", F.lit(0)).alias("start"), F.when(F.col("start").isNull(), F.col("length")).otherwise(F.coalesce(F.lead("start").over(w), last) - F.col("start")).alias("n")).filter("n > 0")
 
 
-def junctions(sequences: DataFrame, least: int = 15, most: int = 60) -> DataFrame:
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+
+
+def _end_hashes(seqs: DataFrame, least: int) -> DataFrame:
+    """(mix, key, strand, at_end, n, h): a hash of the first and of the last n bases of mix, key, strand, s, for every n from least on.
+
+    Hashes are polynomials, so all of a piece's come from one running sum.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mix, key, strand = (batch.column(i).slice(row, 1) for i in range(3))
+                x = np.frombuffer(batch.column(3)[row].as_py().encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+                powers = np.cumprod(np.full(len(x), _BASE, np.uint64))
+                inverse = np.cumprod(np.full(len(x) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers)])
+                n = np.arange(least, len(x) + 1)
+                ends = (total[-1] - total[len(x) - n]) * np.where(n < len(x), inverse[np.maximum(len(x) - n - 1, 0)], np.uint64(1))
+                for i in range(0, len(n), 65536):
+                    for at_end, h in ((False, total[n[i : i + 65536]]), (True, ends[i : i + 65536])):
+                        k = len(h)
+                        same = [v.take(pa.array(np.zeros(k, np.int64))) for v in (mix, key, strand)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(k, at_end)), pa.array(n[i : i + 65536].astype(np.int32)), pa.array(h.view(np.int64))], ["mix", "key", "strand", "at_end", "n", "h"])
+
+    kinds = dict(seqs.dtypes)
+    return seqs.filter(F.length("s") >= least).select("mix", "key", "strand", "s").mapInArrow(run, f"mix {kinds['mix']}, key {kinds['key']}, strand int, at_end boolean, n int, h long")
+
+
+def junctions(sequences: DataFrame, least: int = 15, mix: str | None = None) -> DataFrame:
     """Pairs of linear sequences(key, bases) where the end of one is the start of the other (or of its reverse complement):
-    longest such overlap and its melting temperature."""
-    s = sequences.select("key", F.upper("bases").alias("bases")).filter(F.length("bases") >= least)
-    both = s.select("key", F.lit(1).alias("strand"), "bases").unionByName(s.select("key", F.lit(-1).alias("strand"), S.reverse_complement(F.col("bases")).alias("bases")))
-    cut = lambda side: F.explode(F.expr(f"transform(sequence({least}, least({most}, length(bases))), n -> {side}(bases, n))")).alias("x")
-    ends = both.select(F.col("key").alias("left"), F.col("strand").alias("left_strand"), cut("right"))
-    starts = both.select(F.col("key").alias("right"), F.col("strand").alias("right_strand"), cut("left"))
-    hit = ends.join(starts, "x").filter("left <> right").groupBy("left", "left_strand", "right", "right_strand").agg(F.max(F.struct(F.length("x").alias("n"), "x")).alias("m"))
-    return hit.select("left", "left_strand", "right", "right_strand", "m.n", S.primer_tm(F.col("m.x")).alias("tm"))
+    (left, left_strand, right, right_strand, n, tm) with the longest such overlap, of any length from `least` on, and the
+    melting temperature of its last 60 bases. mix: only sequences with equal values of this column, which comes first then.
+
+    Ends and starts meet by length and hash, so only bases that are equal all along do, and are compared then.
+    """
+    one = F.lit("") if mix is None else F.col(mix)
+    s = sequences.select(one.alias("mix"), "key", F.upper("bases").alias("s")).filter(F.length("s") >= least)
+    both = s.select("mix", "key", F.lit(1).alias("strand"), "s").unionByName(s.select("mix", "key", F.lit(-1).alias("strand"), S.reverse_complement(F.col("s")).alias("s")))
+    hashed = _end_hashes(both, least)
+    ends = hashed.filter("at_end").select("mix", F.col("key").alias("left"), F.col("strand").alias("left_strand"), "n", "h")
+    starts = hashed.filter("NOT at_end").select("mix", F.col("key").alias("right"), F.col("strand").alias("right_strand"), "n", "h")
+    hit = ends.join(starts, ["mix", "n", "h"]).filter("left <> right").drop("h")
+    for side in ("left", "right"):
+        hit = hit.join(both.select("mix", F.col("key").alias(side), F.col("strand").alias(f"{side}_strand"), F.col("s").alias(f"_{side}")), ["mix", side, f"{side}_strand"])
+    hit = hit.filter(F.expr("right(_left, n) = left(_right, n)"))
+    longest = hit.groupBy("mix", "left", "left_strand", "right", "right_strand").agg(F.max(F.struct("n", F.expr("right(_left, least(n, 60))").alias("x"))).alias("m"))
+    return longest.select(*([F.col("mix").alias(mix)] if mix else []), "left", "left_strand", "right", "right_strand", "m.n", S.primer_tm(F.col("m.x")).alias("tm"))

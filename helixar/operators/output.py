@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from helixar import constants as K
 from helixar.functions import sequences as S
-from helixar.operators import paths
+from helixar.functions import thermo
+from helixar.operators import frame, paths
 
 
 def summary_rows(edges: DataFrame, alignments: DataFrame) -> DataFrame:
@@ -34,16 +35,20 @@ def molecule_key(mtype, seq):
     return F.concat_ws("|", F.lit("molecule"), mtype, S.content_key(seq))
 
 
-def plan_dag(reactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(molecules, dag reactions): one row per content key with the designs that use it.
+def with_keys(reactions: DataFrame) -> DataFrame:
+    """reactions with the content keys of their molecules, in_keys and out_keys, and their own, reaction_key.
 
     An assembly reaction is a reaction of its own for each assembly rank; others are shared by content.
     """
-    c = F.col
     keys = lambda side: F.array_sort(F.transform(side, lambda m: molecule_key(m["mtype"], m["seq"])))
     r = reactions.withColumns({"in_keys": keys("inputs"), "out_keys": keys("outputs")})
-    rank = F.when(c("name") == "Assembly", c("assembly_id").cast("string")).otherwise("")
-    r = r.withColumn("reaction_key", F.sha1(F.concat_ws("\n", "name", rank, F.array_join("in_keys", ","), F.lit("->"), F.array_join("out_keys", ",")).cast("binary")))
+    rank = F.when(F.col("name") == "Assembly", F.col("assembly_id").cast("string")).otherwise("")
+    return r.withColumn("reaction_key", F.sha1(F.concat_ws("\n", "name", rank, F.array_join("in_keys", ","), F.lit("->"), F.array_join("out_keys", ",")).cast("binary")))
+
+
+def plan_dag(reactions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(molecules, dag reactions): one row per content key with the designs that use it."""
+    r = reactions if "reaction_key" in reactions.columns else with_keys(reactions)
     used = F.sort_array(F.collect_set(F.struct("design_key", "assembly_id"))).alias("used_in")
     dag = r.groupBy("reaction_key", "name", "in_keys", "out_keys").agg(used)
     m = r.select("design_key", "assembly_id", F.explode(F.concat(F.array_distinct("in_keys"), F.array_distinct("out_keys"))).alias("molecule_key"))
@@ -130,13 +135,13 @@ def molecule(mtype, seq, key=None, a=None, b=None, length=None):
 _NO_INPUTS = "array<struct<mtype:string,seq:string,key:string,region:struct<a:int,b:int,context_length:int>>>"
 
 
-def reactions_of(edges: DataFrame, goals: DataFrame, table: DataFrame, alignments: DataFrame, stock: DataFrame, primed: DataFrame | None = None) -> DataFrame:
+def reactions_of(edges: DataFrame, goals: DataFrame, table: DataFrame, alignments: DataFrame, stock: DataFrame, primed: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
     """Reactions of assembly edges: PCR or direct use of internal pieces, synthesis of genes, and the assembly itself.
 
     A PCR product reaches over both junctions by their extensions; a new primer is that overhang and the bases that anneal
-    to the product's end (see functions.sequences.design_primer), a primer of the inventory is taken as it is, without
+    to the product's end, chosen with its partner (functions.thermo; by the GC rule where bases are unknown), a primer of the inventory is taken as it is, without
     overhang. Its template is the record of alignments(query_key, atype, a, n, subject_key) that covers the product, the
-    least key of several; bases come from stock(key, bases); two overlapping primers that extend each other have none. primed: alignments of inventory primers with their `bases`.
+    least key of several, unless best(query_key, mtype, a, b, template) names the one that the product was priced with; bases come from stock(key, bases); two overlapping primers that extend each other have none. primed: alignments of inventory primers with their `bases`.
     A junction that its primers close alone has no reaction.
     """
     c = F.col
@@ -156,6 +161,10 @@ def reactions_of(edges: DataFrame, goals: DataFrame, table: DataFrame, alignment
     here = alignments.select(c("query_key").alias("_q"), kind.alias("_t"), c("a").alias("_b"), c("n").alias("_m"), "subject_key").distinct()
     covers = (c("query_key") == c("_q")) & (c("_t") == F.when(is_fragment, F.lit(K.FRAGMENT)).otherwise(F.lit(K.PCR))) & (F.pmod(c("_a") - c("_b"), c("length")) + c("_n") <= c("_m"))
     source = e.filter(is_pcr | is_fragment).filter(~is_extension).join(here, covers).groupBy(*at).agg(F.min("subject_key").alias("_key"))
+    if best is not None:
+        wanted = e.filter(is_pcr).select(*at, "mtype", c("_a").cast("int").alias("a"), (F.pmod(c("_a") + c("_n") - 1, c("length")) + 1).cast("int").alias("b"))
+        wanted = wanted.join(best.select("query_key", "mtype", "a", "b", "template"), ["query_key", "mtype", "a", "b"]).select(*at, "template")
+        source = source.join(wanted, at, "full").select(*at, F.coalesce("template", "_key").alias("_key"))
     source = source.join(stock.select(c("key").alias("_key"), F.upper("bases").alias("_stock")), "_key")
     e = e.join(source, at, "left")
     if primed is not None:
@@ -166,15 +175,17 @@ def reactions_of(edges: DataFrame, goals: DataFrame, table: DataFrame, alignment
             e = e.join(own, at, "left")
     else:
         e = e.withColumns({x: F.lit(None).cast("struct<key:string,seq:string>") for x in ("_fwd", "_rev")})
-    left = molecule(K.PRIMER, F.coalesce("_fwd.seq", F.concat("_left", S.design_primer(c("_core")))), c("_fwd.key"))
-    right = molecule(K.PRIMER, F.coalesce("_rev.seq", F.concat("_right", S.design_primer(S.reverse_complement(c("_core"))))), c("_rev.key"))
+    e = e.withColumn("_pair", thermo.primer_pair(F.when(is_pcr, c("_core")), c("_fwd.seq"), c("_rev.seq")))
+    left = molecule(K.PRIMER, F.coalesce("_fwd.seq", F.concat("_left", F.coalesce("_pair.left", S.design_primer(c("_core"))))), c("_fwd.key"))
+    right = molecule(K.PRIMER, F.coalesce("_rev.seq", F.concat("_right", F.coalesce("_pair.right", S.design_primer(S.reverse_complement(c("_core")))))), c("_rev.key"))
     inputs = F.when(is_extension, F.array(left, right)).when(is_pcr, F.array(left, right, molecule(K.TEMPLATE, c("_stock"), c("_key")))).otherwise(F.array().cast(_NO_INPUTS))
     made = F.when(is_fragment, F.coalesce("_stock", "_product")).otherwise(c("_product"))
     out = molecule(c("mtype"), made, F.when(is_fragment, c("_key")), c("_a") - c("_lo"), c("_a") + c("_n") + c("_hi"), c("length"))
     name = F.when(is_extension, "Primer Extension").when(is_pcr, "PCR").when(is_fragment, "Retrieve Fragment").otherwise("Synthesize")
-    parts = e.select(c("query_key").alias("design_key"), c("rank").alias("assembly_id"), c("pos").alias("reaction_id"), name.alias("name"), inputs.alias("inputs"), F.array(out).alias("outputs"), "_s", "length")
+    prices = ["material", "efficiency", *[x for x in ("complexity",) if x in e.columns]]
+    parts = e.select(c("query_key").alias("design_key"), c("rank").alias("assembly_id"), c("pos").alias("reaction_id"), name.alias("name"), inputs.alias("inputs"), F.array(out).alias("outputs"), *prices, "_s", "length")
     whole = molecule("PLASMID", F.first("_s"), None, F.lit(0), F.first("length"), F.first("length"))
-    final = parts.groupBy("design_key", "assembly_id").agg((F.max("reaction_id") + 1).alias("reaction_id"), F.lit("Assembly").alias("name"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("reaction_id", "outputs"))), lambda x: x["outputs"])).alias("inputs"), F.array(whole).alias("outputs"))
+    final = parts.groupBy("design_key", "assembly_id").agg((F.max("reaction_id") + 1).alias("reaction_id"), F.lit("Assembly").alias("name"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("reaction_id", "outputs"))), lambda x: x["outputs"])).alias("inputs"), F.array(whole).alias("outputs"), F.sum("material").alias("material"), F.product("efficiency").alias("efficiency"), *[F.max(x).alias(x) for x in prices[2:]])
     return parts.drop("_s", "length").unionByName(final)
 
 
@@ -182,7 +193,7 @@ def reaction_table(reactions: DataFrame, goals: DataFrame, rank: int | None = No
     """The full table of molecules over all designs: 13 columns, the designs numbered from 0 by key; rank: one assembly's rank."""
     c = F.col
     ids = goals.groupBy(c("key").alias("design_key")).agg(F.min("name").alias("name") if "name" in goals.columns else F.min("key").alias("name"))
-    ids = ids.withColumn("design_id", F.row_number().over(Window.orderBy("design_key")) - 1)  # a row per design, the driver's own list
+    ids = frame.numbered(ids, ["design_key"], "design_id")
     chosen = reactions if rank is None else reactions.filter(c("assembly_id") == rank)
     sides = F.array(*[F.struct(F.lit(x).alias("role"), c(y).alias("m")) for x, y in (("INPUT", "inputs"), ("OUTPUT", "outputs"))])
     d = chosen.select("design_key", "assembly_id", "reaction_id", c("name").alias("reaction_name"), F.explode(sides).alias("s")).select("*", F.explode("s.m").alias("x")).join(ids, "design_key")

@@ -1,8 +1,9 @@
 """Path search over assembly graphs: objective SUM(material) / PROD(efficiency), per goal in an Arrow kernel.
 
 The objective has no optimal substructure, so all-pairs search follows the sweep over intermediate nodes in node order
-(by index), and every tie is broken by position: results do not depend on row order. A kernel holds one goal's graph:
-O(N^2) memory, refused beyond `most` nodes.
+(by index), and every tie is broken by position: results do not depend on row order. A kernel holds one goal's graph. Up to
+`most` nodes it holds matrices of all pairs; a larger graph is searched from one node after the other over its lists of
+edges, in memory that grows with nodes and edges alone.
 """
 
 from __future__ import annotations
@@ -15,26 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INF = float("inf")
-
+from helixar.operators.objective import MATERIAL_OVER_EFFICIENCY, sweep
 
-class GraphTooLarge(ValueError):
-    """A goal's graph has more nodes than one kernel may hold."""
+INF = float("inf")
 
 
 def all_pairs(n: int, src: np.ndarray, dst: np.ndarray, material: np.ndarray, efficiency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(material, efficiency) matrices of the paths found; no path: infinite material, efficiency 1."""
-    m, e = np.full((n, n), INF), np.ones((n, n))
-    m[src, dst], e[src, dst] = material, efficiency
-    np.fill_diagonal(m, 0.0)
-    np.fill_diagonal(e, 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for i in range(n):
-            pm, pe = m[:, i : i + 1] + m[i : i + 1, :], e[:, i : i + 1] * e[i : i + 1, :]
-            now, part = m / e, pm / pe
-            better = np.where(np.isnan(now), INF, now) > part
-            m, e = np.where(better, pm, m), np.where(better, pe, e)
-    return m, e
+    _, (e, m), reached = sweep(n, src, dst, [efficiency, material], MATERIAL_OVER_EFFICIENCY)
+    return np.where(reached, m, INF), np.where(reached, e, 1.0)
 
 
 def shortest(adjacency: dict, start, goal=None) -> dict:
@@ -97,6 +87,69 @@ def cyclic_weights(nodes: list[tuple], m: np.ndarray, e: np.ndarray, length: int
     return w
 
 
+def _close(nodes: list[tuple], adjacency: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(material, efficiency) of each node's way once around to its copy, by a search; none: infinite, 0."""
+    here, m, e = set(nodes), np.full(len(nodes), INF), np.zeros(len(nodes))
+    for i, x in enumerate(nodes):
+        copy = (x[0] + length, *x[1:])
+        found = shortest(adjacency, x, copy) if copy in here else {}
+        if copy in found:
+            m[i], e[i] = found[copy][1:3]
+    return m, e
+
+
+def lazy_pairs(nodes: list[tuple], adjacency: dict, length: int, exact: bool):
+    """(weight, i, j) of all pairs in the order of cyclic_weights (exact: i -> j -> i), by a search from each node: rows of weights are made when they
+    are wanted, and the least of each row is all that is kept of it."""
+    at = {x: i for i, x in enumerate(nodes)}
+    if exact:
+        back: dict = {}
+        for a, nexts in adjacency.items():
+            for b, step in nexts.items():
+                back.setdefault(b, {})[a] = step
+    else:
+        close_m, close_e = _close(nodes, adjacency, length)
+
+    def row(i: int) -> np.ndarray:
+        m, e = np.full(len(nodes), INF), np.ones(len(nodes))
+        for x, (_, dm, de, _) in shortest(adjacency, nodes[i]).items():
+            m[at[x]], e[at[x]] = dm, de
+        if exact:
+            back_m, back_e = np.full(len(nodes), INF), np.ones(len(nodes))
+            for x, (_, dm, de, _) in shortest(back, nodes[i]).items():
+                back_m[at[x]], back_e[at[x]] = dm, de
+        else:
+            back_m, back_e = close_m, close_e
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = (m + back_m) / (e * back_e)
+        w[np.isnan(w)] = INF
+        w[i] = INF
+        return w
+
+    queue = []
+    for i in range(len(nodes)):
+        w = row(i)
+        if w.min() < INF:
+            queue.append((float(w.min()), i, int(w.argmin())))
+    heapq.heapify(queue)
+    held: tuple = (None, None, None)  # the last row looked at, in order
+    while queue:
+        weight, i, j = queue[0]
+        yield weight, i, j
+        if held[0] != i:
+            w = row(i)
+            order = np.argsort(w, kind="stable")
+            place = np.empty(len(w), np.int64)
+            place[order] = np.arange(len(w))
+            held = (i, w, (order, place))
+        w, (order, place) = held[1], held[2]
+        k = int(place[j]) + 1
+        if k < len(w) and w[order[k]] < INF:
+            heapq.heapreplace(queue, (float(w[order[k]]), i, int(order[k])))
+        else:
+            heapq.heappop(queue)
+
+
 ASSEMBLY = "query_key string, rank int, cost double, material double, efficiency double, n_nodes int, path array<struct<index:int,expandable:boolean,ntype:string,overhang:boolean>>"
 
 
@@ -112,26 +165,31 @@ def assemblies(edges: DataFrame, n_paths: int = 3, most: int = 3000, exact: bool
         src, dst = [node(s) for s in pdf["src"]], [node(s) for s in pdf["dst"]]
         length = int(pdf["length"].iloc[0])
         nodes = sorted({*src, *dst})
-        if len(nodes) > most:
-            raise GraphTooLarge(f"{pdf['query_key'].iloc[0]}: {len(nodes)} nodes; {most} at most")
         at = {x: i for i, x in enumerate(nodes)}
         data = {(a, b): (x, y, int(s), k) for a, b, x, y, s, k in zip(src, dst, pdf["material"], pdf["efficiency"], pdf["span"], pdf["mtype"], strict=True)}
         adjacency: dict = {}
         for (a, b), (x, y, _, _) in sorted(data.items()):
             adjacency.setdefault(a, {})[b] = (x, y)
-        keys = sorted(data)
-        m, e = all_pairs(len(nodes), *(np.array([at[k[i]] for k in keys], int) for i in (0, 1)), np.array([data[k][0] for k in keys]), np.array([data[k][1] for k in keys]))
-        if exact:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                w = (m + m.T) / (e * e.T)
-            w[np.isnan(w)] = INF
-            np.fill_diagonal(w, INF)
-        else:
-            w = cyclic_weights(nodes, m, e, length)
+
+        def pairs():
+            if len(nodes) > most:
+                yield from lazy_pairs(nodes, adjacency, length, exact)
+                return
+            keys = sorted(data)
+            m, e = all_pairs(len(nodes), *(np.array([at[k[i]] for k in keys], int) for i in (0, 1)), np.array([data[k][0] for k in keys]), np.array([data[k][1] for k in keys]))
+            if exact:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = (m + m.T) / (e * e.T)
+                w[np.isnan(w)] = INF
+                np.fill_diagonal(w, INF)
+            else:
+                w = cyclic_weights(nodes, m, e, length)
+            for f in np.argsort(w, axis=None, kind="stable").tolist():
+                yield w.flat[f], *divmod(f, len(nodes))
+
         found, rows = [], []
-        for f in np.argsort(w, axis=None, kind="stable").tolist():
-            i, j = divmod(f, len(nodes))
-            if not w[i, j] < INF or len(found) >= n_paths:
+        for weight, i, j in pairs():
+            if not weight < INF or len(found) >= n_paths:
                 break
             path = multipoint(adjacency, [nodes[i], nodes[j]], True)
             if path is None:
@@ -164,7 +222,12 @@ def path_distances(edges: DataFrame, most: int = 3000) -> DataFrame:
     def solve(key, src, dst, material, efficiency):
         nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         if len(nodes) > most:
-            raise GraphTooLarge(f"{key}: {len(nodes)} nodes; {most} at most")
+            near: dict = {}
+            for a, b, m, e in zip(src.tolist(), dst.tolist(), material.tolist(), efficiency.tolist(), strict=True):
+                near.setdefault(a, {})[b] = (m, e)
+            rows = [(a, b, x[1], x[2]) for a in nodes.tolist() for b, x in shortest(near, a).items()]
+            i, j, m, e = (np.asarray(x) for x in zip(*rows, strict=True))
+            return np.full(len(i), key), i, j, m, e
         m, e = all_pairs(len(nodes), at[: len(src)], at[len(src) :], material, efficiency)
         i, j = np.nonzero(m < INF)
         return np.full(len(i), key), nodes[i], nodes[j], m[i, j], e[i, j]
@@ -242,6 +305,36 @@ def edit_steps(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
     return d.select(*keys, "pos", F.when(F.col("l_here").isNull() | F.col("r_here").isNull(), len(fields)).otherwise(differ).alias("n_differ"))
 
 
+_LETTERS = 20_000  # from U+4E00 on, none of them a surrogate
+
+
+def token_edits(left: Column, right: Column, cyclic: bool = True, most: int | None = None) -> Column:
+    """Edit distance of two arrays of tokens: insertions, deletions and replacements of whole tokens, those that are null being equal.
+
+    cyclic: of the turn of `left` that is nearest. most: distances over it are null, and only a band of that width is looked at.
+    Tokens become letters of one text, the same for equal ones, and texts are compared by the built-in function.
+    """
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("\x00"))
+    l, r = (F.coalesce(F.transform(x, text), F.array().cast("array<string>")) for x in (left, right))
+    known = F.array_distinct(F.concat(l, r))
+    letters = F.lit("".join(chr(0x4E00 + i) for i in range(_LETTERS)))
+    spell = lambda x: F.array_join(F.transform(x, lambda t: F.substring(letters, F.array_position(known, t).cast("int"), F.lit(1))), "")
+    a, b = spell(l), spell(r)
+
+    def distance(x: Column) -> Column:
+        if most is None:
+            return F.levenshtein(x, b)
+        d = F.levenshtein(x, b, most)
+        return F.when(d >= 0, d)
+
+    if not cyclic:
+        d = distance(a)
+    else:
+        turns = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.concat(F.substring(a, i, F.length(a)), F.substring(a, F.lit(1), i - 1)))
+        d = F.array_min(F.transform(turns, distance))
+    return F.when(F.size(known) <= _LETTERS, d).otherwise(F.raise_error(F.lit(f"over {_LETTERS} different tokens")).cast("int"))
+
+
 def distances_from(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
     """Best paths from sources(query_key, source) of plain graphs edges(query_key, src, dst, material, efficiency) by a search
     ordered by SUM / PROD: (query_key, source, node, material, efficiency, cost), to a cost of `cutoff` at most. Nodes are numbers."""

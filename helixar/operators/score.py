@@ -32,9 +32,13 @@ def window_counts(sequences: DataFrame, w: int = K.STATS_WINDOW) -> DataFrame:
 
 def tiled_complexity(sequences: DataFrame, sizes: tuple = (100, 500, 1000, 2000), step: int = 100) -> DataFrame:
     """Complexity of windows of each size every `step` bases around circular sequences(key, bases)."""
-    tiles = sequences.withColumn("size", F.explode(F.array(*[F.lit(x) for x in sizes]))).filter(F.col("size") <= F.length("bases"))
-    tiles = tiles.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("bases") - 1, F.lit(step))))
-    return tiles.select("key", "size", "start", S.slice_complexity(F.concat("bases", "bases"), F.col("start"), F.col("start") + F.col("size")).alias("complexity"))
+    n = F.length("bases")
+    starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+    tiles = F.flatten(F.transform(F.filter(F.array(*[F.lit(x) for x in sizes]), lambda k: k <= n), lambda k: F.transform(starts, lambda a: F.struct(k.alias("size"), a.cast("int").alias("start")))))
+    t = sequences.filter(n >= min(sizes)).select("key", "bases", tiles.alias("tiles"))
+    costs = S.slice_complexities(F.col("bases"), F.transform("tiles", lambda x: x["start"]), F.transform("tiles", lambda x: x["start"] + x["size"]))
+    t = t.select("key", F.explode(F.arrays_zip("tiles", costs.alias("complexity"))).alias("x"))  # a sequence is sent and profiled once
+    return t.select("key", "x.tiles.size", "x.tiles.start", "x.complexity")
 
 
 def best_cut(p: S.Profile, i: int, j: int, step: int, overlap: int) -> tuple[int | None, float]:
@@ -87,10 +91,10 @@ def partition_points(sequences: DataFrame, threshold: float = K.COMPLEXITY_THRES
     return sequences.select("key", F.explode(run("bases", "is_circular")).alias("cut"))
 
 
-def partition_edges(edges: DataFrame, cuts: DataFrame, overlap: int = K.PARTITION_OVERLAP) -> DataFrame:
-    """For gap edges B -> A too complex and long to synthesize, the three edges through each cut in them, without cost."""
+def partition_edges(edges: DataFrame, cuts: DataFrame, overlap: int = K.PARTITION_OVERLAP, least: int = K.MIN_GENE) -> DataFrame:
+    """For gap edges B -> A too complex to synthesize and longer than two genes of the least size, the three edges through each cut in them, without cost."""
     c = F.col
-    wide = edges.filter((c("mtype") == K.GAP) & (c("span") > 200) & (c("complexity") >= K.COMPLEXITY_THRESHOLD))
+    wide = edges.filter((c("mtype") == K.GAP) & (c("span") > 2 * least) & (c("complexity") >= K.COMPLEXITY_THRESHOLD))
     e = wide.join(cuts.select(c("key").alias("query_key"), "cut"), "query_key").filter(I.has(c("cut"), F.pmod(c("src.index"), c("length")), c("span"), c("length")))
     turns = c("src.index") - F.pmod(c("src.index"), c("length"))
     at = F.when(c("cut") < F.pmod(c("src.index"), c("length")), c("cut") + c("length")).otherwise(c("cut")) + turns

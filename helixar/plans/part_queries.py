@@ -10,7 +10,7 @@ from helixar import constants as K
 from helixar.functions import sequences as S
 from helixar.functions import shared
 from helixar.operators import cost, expand, frame, lab, library, output, paths, score
-from helixar.plans.queries import _CHAIN, _DNA, _MOL, _PRIMER, _RX, _SPANS, _SYNTH, _chain, _reactions, all_links, bases, c, query, read, spans
+from helixar.plans.queries import _CHAIN, _DNA, _KEYS, _MOL, _RX, _SPANS, _SYNTH, _chain, _keys, _reactions, all_links, bases, c, query, read, spans
 from helixar.sources import sequences as files
 
 _KEYED = f"d as (select doc_id::varchar as key, doc_id % 2 = 0 is_circular, {_DNA} s from documents)"
@@ -60,7 +60,7 @@ def pcr_products(spark, sf):
 
 @query(f"""with b as (select item_id, {_DNA} s from benchmark), pc as (select item_id || ':' || i as key, s[greatest(i * 100 - 19, 1):i * 100 + 100] s from b, lateral (select unnest(range(0, len(s) // 100)) i)),
 both_s as (select key, 1 strand, s from pc union all select key, -1, reverse(translate(s, 'ACGT', 'TGCA')) from pc),
-e as (select key, strand, right(s, n) x from both_s, range(15, 61) q(n)), st as (select key, strand, left(s, n) x from both_s, range(15, 61) q(n))
+e as (select key, strand, right(s, n) x from both_s, lateral (select unnest(range(15, len(s) + 1)) n)), st as (select key, strand, left(s, n) x from both_s, lateral (select unnest(range(15, len(s) + 1)) n))
 select e.key "left", e.strand left_strand, st.key "right", st.strand right_strand, cast(max(len(e.x)) as int) n from e join st using (x) where e.key <> st.key group by 1, 2, 3, 4""")
 def junction_overlaps(spark, sf):
     b = bases(read(spark, sf, "benchmark"), "item_id").filter("length(bases) >= 100").withColumn("i", F.explode(F.expr("sequence(0, length(bases) div 100 - 1)")))
@@ -122,11 +122,14 @@ def sub_alignments(spark, sf):
     return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.alias("s")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.sa", "s.sb")
 
 
-@query(f"""with {_SYNTH}, bo as (select coalesce(p.l, s.l) l, coalesce(p.r, s.r) r, coalesce(p.span, s.span) span, least(p.cost, s.cost) as cost from primer p full join syn s on p.l = s.l and p.r = s.r and p.span = s.span)
-select l, r, count(*) filter (where cost is not null) n_spans, round(min(cost), 6) least_cost, round(sum(cost), 4) sum_cost from bo where span between -300 and 2248 group by 1, 2""")
+@query(f"""with {_SYNTH}, bo as (select coalesce(p.l, s.l) l, coalesce(p.r, s.r) r, coalesce(p.span, s.span) span, least(p.cost, s.cost) as cost, coalesce(p.cost <= s.cost, p.cost is not null) primers, w.le left_ext, w.re right_ext, s.k.size size, s.k.ls lshift from primer p full join syn s on p.l = s.l and p.r = s.r and p.span = s.span),
+{_KEYS.format(n=2549, low=-300)}
+select o_orderkey, l, r, span, round(bo.cost, 6) as cost, case when primers then left_ext end::int left_ext, case when primers then right_ext end::int right_ext, case when not primers then size end::int size, case when not primers then lshift end::int lshift from q left join bo using (l, r, span)""")
 def span_cost_table(spark, sf):
+    """Orders as junctions: the cheaper model's price, with the primers' extensions or the gene's size and place."""
     t = cost.span_cost(spark).filter(c("cost") < float("inf"))
-    return t.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n_spans"), F.round(F.min("cost"), 6).alias("least_cost"), F.round(F.sum("cost"), 4).alias("sum_cost"))
+    t = _keys(spark, sf, 2549, -300).join(F.broadcast(t), ["l", "r", "span"], "left")
+    return t.select("o_orderkey", "l", "r", "span", F.round("cost", 6).alias("cost"), *[c(x).cast("int").alias(x) for x in ("left_ext", "right_ext", "size", "lshift")])
 
 
 @query("select l_orderkey query_key, l_linenumber as rank, round(sum(l_extendedprice), 4) material, round(product(1 - l_discount), 8) efficiency, round(sum(l_extendedprice) / product(1 - l_discount), 4) as cost, count(*) n_edges, max(l_quantity) max_complexity from lineitem group by 1, 2")

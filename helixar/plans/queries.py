@@ -11,6 +11,7 @@ from helixar import constants as K
 from helixar.functions import intervals as I
 from helixar.functions import sequences as S
 from helixar.operators import cost, expand, frame, graph, library, match, output, paths, score
+from helixar.sources import params
 
 c = F.col
 L = 1000
@@ -147,32 +148,48 @@ def gap_edges(spark, sf):
     return e.select("query_key", c("src.index").alias("j"), c("l").alias("bx"), c("dst.index").alias("i"), c("r").alias("ax"), "span", "origin")
 
 
-_BAND = "(values (0, 10, 0.0::double), (10, 15, 0.3), (15, 20, 0.6), (20, 30, 0.8), (30, 45, 0.9), (45, 50, 0.8), (50, 100, 0.75), (100, 120, 0.5), (120, 150, 0.3), (150, 250, 0.1), (250, 300, 0.0))"
-_PRIMER = f"""p as (select 0 e, 0 ext, 0.0::double m, 0.0::double d union all select 1, x - 16, x * 0.15::double, 1.5 from range(16, 60) t(x) union all select 1, x - 16, x * 0.40::double, 1.5 from range(45, 200) t(x)),
-bst as (select i.e l, j.e r, i.ext + j.ext ext, min(round(i.m + j.m + 20 * greatest(i.d, j.d), 9)) m from p i, p j group by all),
+_P = params.DEFAULTS
+_STEP, (_LOW, _HIGH) = _P["_synthesis_step_size"], _P["_synthesis_left_span_range"]
+_TOP = max(int(x[1]) for x in _P["synthesis_cost"]["data"])
+_BAND = "(values " + ", ".join(f"({lo}, {hi}, {f}::double)" for lo, hi, f in _P["primer_efficiency"]["data"]) + ")"
+_OWN = " union all ".join(f"select 1, x - {_P['primer_min_anneal']}, x * {per}::double + {base}, {days} from range({int(lo)}, {int(hi)}) t(x)" for _, lo, hi, base, per, days in _P["primer_cost"]["data"])
+_PRIMER = f"""p as (select 0 e, 0 ext, 0.0::double m, 0.0::double d union all {_OWN}),
+bst as (select i.e l, j.e r, i.ext + j.ext ext, min({{'m': round((i.m + j.m) * {_P['global_material_modifier']}::double + {2 * _P['global_time_cost']}::double * greatest(i.d, j.d), 9), 'le': i.ext, 're': j.ext}}) k from p i, p j group by all),
 eff as (select x, f from {_BAND} b(lo, hi, f), lateral (select unnest(range(lo, hi)) x)),
-primer as (select l, r, cast(s as int) span, min(round(case when f > 0 then m / f end, 9)) as cost, min_by({{'f': f, 'm': m}}, round(m / f, 9)) filter (where f > 0) w from bst, range(-300, 700) t(s) join eff on x = least(greatest(ext - s, 0), 299) group by all)"""
+primer as (select l, r, cast(s as int) span, min(round(case when f > 0 then k.m / f end, 9)) as cost, min({{'c': round(k.m / f, 9), 'f': f, 'le': k.le, 're': k.re, 'm': k.m}}) filter (where f > 0) w from bst, range({_P['_primer_min_span']}, 700) t(s) join eff on x = least(greatest(ext - s, 0), {max(x[1] for x in _P["primer_efficiency"]["data"]) - 1}) group by all)"""
+_KEYS = "q as (select o_orderkey, cast(o_orderkey % 2 as int) l, cast(o_custkey % 2 as int) r, cast(o_orderkey * 13 % {n} as int) + {low} span from orders)"
 
 
-@query(f"with {_PRIMER} select l, r, span, round(cost, 6) as cost, w.f efficiency, round(w.m, 6) material from primer")
+def _keys(spark, sf, n: int, low: int) -> DataFrame:
+    """Every order as a junction to be priced."""
+    return read(spark, sf, "orders").select("o_orderkey", (c("o_orderkey") % 2).cast("int").alias("l"), (c("o_custkey") % 2).cast("int").alias("r"), (c("o_orderkey") * 13 % n + low).cast("int").alias("span"))
+
+
+@query(f"with {_PRIMER}, {_KEYS.format(n=1000, low=-300)} select o_orderkey, l, r, span, round(cost, 6) as cost, w.f efficiency, round(w.m, 6) material, w.le::int left_ext, w.re::int right_ext from q left join primer using (l, r, span)")
 def primer_cost(spark, sf):
-    none = lambda x: F.when(c("cost") < float("inf"), F.round(x, 6)).alias(x)
-    return cost.primer_model(spark).select("l", "r", "span", none("cost"), F.when(c("cost") < float("inf"), c("efficiency")).alias("efficiency"), none("material"))
+    """The two primers of a junction, by the primer model alone."""
+    t = cost.primer_model(spark).filter(c("cost") < float("inf"))
+    t = _keys(spark, sf, 1000, -300).join(F.broadcast(t), ["l", "r", "span"], "left")
+    return t.select("o_orderkey", "l", "r", "span", F.round("cost", 6).alias("cost"), "efficiency", F.round("material", 6).alias("material"), "left_ext", "right_ext")
 
 
+_GENES = ", ".join(f"({lo}, {hi}, {float(base)}::double, {float(days)}::double)" for lo, hi, base, days in _P["synthesis_cost"]["data"] if base != "inf")
 _SYNTH = (
     _PRIMER
-    + """, gene(lo, hi, base, days) as (values (0, 1, 0.0::double, 0.0::double), (100, 500, 89.0, 3.0), (500, 750, 129.0, 3.0), (750, 1000, 149.0, 4.0), (1000, 1250, 209.0, 7.0), (1250, 1500, 249.0, 7.0), (1500, 1750, 289.0, 7.0), (1750, 2000, 329.0, 7.0), (2000, 2250, 399.0, 7.0)),
-genes as (select size, base, days from gene, lateral (select unnest(range(lo, hi)) size) where size % 10 = 0),
-lf as (select l, span ls, w.f le, w.m lm from primer where r = 0 and cost is not null and span between -500 and 499 and span % 10 = 0),
+    + f""", gene(lo, hi, base, days) as (values {_GENES}),
+genes as (select size, base, days from gene, lateral (select unnest(range(lo, hi)) size) where size % {_STEP} = 0),
+lf as (select l, span ls, w.f le, w.m lm from primer where r = 0 and cost is not null and span >= {_LOW} and span < {_HIGH} and (span - {_LOW}) % {_STEP} = 0),
 rg as (select r, span rs, w.f re, w.m rm from primer where l = 0 and cost is not null),
-syn as (select l, r, cast(size + ls + rs as int) span, min(round((round(lm + rm + base, 9) + days * 10) / (le * re), 9)) as cost from lf, genes, rg where size + ls + rs between 0 and 2249 group by all)"""
+syn as (select *, k.c as cost from (select l, r, cast(size + ls + rs as int) span, min({{'c': round((round(lm + rm + base, 9) + days * {_P['global_time_cost']}::double) / (le * re), 9), 'e': le * re, 'size': size, 'ls': ls}}) k from lf, genes, rg where size + ls + rs between 0 and {_TOP - 1} group by l, r, size + ls + rs))"""
 )
 
 
-@query(f"with {_SYNTH} select l, r, span, round(cost, 6) as cost from syn")
+@query(f"with {_SYNTH}, {_KEYS.format(n=_TOP, low=0)} select o_orderkey, l, r, span, round(cost, 6) as cost, round(k.e, 8) efficiency, k.size::int size, k.ls::int lshift from q left join syn using (l, r, span)")
 def synthesis_cost(spark, sf):
-    return cost.synthesis_model(spark).filter(c("cost") < float("inf")).select("l", "r", "span", F.round("cost", 6).alias("cost"))
+    """The gene that fills a junction and where it lies, by the synthesis model alone."""
+    t = cost.synthesis_model(spark).filter(c("cost") < float("inf"))
+    t = _keys(spark, sf, _TOP, 0).join(F.broadcast(t), ["l", "r", "span"], "left")
+    return t.select("o_orderkey", "l", "r", "span", F.round("cost", 6).alias("cost"), F.round("efficiency", 8).alias("efficiency"), c("size").cast("int").alias("size"), c("lshift").cast("int").alias("lshift"))
 
 
 @query(f"""with {_SYNTH}, bo as (select coalesce(p.l, s.l) l, coalesce(p.r, s.r) r, coalesce(p.span, s.span) span, least(p.cost, s.cost) as cost from primer p full join syn s on p.l = s.l and p.r = s.r and p.span = s.span),

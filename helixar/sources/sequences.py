@@ -10,55 +10,128 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES = "array<struct<start:int,end:int,strand:int,name:string,type:string>>"
+#: Features with all parts of their location, in the order of the top strand: a part over the origin of a circle comes before
+#: the one behind it. Features of both strands have strand 0 and their parts as written. start and end are the first part's start and the last one's end.
+LOCATED = "array<struct<start:int,end:int,strand:int,name:string,type:string,parts:array<struct<start:int,end:int,strand:int>>>>"
 SEQUENCES = f"key string, name string, bases string, length int, is_circular boolean, features {FEATURES}"
+RECORDS = SEQUENCES.replace(FEATURES, LOCATED)
 
 
 def read_fasta(spark: SparkSession, glob: str, is_circular: bool = False) -> DataFrame:
-    """One row per record, by a text scan split at '>'; the key is the header's first word."""
-    records = spark.read.option("lineSep", ">").text(glob).filter(F.trim("value") != "")
-    header = F.trim(F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1))
+    """One row per record; the key is the header's first word. Files are cut where a line begins with '>', so a large one is
+    read by several tasks, and a '>' inside a header belongs to it."""
+    text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")  # only a file's first record has kept its mark
+    records = spark.read.option("lineSep", "\n>").text(glob).select(text.alias("value")).filter(F.trim("value") != "")
+    header = F.trim(F.substring_index("value", "\n", 1))
     bases = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s+", "")
     return records.select(F.split(header, " ")[0].alias("key"), header.alias("name"), bases.alias("bases"), F.length(bases).alias("length"), F.lit(is_circular).alias("is_circular"), F.lit(None).cast(FEATURES).alias("features"))
 
 
+def _operands(text: str) -> list[str]:
+    """Split at the commas outside of brackets."""
+    out, depth = [""], 0
+    for x in text:
+        depth += (x == "(") - (x == ")")
+        if x == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += x
+    return out
+
+
+def parse_location(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, strand) of a location's parts in reading order, 0-based and half-open; parts in other records are left out.
+
+    `<` and `>` are dropped, a place between two bases is an empty part, and of a choice of places the outermost are taken.
+    """
+    whole = re.fullmatch(r"(complement|join|order|bond|one-of)\((.*)\)", text, re.S)
+    if whole:
+        parts = [p for x in _operands(whole[2]) for p in parse_location(x)]
+        return [(a, b, -s) for a, b, s in reversed(parts)] if whole[1] == "complement" else parts
+    places = [] if ":" in text else [int(x) for x in re.findall(r"\d+", text)]
+    if not places:
+        return []
+    return [(places[0], places[0], 1) if "^" in text else (places[0] - 1, places[-1], 1)]
+
+
+def located(name: str, kind: str, parts: list[tuple[int, int, int]]) -> dict:
+    """A feature of LOCATED from parts in reading order."""
+    strands = {s for _, _, s in parts}
+    strand = strands.pop() if len(strands) == 1 else 0
+    parts = parts[::-1] if strand == -1 else parts
+    return {"start": parts[0][0], "end": parts[-1][1], "strand": strand, "name": name, "type": kind, "parts": [dict(zip(("start", "end", "strand"), p, strict=True)) for p in parts]}
+
+
+def parse_record(record: str) -> dict | None:
+    """A GenBank record; None if it has no locus."""
+    locus = re.search(r"^LOCUS\s+(\S+)(.*)$", record, re.M)
+    if not locus:
+        return None
+    origin = re.search(r"^ORIGIN.*?$(.*)", record, re.M | re.S)
+    bases = re.sub(r"[^A-Za-z]", "", origin[1]) if origin else ""
+    name = re.search(r"^DEFINITION\s+(.*)$", record, re.M)
+    features = []
+    table = re.search(r"^FEATURES.*?$(.*?)(?=^ORIGIN|\Z)", record, re.M | re.S)
+    for m in re.finditer(r"^ {5}(\S+)\s+([^\s/].*(?:\n {21}[^/\s].*)*)((?:\n {21}.*)*)", table[1] if table else "", re.M):
+        parts = parse_location(re.sub(r"\s+", "", m[2]))
+        if parts:
+            label = re.search(r'/(?:label|gene|note)="?([^"\n]*)', m[3])
+            features.append(located(label[1] if label else "", m[1], parts))
+    return {"key": locus[1], "name": name[1].strip(" .") if name else locus[1], "bases": bases, "length": len(bases), "is_circular": "circular" in locus[2], "features": features}
+
+
 def parse_genbank(text: str) -> Iterator[dict]:
-    """Records of a GenBank file: locus, bases, topology, features with simple or joined locations (outer bounds)."""
-    for record in re.split(r"^//\s*$", text, flags=re.M):
-        locus = re.search(r"^LOCUS\s+(\S+)(.*)$", record, re.M)
-        if not locus:
-            continue
-        origin = re.search(r"^ORIGIN.*?$(.*)", record, re.M | re.S)
-        bases = re.sub(r"[^A-Za-z]", "", origin[1]) if origin else ""
-        name = re.search(r"^DEFINITION\s+(.*)$", record, re.M)
-        features = []
-        table = re.search(r"^FEATURES.*?$(.*?)(?=^ORIGIN|\Z)", record, re.M | re.S)
-        for m in re.finditer(r"^ {5}(\S+)\s+(\S+)((?:\n {21}.*)*)", table[1] if table else "", re.M):
-            at = [int(x) for x in re.findall(r"\d+", m[2])]
-            if at:
-                label = re.search(r'/(?:label|gene|note)="?([^"\n]*)', m[3])
-                features.append({"start": at[0] - 1, "end": at[-1], "strand": -1 if "complement" in m[2] else 1, "name": label[1] if label else "", "type": m[1]})
-        yield {"key": locus[1], "name": name[1].strip(" .") if name else locus[1], "bases": bases, "length": len(bases), "is_circular": "circular" in locus[2], "features": features}
-
-
-def read_genbank(spark: SparkSession, glob: str, is_circular: bool | None = None) -> DataFrame:
-    """One row per record; is_circular overrides the files' topology."""
+    """Records of a GenBank file."""
+    yield from filter(None, (parse_record(x) for x in re.split(r"^//\s*$", text, flags=re.M)))
+
+
+def read_genbank(spark: SparkSession, glob: str, is_circular: bool | None = None, parts: bool = False) -> DataFrame:
+    """One row per record; is_circular overrides the files' topology; parts: features as LOCATED.
+
+    Files are cut at the lines that end a record, by the text source, so a large file is read by several tasks, from any
+    store that Spark reads.
+    """
 
     def run(batches):
         for pdf in batches:
-            rows = [r for content in pdf["content"] for r in parse_genbank(bytes(content).decode("latin-1"))]
-            yield pd.DataFrame(rows, columns=["key", "name", "bases", "length", "is_circular", "features"])
-
-    df = spark.read.format("binaryFile").load(glob).select("content").mapInPandas(run, SEQUENCES)
+            rows, held = [], 0
+            for text in pdf["value"]:
+                row = parse_record(text.replace("\r", ""))
+                if row:
+                    rows.append(row)
+                    held += row["length"]
+                if held > 1 << 24:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    df = spark.read.option("lineSep", "\n//").text(glob).mapInPandas(run, RECORDS)
+    if not parts:
+        df = df.withColumn("features", F.transform("features", lambda f: F.struct(*[f[x].alias(x) for x in ("start", "end", "strand", "name", "type")])))
     return df if is_circular is None else df.withColumn("is_circular", F.lit(is_circular))
 
 
+_COLUMNS = ["key", "name", "bases", "length", "is_circular", "features"]
+
+
+def location_text(feature) -> str:
+    """A feature's location in GenBank format, from its parts if it has any."""
+    own = feature["parts"] if "parts" in feature and feature["parts"] is not None else [feature]
+    place = lambda p: f"{p['start'] + 1}..{p['end']}" if p["end"] > p["start"] else f"{p['start']}^{p['start'] + 1}"
+    mixed = len({p["strand"] for p in own}) > 1
+    texts = [f"complement({place(p)})" if mixed and p["strand"] == -1 else place(p) for p in own]
+    text = texts[0] if len(texts) == 1 else f"join({','.join(texts)})"
+    return f"complement({text})" if not mixed and own[0]["strand"] == -1 else text
+
+
 def genbank_text(r) -> str:
     """A record in GenBank format."""
     topology = "circular" if r.is_circular else "linear"
     lines = [f"LOCUS       {r.key} {len(r.bases)} bp DNA {topology}", f"DEFINITION  {r.name}", "FEATURES             Location/Qualifiers"]
     for f in r.features if r.features is not None else []:
-        at = f"{f['start'] + 1}..{f['end']}"
-        lines += [f"     {f['type']:<16}" + (f"complement({at})" if f["strand"] == -1 else at), f'                     /label="{f["name"]}"']
+        f = f.asDict() if hasattr(f, "asDict") else f
+        label = (f["name"] or "").replace('"', "'")
+        lines += [f"     {f['type']:<16}" + location_text(f), f'                     /label="{label}"']
     lines.append("ORIGIN")
     for i in range(0, len(r.bases), 60):
         part = r.bases[i : i + 60].lower()
@@ -66,14 +139,14 @@ def genbank_text(r) -> str:
     return "\n".join([*lines, "//"])
 
 
-def write_genbank(sequences: DataFrame, path: str) -> None:
+def write_genbank(sequences: DataFrame, path: str, mode: str = "error") -> None:
     """Text files of GenBank records, a file per partition."""
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"value": [genbank_text(r) for r in pdf.itertuples()]})
 
-    sequences.mapInPandas(run, "value string").write.text(path)
+    sequences.mapInPandas(run, "value string").write.mode(mode).text(path)
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
