@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -28,3 +29,10 @@ def folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(_own)
     return f"file://{_own}"
+
+
+def held(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder, compressed and by columns, and read back; a small one is known to be small when it is joined."""
+    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,29 +65,32 @@ class Document:
         """(rule, key) of everything that does not hold; no rows if the document is whole."""
         c = F.col
         named = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
-        m, r = self.molecules, self.reactions
+        unclean = lambda cols: sum((F.when(c(x).isNull() | F.isnan(c(x).cast("double")), 1).otherwise(0) for x in cols), F.lit(0)) > 0
+        # each rule reads a few columns of the sections, which are made once
+        r = shared.held(self.reactions.select("index", "name", "n_inputs", "n_outputs", "inputs", "outputs", unclean(["metadata.material_cost", "metadata.efficiency"]).alias("unclean")), "reactions")
+        m = shared.held(self.molecules.select("index", "name", (c("sequence.bases").isNull() | (c("sequence.bases") == "")).alias("empty"), "used_as_input_to_reactions", "used_as_output_to_reactions"), "molecules")
+        a = self.designs.select("design_key", "success", F.explode_outer("assemblies").alias("a"))
+        a = shared.held(a.select("design_key", "success", F.transform("a.summary", lambda x: x["reaction_index"]).alias("summary"), c("a.final_assembly_reaction").alias("final")), "designs")
         links = r.select("index", F.explode(F.concat("inputs", "outputs")).alias("molecule"))
         gone = links.join(m.select(c("index").alias("molecule")), "molecule", "left_anti")
         twice = lambda df: df.groupBy("index").count().filter("count > 1")
         makers = m.filter(c("name") != PLASMID).filter(F.size("used_as_output_to_reactions") > 1)
-        a = self.designs.select("design_key", "success", F.explode_outer("assemblies").alias("a"))
-        steps = a.select("design_key", F.explode(F.transform("a.summary", lambda x: x["reaction_index"])).alias("index"))
-        ends = a.select("design_key", F.explode("a.final_assembly_reaction").alias("index")).join(r.select("index", "name"), "index", "left")
+        steps = a.select("design_key", F.explode("summary").alias("index"))
+        ends = a.select("design_key", F.explode("final").alias("index")).join(r.select("index", "name"), "index", "left")
         back = m.select(c("index").alias("molecule"), F.explode(F.concat("used_as_input_to_reactions", "used_as_output_to_reactions")).alias("index"))
-        unclean = lambda df, cols: df.filter(sum((F.when(c(x).isNull() | F.isnan(c(x).cast("double")), 1).otherwise(0) for x in cols), F.lit(0)) > 0)
         found = [
             named(gone, "reaction names a molecule that is not there", c("index")),
             named(back.join(r.select("index"), "index", "left_anti"), "molecule names a reaction that is not there", c("molecule")),
             named(steps.join(r.select("index"), "index", "left_anti"), "design names a reaction that is not there", c("design_key")),
             named(ends.filter((c("name") != ASSEMBLY) | c("name").isNull()), "design does not end in an assembly", c("design_key")),
-            named(a.filter(c("success") & (F.size("a.final_assembly_reaction") != 1)), "design has no or several final assemblies", c("design_key")),
+            named(a.filter(c("success") & (F.size("final") != 1)), "design has no or several final assemblies", c("design_key")),
             named(twice(m), "molecule number given twice", c("index")),
             named(twice(r), "reaction number given twice", c("index")),
             named(makers, "molecule made by several reactions", c("index")),
             named(r.filter(c("n_inputs") != F.size(F.array_distinct("inputs"))), "inputs given twice or lost", c("index")),
             named(r.filter(c("n_outputs") != F.size(F.array_distinct("outputs"))), "outputs given twice or lost", c("index")),
-            named(unclean(r, ["metadata.material_cost", "metadata.efficiency"]), "no number as a price", c("index")),
-            named(m.filter(c("sequence.bases").isNull() | (c("sequence.bases") == "")), "molecule without bases", c("index")),
+            named(r.filter("unclean"), "no number as a price", c("index")),
+            named(m.filter("empty"), "molecule without bases", c("index")),
         ]
         out = found[0]
         for x in found[1:]:
@@ -114,40 +117,56 @@ def _sequence(bases: Column, name: Column, circular: Column, features: Column |
     return F.struct(bases.alias("bases"), F.length(bases).alias("length"), name.alias("name"), circular.alias("isCircular"), *notes)
 
 
-def document(reactions: DataFrame, goals: DataFrame | None = None, elim_extra: bool = False) -> Document:
+def _packed(key: Column) -> Column:
+    """A content key in 20 bytes."""
+    return F.unhex(F.sha1(key.cast("binary")))
+
+
+def document(reactions: DataFrame, goals: DataFrame | None = None, elim_extra: bool = False, hold: bool = True) -> Document:
     """The document of reactions(design_key, assembly_id, reaction_id, name, inputs, outputs[, material, efficiency, complexity]), whose
     inputs and outputs are arrays of (mtype, seq[, region]); goals(key, bases, is_circular) gives designs without assembly, too.
 
-    elim_extra: a molecule's second and later makers are left out.
+    elim_extra: a molecule's second and later makers are left out. hold: the reactions are written once, as each section reads them;
+    not needed if they are cheap to make, such as a projection of a table. Only numbers are written besides; sections are
+    made of them when they are read, without the columns that nobody reads.
     """
     c = F.col
     shared.folder(reactions.sparkSession)
     for x in ("material", "efficiency", "complexity"):
         if x not in reactions.columns:
             reactions = reactions.withColumn(x, F.lit(None).cast("double"))
-    keyed = output.with_keys(reactions).checkpoint()  # read by each section
-    molecules, dag = output.plan_dag(keyed)
+    keyed = output.with_keys(shared.held(reactions, "reactions") if hold else reactions).withColumn("_key", F.unhex("reaction_key"))
+    molecules = frame.numbered(_molecules(keyed), ["molecule_key"], "index")
+    prices = [F.min("material").alias("material_cost"), F.min("efficiency").alias("efficiency"), F.max("complexity").alias("complexity"), F.max(F.size("inputs")).alias("n_inputs"), F.max(F.size("outputs")).alias("n_outputs")]
+    used_in = F.sort_array(F.collect_set(F.struct("design_key", c("assembly_id").alias("assembly")))).alias("used_in_assemblies")
+    keys = keyed.select("_key").distinct()
     if elim_extra:
-        dag = output.drop_extra(dag)
-    prices = keyed.groupBy("reaction_key").agg(F.min("material").alias("material_cost"), F.min("efficiency").alias("efficiency"), F.max("complexity").alias("complexity"), F.max(F.size("inputs")).alias("n_inputs"), F.max(F.size("outputs")).alias("n_outputs"))
-    dag = frame.numbered(dag.join(prices, "reaction_key"), ["reaction_key"], "index")
-    molecules = frame.numbered(molecules.join(_molecules(keyed), "molecule_key"), ["molecule_key"], "index")
-    ids = molecules.select("molecule_key", c("index").alias("molecule"))
-    side = lambda col: dag.select("index", F.posexplode(col).alias("pos", "molecule_key")).join(ids, "molecule_key")
-    both = side("in_keys").withColumn("role", F.lit("in")).unionByName(side("out_keys").withColumn("role", F.lit("out"))).checkpoint()
+        _, dag = output.plan_dag(keyed)
+        keys = output.drop_extra(dag).select(F.unhex("reaction_key").alias("_key"))
+    numbers = frame.numbered(keys, ["_key"], "index")
+    pack = lambda side: F.transform(side, _packed)
+    slim = keyed.withColumns({"_in": pack("in_keys"), "_out": pack("out_keys")})
+    dag = slim.groupBy("_key").agg(F.first("name").alias("name"), F.first("_in").alias("_in"), F.first("_out").alias("_out"), *prices, used_in).join(numbers, "_key")
+    ids = molecules.select(_packed(c("molecule_key")).alias("_molecule"), c("index").alias("molecule"))
+    few = shared.held(ids, "molecule-numbers")
+    if few.count() <= 200_000:  # some 10 MB; more go to their keys by a shuffle
+        few = F.broadcast(few)
     of = lambda role: F.transform(F.sort_array(F.collect_list(F.when(c("role") == role, F.struct("pos", "molecule")))), lambda x: x["molecule"])
-    linked = both.groupBy("index").agg(of("in").alias("inputs"), of("out").alias("outputs"))
-    used = both.groupBy(c("molecule").alias("index")).agg(*[F.sort_array(F.collect_set(F.when(c("role") == k, c("index")))).alias(v) for k, v in (("in", "used_as_input_to_reactions"), ("out", "used_as_output_to_reactions"))])
-    used_in = F.transform("used_in", lambda x: F.struct(x["design_key"].alias("design_key"), x["assembly_id"].alias("assembly"))).alias("used_in_assemblies")
-    reactions_out = dag.join(linked, "index").select("index", "reaction_key", "name", used_in, "n_inputs", "n_outputs", "inputs", "outputs", F.struct("material_cost", "efficiency", "complexity").alias("metadata"))
+    tagged = lambda role, col: F.transform(col, lambda k, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), k.alias("_molecule")))
+    links = lambda of_keys: dag.select("index", F.explode(F.concat(tagged("in", of_keys(c("_in"))), tagged("out", of_keys(c("_out"))))).alias("m")).select("index", "m.*").join(few, "_molecule")
+    rest = ["_key", "name", "used_in_assemblies", "n_inputs", "n_outputs", "material_cost", "efficiency", "complexity"]
+    linked = links(lambda x: x).groupBy("index").agg(of("in").alias("inputs"), of("out").alias("outputs"))
+    reactions_out = dag.select("index", *rest).join(linked, "index").select("index", F.lower(F.hex("_key")).alias("reaction_key"), "name", "used_in_assemblies", "n_inputs", "n_outputs", "inputs", "outputs", F.struct("material_cost", "efficiency", "complexity").alias("metadata"))
+    used = links(F.array_distinct).groupBy(c("molecule").alias("index")).agg(*[F.sort_array(F.collect_list(F.when(c("role") == k, c("index")))).alias(v) for k, v in (("in", "used_as_input_to_reactions"), ("out", "used_as_output_to_reactions"))])
+    places = keyed.select("design_key", "assembly_id", F.explode(F.concat(F.array_distinct("in_keys"), F.array_distinct("out_keys"))).alias("molecule_key")).groupBy("molecule_key").agg(used_in)
     sequence = _sequence(c("bases"), c("molecule_key"), c("name") == PLASMID)
-    molecules_out = molecules.join(used, "index", "left").select("index", "molecule_key", "name", sequence.alias("sequence"), used_in, *[F.coalesce(x, F.array().cast("array<bigint>")).alias(x) for x in ("used_as_input_to_reactions", "used_as_output_to_reactions")])
-    return Document(molecules_out, reactions_out, _designs(keyed, dag.select("reaction_key", "index"), goals))
+    molecules_out = molecules.join(places, "molecule_key").join(used, "index", "left").select("index", "molecule_key", "name", sequence.alias("sequence"), "used_in_assemblies", *[F.coalesce(x, F.array().cast("array<bigint>")).alias(x) for x in ("used_as_input_to_reactions", "used_as_output_to_reactions")])
+    return Document(molecules_out, reactions_out, _designs(keyed, numbers, goals))
 
 
 def _designs(keyed: DataFrame, numbers: DataFrame, goals: DataFrame | None) -> DataFrame:
     c = F.col
-    steps = keyed.join(numbers, "reaction_key")
+    steps = keyed.join(numbers, "_key")
     region = "region" in keyed.schema["outputs"].dataType.elementType.names
     place = lambda m, f: m["region"][f] if region else F.lit(None).cast("int")
     made = F.transform("outputs", lambda m: F.struct(place(m, "a").alias("start"), place(m, "b").alias("end"), m["mtype"].alias("type")))

@@ -82,13 +82,15 @@ def last_of(df: DataFrame, keys: list[str], order: list[str], names: dict[str, s
 
 def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """df with dense numbers from 0 in an order that tells all rows apart (null first): places in the parts of a range sort plus
-    the sizes of the parts before. The parts are checkpointed; only a count per part reaches the driver."""
+    the sizes of the parts before. Rows move once, the parts are held; only a count per part reaches the driver."""
     spark = df.sparkSession
     shared.folder(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = sorted(dealt.groupBy("_part").count().collect())  # a row per part
+    at = F.monotonically_increasing_id()  # the part's number in the upper bits, the place in it in the lower 33
+    dealt = shared.held(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at), "numbered")
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = sorted(dealt.groupBy(part.alias("_part")).count().collect())  # a row per part
     bases = [(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)]
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     base = F.broadcast(spark.createDataFrame(bases, "_part int, _base long"))
-    return dealt.withColumn(into, within).join(base, "_part").withColumn(into, (F.col(into) + F.col("_base")).cast("long")).drop("_part", "_base")
+    number = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base")
+    return dealt.withColumn("_part", part).join(base, "_part").withColumn(into, number).drop("_part", "_base", "_at")

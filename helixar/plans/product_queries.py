@@ -162,7 +162,7 @@ mn as (select mk, row_number() over (order by mk) - 1 mi from (select distinct m
 
 def _document(spark, sf):
     r = _reactions(spark, sf)
-    return document.document(r.withColumns({"material": c("reaction_id").cast("double"), "efficiency": F.lit(0.9)}))
+    return document.document(r.withColumns({"material": c("reaction_id").cast("double"), "efficiency": F.lit(0.9)}), hold=False)
 
 
 @query(f"with {_NUMBERED} select ri as index, nm as name, a.mi || ',' || b.mi inputs, x.mi::varchar outputs, u.n n_used, u.cost material_cost from rn join mn a on a.mk = k1 join mn b on b.mk = k2 join mn x on x.mk = k3 join (select nm, case when nm = 'Assembly' then ai::varchar else '' end rk, k1, k2, k3, count(distinct (dk, ai)) n, min(l_suppkey)::double as cost from k group by 1, 2, 3, 4, 5) u using (nm, rk, k1, k2, k3)")
