@@ -61,21 +61,18 @@ def external_edges(nodes: DataFrame, starts: DataFrame, spans: tuple[int, int] |
     pairs = pick("B", "b").join(begins.drop("length"), ["query_key", "over"]) if spans is None else _pairs_within(pick("B", "b"), begins, *spans)
     a, b, n = c("a_i"), c("b_i"), c("length")
     meets = (a <= n) & (b >= n)  # such a pair may close over the origin
-    one = lambda span, origin: F.struct(span.cast("int").alias("span"), F.lit(origin).alias("origin"))
-    # every pair has one place over the origin and one not, so the edge that stays is chosen in its row
-    first, rest = I.make(F.lit(0), a, n, F.lit(True))["n"], I.make(b, a, n, F.lit(True))["n"]
-    turn = one(F.when(b == n, first).otherwise(rest), 1)
-    gaps = pairs.filter(~c("over")).withColumn("w", F.when(meets, turn).when(b <= a, one(a - b, 0)))
-    q = c("q")
-    inside = c("_next") <= q["b"]
-    around = c("_next").isNotNull() | (c("_first") <= q["b"])
-    over = pairs.filter(c("over") & ((b > a) | meets)).withColumn("q", I.make(a, b, n, F.lit(True))).filter("q.n <> 0")
-    overlaps = over.withColumn("w", F.when(meets & around, one(-q["n"], 1)).when((b > a) & inside, one(a - b, 0))).drop("q")
-    tagged = overlaps.withColumn("mtype", F.lit(K.OVERLAP)).unionByName(gaps.withColumn("mtype", F.lit(K.GAP))).filter(c("w").isNotNull())
+    # Every pair has one place over the origin and one not, so the edge that stays is chosen in its row. What is asked of a pair in
+    # the join is short, as a condition that spells out a region for each comparison is too long a method to be compiled.
+    kept = lambda df, turns, far, near, mtype: df.select("*", F.when(turns, far).otherwise(near).cast("int").alias("span"), F.when(turns, 1).otherwise(0).alias("origin"), F.lit(mtype).alias("mtype"))
+    gaps = kept(pairs.filter(~c("over") & (meets | (b <= a))), meets, F.when(b == n, I.along(F.lit(0), a, n)).otherwise(I.along(b, a, n)), a - b, K.GAP)
+    last = I.end(b, n)
+    around = meets & (c("_next").isNotNull() | (c("_first") <= last))
+    overlaps = kept(pairs.filter(c("over") & (a != b) & (around | ((b > a) & (c("_next") <= last)))), around, -I.along(a, b, n), a - b, K.OVERLAP)
+    tagged = overlaps.unionByName(gaps)
     if spans is not None:
-        tagged = tagged.filter(c("w.span").between(*spans))
+        tagged = tagged.filter(c("span").between(*spans))
     node = lambda p, kind: F.struct(c(f"{p}_i").alias("index"), c(f"{p}_x").alias("expandable"), F.lit(kind).alias("ntype"), c("over").alias("overhang"))
-    return tagged.select("query_key", node("b", "B").alias("src"), node("a", "A").alias("dst"), "mtype", F.lit("external").alias("kind"), "w.span", c("b_x").alias("l"), c("a_x").alias("r"), "w.origin", "length")
+    return tagged.select("query_key", node("b", "B").alias("src"), node("a", "A").alias("dst"), "mtype", F.lit("external").alias("kind"), "span", c("b_x").alias("l"), c("a_x").alias("r"), "origin", "length")
 
 
 def priced(external: DataFrame, table: DataFrame, threshold: float = K.COST_THRESHOLD, spans: tuple[int, int] | None = None) -> DataFrame:
