@@ -133,3 +133,62 @@ def sweep(n: int, src: np.ndarray, dst: np.ndarray, attributes: list[np.ndarray]
         for m, x in zip(parts, new, strict=True):
             m[at] = np.where(better, x, m[at])
     return cost, parts, reached
+
+
+def sweep_many(count: int, n: int, graph: np.ndarray, src: np.ndarray, dst: np.ndarray, attributes: list[np.ndarray], objective: Objective) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """sweep() of `count` graphs of n nodes each at once, with the same results; the first axis of the matrices is the graph."""
+    reached = np.zeros((count, n, n), bool)
+    parts = [np.full((count, n, n), x) for x in objective.identity]
+    for m, a in zip(parts, attributes, strict=True):
+        m[graph, src, dst] = a
+    reached[graph, src, dst] = True
+    own = np.arange(n)
+    for m, x in zip(parts, objective.identity, strict=True):
+        m[:, own, own] = x
+    reached[:, own, own] = True
+    cost = np.where(reached, objective.value(parts), np.inf)
+    cost[:, own, own] = 0.0
+    for k in range(n):
+        via = reached[:, :, k, None] & reached[:, k, None, :]
+        via[:, k, :] = via[:, :, k] = False
+        with np.errstate(all="ignore"):  # of pairs that do not meet, which are not looked at
+            new = objective.along([m[:, :, k, None] for m in parts], [m[:, k, None, :] for m in parts])
+        value = objective.value(new)
+        better = via & (value < cost)
+        cost = np.where(better, value, cost)
+        reached |= better
+        parts = [np.where(better, x, m) for m, x in zip(parts, new, strict=True)]
+    return cost, parts, reached
+
+
+def pairs_of_many(cols: list[np.ndarray], start: np.ndarray, stop: np.ndarray, objective: Objective, keep, large, backward: bool, small: int = 64, cells: int = 1 << 20) -> list[tuple]:
+    """[(key, src, dst, *attributes, cost)] arrays of the pairs that keep(cost, attributes, reached) names in the graphs of cols(key, src,
+    dst, *attributes) from start to stop. Graphs of up to `small` nodes are swept together with those of equal size, `cells` matrix
+    cells at once; larger ones go to large(key, src, dst, *attributes). Of equal edges the last one counts (backward: the first)."""
+    key, src, dst, *attributes = cols
+    graph = np.repeat(np.arange(len(start)), stop - start)
+    both, node = np.concatenate([graph, graph]), np.concatenate([src, dst])
+    order = np.lexsort((node, both))
+    new = np.concatenate([[True], (both[order][1:] != both[order][:-1]) | (node[order][1:] != node[order][:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    nodes, of = node[order][new], both[order][new]  # by graph, then by node
+    first, sizes = np.searchsorted(of, np.arange(len(start))), np.bincount(of, minlength=len(start))
+    local = number - first[both]
+    s, d = local[: len(src)], local[len(src) :]
+    out = []
+    for n in np.unique(sizes[sizes <= small]).tolist():
+        graphs = np.flatnonzero(sizes == n)
+        most = max(1, cells // (n * n))
+        for i in range(0, len(graphs), most):
+            own = graphs[i : i + most]
+            place = np.full(len(start), -1)
+            place[own] = np.arange(len(own))
+            rows = np.flatnonzero(place[graph] >= 0)
+            rows = rows[::-1] if backward else rows
+            found = sweep_many(len(own), n, place[graph[rows]], s[rows], d[rows], [a[rows] for a in attributes], objective)
+            g, a, b = np.nonzero(keep(*found))
+            at = first[own[g]]
+            out.append((key[start[own[g]]], nodes[at + a], nodes[at + b], *(m[g, a, b] for m in found[1]), found[0][g, a, b]))
+    out += [large(key[start[x]], *[y[start[x] : stop[x]] for y in cols[1:]]) for x in np.flatnonzero(sizes > small)]
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixar.operators.objective import MATERIAL_OVER_EFFICIENCY, sweep
+from helixar.operators.objective import MATERIAL_OVER_EFFICIENCY, pairs_of_many, sweep
 
 INF = float("inf")
 
@@ -227,24 +227,33 @@ def path_distances(edges: DataFrame, most: int = 3000) -> DataFrame:
                 near.setdefault(a, {})[b] = (m, e)
             rows = [(a, b, x[1], x[2]) for a in nodes.tolist() for b, x in shortest(near, a).items()]
             i, j, m, e = (np.asarray(x) for x in zip(*rows, strict=True))
-            return np.full(len(i), key), i, j, m, e
+            return np.full(len(i), key), i, j, e, m, m / e
         m, e = all_pairs(len(nodes), at[: len(src)], at[len(src) :], material, efficiency)
         i, j = np.nonzero(m < INF)
-        return np.full(len(i), key), nodes[i], nodes[j], m[i, j], e[i, j]
+        return np.full(len(i), key), nodes[i], nodes[j], e[i, j], m[i, j], m[i, j] / e[i, j]
 
     def run(batches):
-        for done in _by_key(batches, solve):
-            k, s, d, m, e = done
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, s, d, m, e, m / e)], ["query_key", "src", "dst", "material", "efficiency", "cost"])
+        for (key, src, dst, material, efficiency), start, stop in whole_keys(batches):
+            there = lambda cost, parts, reached: reached & (parts[1] < INF)
+            for k, s, d, e, m, _ in pairs_of_many([key, src, dst, efficiency, material], start, stop, MATERIAL_OVER_EFFICIENCY, there, large, backward=False):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, s, d, m, e, m / e)], ["query_key", "src", "dst", "material", "efficiency", "cost"])
 
+    large = lambda key, src, dst, efficiency, material: solve(key, src, dst, material, efficiency)
     keyed = edges.select("query_key", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("material").cast("double"), F.col("efficiency").cast("double"))
     kind = dict(keyed.dtypes)["query_key"]
     return keyed.repartition("query_key").sortWithinPartitions("query_key", "src", "dst").mapInArrow(run, f"query_key {kind}, src long, dst long, material double, efficiency double, cost double")
 
 
 def _by_key(batches, solve):
-    """Joined results of solve(key, *columns) for all keys that end in a batch. Rows come by key, the first column; the last
-    key of a batch waits for the next batch."""
+    """Joined results of solve(key, *columns) for all keys that end in a batch."""
+    for cols, start, stop in whole_keys(batches):
+        done = [solve(cols[0][a], *[x[a:b] for x in cols[1:]]) for a, b in zip(start, stop, strict=True)]
+        yield [np.concatenate(x) for x in zip(*done, strict=True)]
+
+
+def whole_keys(batches):
+    """(columns, start, stop) of the keys that end in a batch. Rows come by key, the first column; the last key of a batch waits
+    for the next batch."""
     rest = None
     for batch in _then_none(batches):
         new = [np.asarray(x) for x in batch.columns] if batch is not None else None
@@ -255,9 +264,8 @@ def _by_key(batches, solve):
         stop = np.concatenate([start[1:], [len(cols[0])]])
         ready = len(start) if batch is None else len(start) - 1
         rest = [x[start[ready] :] for x in cols] if ready < len(start) else None
-        done = [solve(cols[0][a], *[x[a:b] for x in cols[1:]]) for a, b in zip(start[:ready], stop[:ready], strict=True)]
-        if done:
-            yield [np.concatenate(x) for x in zip(*done, strict=True)]
+        if ready:
+            yield [x[: stop[ready - 1]] for x in cols], start[:ready], stop[:ready]
 
 
 def _then_none(batches):

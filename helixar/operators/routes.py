@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from helixar.functions import sequences as S
 from helixar.operators import paths
-from helixar.operators.objective import MATERIAL_OVER_EFFICIENCY, Objective, sweep
+from helixar.operators.objective import MATERIAL_OVER_EFFICIENCY, Objective, pairs_of_many, sweep
 
 
 def _numbers(edges: DataFrame, objective: Objective) -> DataFrame:
@@ -91,8 +91,13 @@ def all_pairs(edges: DataFrame, objective: Objective = MATERIAL_OVER_EFFICIENCY,
         return np.full(len(i), key), nodes[i], nodes[j], *(m[i, j] for m in parts), cost[i, j]
 
     def run(batches):
-        for done in paths._by_key(batches, solve):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["query_key", "src", "dst", *names, "cost"])
+        for cols, start, stop in paths.whole_keys(batches):
+            # rows come in order, and the least of equal edges is to be set last
+            for done in pairs_of_many(cols, start, stop, objective, others, solve, backward=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["query_key", "src", "dst", *names, "cost"])
+
+    def others(cost, parts, reached):
+        return reached & (cost < np.inf) & ~np.eye(cost.shape[-1], dtype=bool)
 
     keyed = _numbers(edges, objective)
     kind = dict(keyed.dtypes)["query_key"]
