@@ -40,24 +40,28 @@ def with_keys(reactions: DataFrame) -> DataFrame:
 
     An assembly reaction is a reaction of its own for each assembly rank; others are shared by content.
     """
-    keys = lambda side: F.array_sort(F.transform(side, lambda m: molecule_key(m["mtype"], m["seq"])))
+    keys = lambda side: F.sort_array(F.transform(side, lambda m: molecule_key(m["mtype"], m["seq"])))
     r = reactions.withColumns({"in_keys": keys("inputs"), "out_keys": keys("outputs")})
     rank = F.when(F.col("name") == "Assembly", F.col("assembly_id").cast("string")).otherwise("")
     return r.withColumn("reaction_key", F.sha1(F.concat_ws("\n", "name", rank, F.array_join("in_keys", ","), F.lit("->"), F.array_join("out_keys", ",")).cast("binary")))
 
 
 def plan_dag(reactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(molecules, dag reactions): one row per content key with the designs that use it."""
+    """(molecules, dag reactions): one row per content key with the designs that use it.
+
+    A reaction's key tells its name and molecules, so these are no keys of the groups, and what is not read is not shuffled.
+    """
     r = reactions if "reaction_key" in reactions.columns else with_keys(reactions)
     used = F.sort_array(F.collect_set(F.struct("design_key", "assembly_id"))).alias("used_in")
-    dag = r.groupBy("reaction_key", "name", "in_keys", "out_keys").agg(used)
+    dag = r.groupBy(F.unhex("reaction_key").alias("_key")).agg(*[F.first(x).alias(x) for x in ("name", "in_keys", "out_keys")], used)
+    dag = dag.select(F.lower(F.hex("_key")).alias("reaction_key"), "name", "in_keys", "out_keys", "used_in")
     m = r.select("design_key", "assembly_id", F.explode(F.concat(F.array_distinct("in_keys"), F.array_distinct("out_keys"))).alias("molecule_key"))
     return m.groupBy("molecule_key").agg(used), dag
 
 
 def extra_producers(dag: DataFrame) -> DataFrame:
     """(molecule_key, reaction_key, nth) of molecules that more than one reaction makes."""
-    made = dag.select("reaction_key", F.explode("out_keys").alias("molecule_key")).distinct()
+    made = dag.select("reaction_key", F.explode(F.array_distinct("out_keys")).alias("molecule_key"))  # a key has one row
     w = Window.partitionBy("molecule_key").orderBy("reaction_key")
     all_of = Window.partitionBy("molecule_key")
     return made.withColumn("nth", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(all_of)).filter("n > 1").drop("n")
