@@ -44,8 +44,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five-word shingles, similarity from 0.8), the one of the least doc_id."""
-    return minhash.keep_one(docs)
+    """One document of each component of near duplicates, the one of the least doc_id: sets of five-word shingles link by SimHash
+    fingerprints that differ in up to 3 bits, and where these lie further apart at a similarity from 0.8."""
+    return minhash.keep_one(docs, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ component yet, first with the one of the smallest share of shingles of its own,
 the bucket's largest component is compared with all the rest. So large groups of near copies take few comparisons, and no
 pair is left out that could join two components.
 
+With a `radius`, sets whose SimHash fingerprints differ in at most so many bits link as well: these links come first, all of them, from
+the covering tables of simhash.py, and MinHash adds the similar sets that lie further apart.
+
 Cases: null or empty text has the empty set, linked like any other; a text of fewer words than a shingle is one shingle;
 null doc_id is kept and never names a component unless the whole component has none; repeated rows are kept; an empty
 table gives no rows; other columns are carried on request.
@@ -59,6 +62,15 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1, bitorder="little").view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set: each of 64 bits is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 255):
+        bits = np.unpackbits(hashes[i : i + 255].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def text_hashes(text_col: str) -> list[Column]:
     """Two 64-bit hashes of the text (null as the empty text), by which rows of documents are met again."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -66,7 +78,7 @@ def text_hashes(text_col: str) -> list[Column]:
 
 
 def signatures(docs: DataFrame, text_col: str, carry: list[str], shingle: int) -> DataFrame:
-    """`carry` columns, hashes of the text, _node (hash of the set), _n (its size) and _bands, written to the shared folder."""
+    """`carry` columns, hashes of the text, _node (hash of the set), _n (its size), _fp (its fingerprint) and _bands, written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -74,10 +86,11 @@ def signatures(docs: DataFrame, text_col: str, carry: list[str], shingle: int) -
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = np.concatenate([np.empty(0, np.uint64), *map(band_keys, sets)]).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(node), pa.array([len(s) for s in sets], pa.int32()), bands], [*batch.schema.names[1:], "_node", "_n", "_bands"])
+            fps = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fps, bands], [*batch.schema.names[1:], "_node", "_n", "_fp", "_bands"])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias(common.free_name(carry, "_text")), *[F.col(f"`{c}`") for c in carry], *text_hashes(text_col))
-    schema = docs.select(*[F.col(f"`{c}`") for c in carry], *text_hashes(text_col)).schema.add("_node", "long").add("_n", "integer").add("_bands", ArrayType(LongType()))
+    schema = docs.select(*[F.col(f"`{c}`") for c in carry], *text_hashes(text_col)).schema.add("_node", "long").add("_n", "integer").add("_fp", "long").add("_bands", ArrayType(LongType()))
     return common.materialize(rows.mapInArrow(common.tidy(run), schema), "signatures")
 
 
@@ -113,8 +126,18 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("own"))
 
 
-def link_edges(docs: DataFrame, nodes: DataFrame, known: DataFrame, text_col: str, least: float, shingle: int, small: int, rounds: int, huge: int = 1000) -> DataFrame:
-    """(a, b) edges with the same components as all verified candidates among nodes(node, n, bands)."""
+def fingerprint_edges(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) edges with the same components as all links of fingerprints within the radius among nodes(node, fp)."""
+    first = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    at_a, at_b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    near = simhash.link_edges(first.select("fp"), radius).join(at_a, "a").join(at_b, "b")
+    return equal.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
+def link_edges(docs: DataFrame, nodes: DataFrame, known: DataFrame, text_col: str, least: float, shingle: int, small: int, rounds: int, huge: int = 1000, radius: int | None = None) -> DataFrame:
+    """(a, b) edges with the same components as all verified candidates among nodes(node, n, fp, bands), and as all links of fingerprints
+    within the radius, if there is one."""
     spark = nodes.sparkSession
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = common.materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
@@ -134,7 +157,8 @@ def link_edges(docs: DataFrame, nodes: DataFrame, known: DataFrame, text_col: st
 
     large = live.filter(F.col("size") > small)
     single = live.filter(F.col("size") <= small).withColumns({"comp": F.col("node"), "m": F.col("n")})
-    edges = common.materialize(verified(pairs(single, single, F.col("a") < F.col("b")), sets, least), "links")
+    edges = verified(pairs(single, single, F.col("a") < F.col("b")), sets, least)
+    edges = common.materialize(edges if radius is None else fingerprint_edges(nodes, radius).unionByName(edges), "links")
     if large.isEmpty():
         return edges
     sets = common.materialize(sets.join(large.select("node").distinct(), "node", "left_semi"), "sets")
@@ -171,7 +195,7 @@ def link_edges(docs: DataFrame, nodes: DataFrame, known: DataFrame, text_col: st
     return edges
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, small: int = 32, rounds: int = 4, huge: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, small: int = 32, rounds: int = 4, huge: int = 1000, radius: int | None = None) -> DataFrame:
     """`carry` columns (default: the id) with root (stands for the component) and component_id.
 
     Carried columns named like a result, in any case, give way to it.
@@ -179,22 +203,22 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
     carry = [c for c in (carry or [id_col]) if c.lower() not in ("root", "component_id")]
     own = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*carry, id_col]))}
     slim = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in own.items()])
-    out = _linked(slim, least, shingle, own[id_col], "text", list(own.values()), small, rounds, huge)
+    out = _linked(slim, least, shingle, own[id_col], "text", list(own.values()), small, rounds, huge, radius)
     return out.select(*[F.col(own[c]).alias(c) for c in carry], "root", "component_id")
 
 
-def _linked(docs: DataFrame, least: float, shingle: int, id_col: str, text_col: str, carry: list[str], small: int, rounds: int, huge: int = 1000) -> DataFrame:
+def _linked(docs: DataFrame, least: float, shingle: int, id_col: str, text_col: str, carry: list[str], small: int, rounds: int, huge: int = 1000, radius: int | None = None) -> DataFrame:
     known = signatures(docs, text_col, list(dict.fromkeys([*carry, id_col])), shingle)
-    nodes = known.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(f"`{id_col}`")).alias("least"), F.first("_n").alias("n"), F.first("_bands").alias("bands"))
+    nodes = known.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(f"`{id_col}`")).alias("least"), F.first("_n").alias("n"), F.first("_fp").alias("fp"), F.first("_bands").alias("bands"))
     nodes = common.materialize(nodes, "nodes")
-    roots = common.materialize(simhash.components(link_edges(docs, nodes, known, text_col, least, shingle, small, rounds, huge)), "roots")
+    roots = common.materialize(simhash.components(link_edges(docs, nodes, known, text_col, least, shingle, small, rounds, huge, radius)), "roots")
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = roots.join(nodes, "node").groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_least"))
     table = named.join(first, named["root"] == F.col("_root"), "left").select(F.col("node").alias("_node"), "root", F.coalesce("_least", "least").alias("component_id"))
-    return common.join_spread(known.drop("_bands"), table, "_node")  # copies of a text, and all empty ones, are one key
+    return common.join_spread(known.drop("_bands", "_fp"), table, "_node")  # copies of a text, and all empty ones, are one key
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", small: int = 32, rounds: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", small: int = 32, rounds: int = 4, radius: int | None = None) -> DataFrame:
     """One row of every component: of the rows with its least id (null last) the one with the least hashes of the text, and of
     equal ids and texts the one with the least other columns, so a second run keeps the same rows.
 
@@ -209,7 +233,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str
     with common.Working(spark) as working:
         key = F.struct(F.col("c0").isNull().alias("none"), F.col("c0").alias("id"), "_h1", "_h2")
         slim = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("c0"))
-        kept = _linked(slim, least, shingle, "c0", "text", [], small, rounds).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k._h1").alias(a1), F.col("k._h2").alias(a2), F.col("k.none").alias(none), F.col("k.id").alias(own))
+        kept = _linked(slim, least, shingle, "c0", "text", [], small, rounds, radius=radius).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k._h1").alias(a1), F.col("k._h2").alias(a2), F.col("k.none").alias(none), F.col("k.id").alias(own))
         path = f"{common.shared_dir(spark)}/kept-{common.uuid.uuid4().hex}"
         kept.write.parquet(path)
         kept = spark.read.schema(kept.schema).parquet(path)

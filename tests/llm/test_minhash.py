@@ -84,3 +84,27 @@ def test_own_shingles_are_a_lower_bound(spark):
     sets = {1: [2, 4, 6, 7], 2: [4, 7, 9], 3: [9, 11]}
     got = minhash.own_shingles(spark.createDataFrame(list(sets.items()), "node long, set array<long>")).collect()
     assert {r.node: r.own for r in got} == {1: 2}
+
+
+def test_pipeline_keeps_links_of_both_kinds(spark, tmp_path):
+    """Near fingerprints of sets just below the least similarity link as much as similar sets of distant fingerprints."""
+
+    def pair(seed, step):
+        rng = random.Random(seed)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        return [" ".join(a), " ".join("changed" if i % step == 8 else x for i, x in enumerate(a))]
+
+    texts = [*pair(29, 44), *pair(0, 50), "another text"]
+    sets, fps = [sets_of(t) for t in texts], [minhash.fingerprint(minhash.shingles(t)) for t in texts]
+    similar, bits = (lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])), (lambda i, j: (fps[i] ^ fps[j]).bit_count())
+    assert bits(0, 1) <= 3 and similar(0, 1) < 0.8 and bits(2, 3) > 3 and similar(2, 3) >= 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()) == [0, 2, 4]
+    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == [0, 1, 2, 4]
+
+
+def test_fingerprint_is_the_majority_of_a_set():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64)
+    for n in (0, 1, 2, 254, 255, 256, 1000):
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[:n]) > n)
+        assert minhash.fingerprint(hashes[:n]) == want
