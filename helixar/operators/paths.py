@@ -241,7 +241,15 @@ def path_distances(edges: DataFrame, most: int = 3000) -> DataFrame:
     large = lambda key, src, dst, efficiency, material: solve(key, src, dst, material, efficiency)
     keyed = edges.select("query_key", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("material").cast("double"), F.col("efficiency").cast("double"))
     kind = dict(keyed.dtypes)["query_key"]
-    return keyed.repartition("query_key").sortWithinPartitions("query_key", "src", "dst").mapInArrow(run, f"query_key {kind}, src long, dst long, material double, efficiency double, cost double")
+    return by_key(keyed, "src", "dst").mapInArrow(run, f"query_key {kind}, src long, dst long, material double, efficiency double, cost double")
+
+
+def by_key(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by query_key and sorted by it and `order`, in as many parts as the session names: these are not put together to fewer, as what
+    a part holds is sorted in its task's memory."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By a hash of the key, as a union of frames dealt by the key itself counts as dealt, though parts of one of them may have been put together.
+    return rows.repartition(n, F.xxhash64("query_key")).sortWithinPartitions("query_key", *order)
 
 
 def _by_key(batches, solve):
@@ -374,5 +382,4 @@ def distances_from(edges: DataFrame, sources: DataFrame, cutoff: float | None =
     e = edges.select("query_key", F.lit(False).alias("is_source"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("material").cast("double"), F.col("efficiency").cast("double"))
     s = sources.select("query_key", F.lit(True).alias("is_source"), F.col("source").cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.0).alias("material"), F.lit(0.0).alias("efficiency")).distinct()
     kind = dict(edges.dtypes)["query_key"]
-    ordered = e.unionByName(s).repartition("query_key").sortWithinPartitions("query_key", "src", "dst", "material")
-    return ordered.mapInArrow(run, f"query_key {kind}, source long, node long, material double, efficiency double, cost double")
+    return by_key(e.unionByName(s), "src", "dst", "material").mapInArrow(run, f"query_key {kind}, source long, node long, material double, efficiency double, cost double")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from helixar.functions import sequences as S
 from helixar.operators import paths
@@ -102,7 +103,116 @@ def all_pairs(edges: DataFrame, objective: Objective = MATERIAL_OVER_EFFICIENCY,
     keyed = _numbers(edges, objective)
     kind = dict(keyed.dtypes)["query_key"]
     schema = f"query_key {kind}, src long, dst long, {', '.join(f'`{x}` double' for x in names)}, cost double"
-    return keyed.repartition("query_key").sortWithinPartitions("query_key", "src", "dst", *names).mapInArrow(run, schema)
+    return paths.by_key(keyed, "src", "dst", *names).mapInArrow(run, schema)
+
+
+def _searched(count: int, edges: tuple, wanted: tuple, objective: Objective, cutoff: float | None, small: int = 64, cells: int = 1 << 21) -> tuple:
+    """(found, attributes, cost, path lengths, path nodes) of wanted(graph, source, target) in `count` graphs of edges(graph, src, dst, attributes), which come
+    in order. Graphs of up to `small` nodes are searched step by step together with those of equal size, with the results of nearest()."""
+    graph, src, dst, attributes = edges
+    if len(graph):
+        new = np.concatenate([[True], (graph[1:] != graph[:-1]) | (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])])
+        graph, src, dst, attributes = graph[new], src[new], dst[new], [x[new] for x in attributes]
+    at, source, target = wanted
+    of, node = np.concatenate([graph, graph, at, at]), np.concatenate([src, dst, source, target])
+    order = np.lexsort((node, of))
+    first_of = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (node[order][1:] != node[order][:-1])])[: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first_of) - 1
+    nodes = node[order][first_of]
+    sizes = np.bincount(of[order][first_of], minlength=count)
+    first = np.cumsum(sizes) - sizes
+    local = number - first[of]
+    s, d, a, b = np.split(local, [len(src), 2 * len(src), 2 * len(src) + len(at)])
+    found, cost, got = np.zeros(len(at), bool), np.zeros(len(at)), [np.zeros(len(at)) for _ in objective.names]
+    length, ways = np.zeros(len(at), np.int64), []
+    asked = np.bincount(at, minlength=count) > 0
+    for g in np.flatnonzero(asked & (sizes > small)):
+        own, lo, hi = np.flatnonzero(at == g), *np.searchsorted(graph, [g, g + 1])
+        nearby = _nearby(src[lo:hi], dst[lo:hi], [x[lo:hi] for x in attributes])
+        for x in np.unique(source[own]).tolist():
+            mine = own[source[own] == x]
+            reached = nearest(nearby, x, objective, cutoff, set(target[mine].tolist()))
+            for i in mine[[t in reached for t in target[mine].tolist()]]:
+                parts, cost[i], _ = reached[int(target[i])]
+                for m, v in zip(got, parts, strict=True):
+                    m[i] = v
+                ways.append((np.array([i]), np.array(way(reached, int(target[i])), np.int64)))
+                found[i], length[i] = True, len(ways[-1][1])
+    for n in np.unique(sizes[asked & (sizes <= small)]).tolist():
+        same = np.flatnonzero(asked & (sizes == n))
+        most = max(1, cells // (n * n))
+        for i in range(0, len(same), most):
+            _together(n, same[i : i + most], (graph, s, d, attributes), (at, a, b), objective, cutoff, count, nodes, first, (found, cost, got, length, ways))
+    start = np.cumsum(length) - length
+    path = np.empty(int(length.sum()), np.int64)
+    for legs_, values in ways:
+        n = length[legs_]
+        path[np.repeat(start[legs_] - (np.cumsum(n) - n), n) + np.arange(len(values))] = values
+    return found, got, cost, length, path
+
+
+def _together(n: int, own: np.ndarray, edges: tuple, wanted: tuple, objective: Objective, cutoff: float | None, count: int, nodes: np.ndarray, first: np.ndarray, results: tuple) -> None:
+    """nearest() of all sources asked for in the graphs `own` of n nodes each, one node of every search at a time."""
+    graph, s, d, attributes = edges
+    at, a, b = wanted
+    found, cost, got, length, ways = results
+    place = np.full(count, -1)
+    place[own] = np.arange(len(own))
+    rows = np.flatnonzero(place[graph] >= 0)
+    g, s, d, attributes = place[graph[rows]], s[rows], d[rows], [x[rows] for x in attributes]
+    cell = g * n + s  # rows come by cell, so a node's edges lie side by side
+    degree = np.bincount(cell, minlength=len(own) * n)
+    begin = np.cumsum(degree) - degree
+    mine = np.flatnonzero(place[at] >= 0)
+    searches, of = np.unique(place[at[mine]] * n + a[mine], return_inverse=True)
+    sg, p = searches // n, len(searches)
+    best = np.full((p, n), np.inf)
+    parts = [np.full((p, n), x) for x in objective.identity]
+    before = np.full((p, n), -1)
+    done, open_ = np.zeros((p, n), bool), np.zeros((p, n), bool)
+    best[np.arange(p), searches % n] = 0.0
+    open_[of, b[mine]] = True
+    live = np.arange(p)
+    while len(live):
+        waiting = np.where(done[live], np.inf, best[live])
+        u = waiting.argmin(1)  # of equal costs the least node
+        on = waiting[np.arange(len(live)), u] < np.inf
+        live, u = live[on], u[on]
+        done[live, u] = True
+        open_[live, u] = False
+        on = open_[live].any(1)
+        live, u = live[on], u[on]
+        c = sg[live] * n + u
+        k = degree[c]
+        x = np.repeat(np.arange(len(live)), k)
+        e = np.repeat(begin[c] - (np.cumsum(k) - k), k) + np.arange(len(x))
+        if not len(e):
+            continue
+        row, v = live[x], d[e]
+        new = [np.broadcast_to(y, len(e)) for y in objective.along([m[row, u[x]] for m in parts], [y[e] for y in attributes])]
+        value = np.broadcast_to(objective.value(new), len(e))
+        better = ~done[row, v] & (value < best[row, v])
+        if cutoff is not None:
+            better &= value <= cutoff
+        row, v, x = row[better], v[better], x[better]
+        best[row, v] = value[better]
+        before[row, v] = u[x]
+        for m, y in zip(parts, new, strict=True):
+            m[row, v] = y[better]
+    there = done[of, b[mine]]
+    mine, of = mine[there], of[there]
+    found[mine], cost[mine] = True, best[of, b[mine]]
+    for m, y in zip(got, parts, strict=True):
+        m[mine] = y[of, b[mine]]
+    steps, now = [], b[mine]
+    while (now >= 0).any():
+        steps.append(now)
+        now = np.where(now >= 0, before[of, now], -1)
+    if steps:
+        back = np.stack(steps[::-1], 1)
+        length[mine] = (back >= 0).sum(1)
+        ways.append((mine, nodes[(first[at[mine]][:, None] + back)[back >= 0]]))
 
 
 def legs(edges: DataFrame, wanted: DataFrame, objective: Objective = MATERIAL_OVER_EFFICIENCY, cutoff: float | None = None) -> DataFrame:
@@ -110,23 +220,14 @@ def legs(edges: DataFrame, wanted: DataFrame, objective: Objective = MATERIAL_OV
     path at a cost of `cutoff` at most; path: nodes from source to target. A source is searched once for all its targets."""
     names = objective.names
 
-    def solve(key, is_leg, src, dst, *attributes):
-        nearby = _nearby(src[~is_leg], dst[~is_leg], [a[~is_leg] for a in attributes])
-        targets: dict = {}
-        for s, t in zip(src[is_leg].tolist(), dst[is_leg].tolist(), strict=True):
-            targets.setdefault(s, set()).add(t)
-        rows = []
-        for s, own in targets.items():
-            found = nearest(nearby, s, objective, cutoff, own)
-            rows += [(s, t, *found[t][0], found[t][1], way(found, t)) for t in sorted(own) if t in found]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * (4 + len(names))
-        route = np.empty(len(rows), object)
-        route[:] = cols[-1]
-        return np.full(len(rows), key), *(np.asarray(x, np.int64 if i < 2 else np.float64) for i, x in enumerate(cols[:-1])), route
-
     def run(batches):
-        for done in paths._by_key(batches, solve):
-            columns = [*(pa.array(x) for x in done[:-1]), pa.array([list(x) for x in done[-1]], pa.list_(pa.int64()))]
+        for (key, is_leg, src, dst, *attributes), start, stop in paths.whole_keys(batches):
+            graph, e = np.repeat(np.arange(len(start)), stop - start), ~is_leg
+            found, got, cost, length, path = _searched(len(start), (graph[e], src[e], dst[e], [x[e] for x in attributes]), (graph[is_leg], src[is_leg], dst[is_leg]), objective, cutoff)
+            if not found.any():
+                continue
+            ends = pa.array(np.concatenate([[0], np.cumsum(length[found])]), pa.int32())
+            columns = [*(pa.array(x[is_leg][found]) for x in (key, src, dst)), *(pa.array(x[found]) for x in (*got, cost)), pa.ListArray.from_arrays(ends, pa.array(path))]
             yield pa.RecordBatch.from_arrays(columns, ["query_key", "source", "target", *names, "cost", "path"])
 
     e = _numbers(edges, objective)
@@ -134,21 +235,59 @@ def legs(edges: DataFrame, wanted: DataFrame, objective: Objective = MATERIAL_OV
     rows = e.select("query_key", F.lit(False).alias("is_leg"), "src", "dst", *names).unionByName(w.dropna(subset=["query_key", "src", "dst"]).distinct())
     kind = dict(e.dtypes)["query_key"]
     schema = f"query_key {kind}, source long, target long, {', '.join(f'`{x}` double' for x in names)}, cost double, path array<long>"
-    return rows.repartition("query_key").sortWithinPartitions("query_key", "src", "dst", *names).mapInArrow(run, schema)
+    return paths.by_key(rows, "src", "dst", *names).mapInArrow(run, schema)
 
 
 def routes(edges: DataFrame, points: DataFrame, objective: Objective = MATERIAL_OVER_EFFICIENCY, cyclic: bool = False, cutoff: float | None = None) -> DataFrame:
     """(query_key, route, cost, path) through all of points(query_key, route, pos, node) in the order of pos: legs on end, costs
-    summed. cyclic: back to the first point, which is not named again, and turned so that the least node comes first."""
+    summed. cyclic: back to the first point, which is not named again, and turned so that the least node comes first.
+
+    Points come to the kernel of their graph, behind its edges, so that legs are put together where they are found."""
     c = F.col
-    p = points.groupBy("query_key", "route").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", c("node").cast("long").alias("node")))), lambda x: x["node"]).alias("at"))
-    after = F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0)))
-    after = F.concat(after, F.slice("at", 1, 1)) if cyclic else after
-    pairs = F.filter(F.arrays_zip(c("at").alias("source"), after.alias("target")), lambda x: x["target"].isNotNull())
-    wanted = p.filter(F.size("at") > 1).select("query_key", "route", F.size(pairs).alias("n"), F.posexplode(pairs).alias("leg", "x")).select("query_key", "route", "n", "leg", "x.source", "x.target")
-    found = wanted.join(legs(edges, wanted.select("query_key", "source", "target"), objective, cutoff), ["query_key", "source", "target"])
-    step = F.struct("leg", F.slice("path", F.lit(1), F.size("path") - 1).alias("nodes"), "target")
-    whole = found.groupBy("query_key", "route", "n").agg(F.sum("cost").alias("cost"), F.sort_array(F.collect_list(step)).alias("steps")).filter(F.size("steps") == c("n"))
-    nodes = F.flatten(F.transform("steps", lambda s: s["nodes"]))
-    nodes = S.sort_cycle(nodes) if cyclic else F.array_append(nodes, F.element_at("steps", -1)["target"])
-    return whole.select("query_key", "route", "cost", nodes.alias("path"))
+    names = objective.names
+
+    def run(batches):
+        for (key, is_point, route, known, src, dst, *attributes), start, stop in paths.whole_keys(batches):
+            graph, e = np.repeat(np.arange(len(start)), stop - start), ~is_point
+            g, r, n, here = (x[is_point] for x in (graph, route, src, known))
+            if not len(g):
+                continue
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
+            head = np.flatnonzero(new)
+            size = np.diff(np.concatenate([head, [len(g)]]))
+            of = np.repeat(np.arange(len(head)), size)
+            after = np.arange(1, len(g) + 1)
+            last = head + size - 1
+            after[last] = head  # of a circle
+            leg = here[after] & (size[of] > 1)
+            if not cyclic:
+                leg[last] = False
+            whole = np.bincount(of[leg], minlength=len(head)) > 0
+            whole[of[leg & ~here]] = False
+            leg &= whole[of]
+            found, _, cost, length, path = _searched(len(start), (graph[e], src[e], dst[e], [x[e] for x in attributes]), (g[leg], n[leg], n[after][leg]), objective, cutoff)
+            of = of[leg]
+            whole[of[~found]] = False
+            if not whole.any():
+                continue
+            keep = whole[of]  # of a whole route every leg is found
+            total = np.bincount(of[keep], cost[keep], len(head))
+            stays = np.repeat(keep, length)
+            ends = np.cumsum(length) - 1
+            final = np.concatenate([of[1:] != of[:-1], [True]])[: len(of)]
+            drop = ends[keep] if cyclic else ends[keep & ~final]
+            stays[drop] = False
+            sizes = np.bincount(of[keep], (length - (1 if cyclic else ~final))[keep], len(head)).astype(np.int64)[whole]
+            made = [pa.array(key[is_point][head][whole]), pa.array(r[head][whole], routed), pa.array(total[whole]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(path[stays]))]
+            yield pa.RecordBatch.from_arrays(made, ["query_key", "route", "cost", "path"])
+
+    e = _numbers(edges, objective)
+    p = points.dropna(subset=["query_key", "route"]).withColumn("node", c("node").cast("long"))
+    kind = dict(p.dtypes)["route"]
+    routed = to_arrow_type(p.schema["route"].dataType)
+    position = lambda x: x.cast(p.schema["pos"].dataType).alias("pos")
+    e = e.select("query_key", F.lit(False).alias("is_point"), F.lit("0").try_cast(kind).alias("route"), position(F.lit(None)), F.lit(True).alias("known"), "src", "dst", *names)
+    p = p.select("query_key", F.lit(True).alias("is_point"), "route", "pos", c("node").isNotNull().alias("known"), F.coalesce("node", F.lit(0).cast("long")).alias("src"), F.lit(0).cast("long").alias("dst"), *[F.lit(0.0).alias(x) for x in names])
+    rows = paths.by_key(e.unionByName(p), "is_point", "route", "pos", "known", "src", "dst", *names).drop("pos")
+    found = rows.mapInArrow(run, f"query_key {dict(e.dtypes)['query_key']}, route {kind}, cost double, path array<long>")
+    return found.withColumn("path", S.sort_cycle(c("path"))) if cyclic else found

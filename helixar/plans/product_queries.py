@@ -11,7 +11,7 @@ from helixar.functions import sequences as S
 from helixar.functions import shared, thermo
 from helixar.operators import assemble, document, features, lab, paths, routes
 from helixar.operators.objective import MAX, PRODUCT, Objective
-from helixar.plans.queries import _DNA, _MOL, _RX, _SPANS, _reactions, bases, c, query, read, spans
+from helixar.plans.queries import _DNA, _MOL, _RX, _SPANS, _reactions, bases, by_order, c, query, read, spans
 from helixar.sources import sequences as files
 
 _LAPS = (20, 60, 80, 25)
@@ -107,11 +107,17 @@ _WAYS = f"{_STEPS}, way(k, s, d, m, e, most, path, n) as (select k, s, d, m, e,
 
 def _steps(spark, sf):
     """An order's lines as a graph with many ways: from each line to the next, and past it at 1.6 times the price."""
-    l = read(spark, sf, "lineitem")
+    l = by_order(spark, sf)
     w = paths.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     d = l.select(c("l_orderkey").alias("query_key"), F.row_number().over(w).alias("src"), F.count(F.lit(1)).over(paths.Window.partitionBy("l_orderkey")).alias("n"), "l_extendedprice", "l_discount", "l_tax")
-    one = d.select("query_key", "src", (c("src") + 1).alias("dst"), c("l_extendedprice").alias("material"), (1 - c("l_discount")).alias("efficiency"), "n")
-    return one.unionByName(d.filter("src < n").select("query_key", "src", (c("src") + 2).alias("dst"), (1.6 * c("l_extendedprice")).alias("material"), (1 - c("l_tax")).alias("efficiency"), "n"))
+    step = lambda k, m, e: F.struct((c("src") + k).alias("dst"), m.alias("material"), (1 - c(e)).alias("efficiency"))
+    one, two = step(1, c("l_extendedprice"), "l_discount"), step(2, 1.6 * c("l_extendedprice"), "l_tax")
+    return d.select("query_key", "src", F.explode(F.when(c("src") < c("n"), F.array(one, two)).otherwise(F.array(one))).alias("x"), "n").select("query_key", "src", "x.*", "n")
+
+
+def _sizes(spark, sf):
+    """The number of lines of each order."""
+    return read(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("query_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _LOG = Objective("material - 20000 * log(efficiency)", {"efficiency": PRODUCT})
@@ -133,7 +139,7 @@ _BEST = f"{_WAYS}, best as (select k, s, d, n, min(m - 20000 * ln(e)) as cost, a
 
 
 def _points(spark, sf):
-    e = _steps(spark, sf).groupBy("query_key").agg(F.max("n").alias("n")).filter("n >= 2")
+    e = _sizes(spark, sf).filter("n >= 2")
     middle = (1 + F.floor(c("n") / 2)).cast("long")
     at = F.array(F.lit(1).cast("long"), middle, c("n") + 1)
     return e.select("query_key", F.lit("all").alias("route"), F.posexplode(at).alias("pos", "node"))
@@ -149,7 +155,7 @@ def routes_through_points(spark, sf):
 def rings_through_points(spark, sf):
     """The same points as a ring, with one edge from the last node back to the first; given from the middle on, so the ring is turned."""
     e = _steps(spark, sf)
-    back = e.groupBy("query_key").agg(F.max("n").alias("n")).select("query_key", (c("n") + 1).alias("src"), F.lit(1).alias("dst"), F.lit(1.0).alias("material"), F.lit(0.5).alias("efficiency"))
+    back = _sizes(spark, sf).select("query_key", (c("n") + 1).alias("src"), F.lit(1).alias("dst"), F.lit(1.0).alias("material"), F.lit(0.5).alias("efficiency"))
     p = _points(spark, sf).withColumn("pos", (c("pos") + 2) % 3)
     r = routes.routes(e.drop("n").unionByName(back), p, _LOG, cyclic=True)
     return r.select("query_key", F.round("cost", 4).alias("cost"), F.array_join("path", ",").alias("path"))

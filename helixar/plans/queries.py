@@ -233,8 +233,13 @@ def top_n_assemblies(spark, sf):
 _CHAIN = "ch as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) i, l_extendedprice m, 1 - l_discount e from lineitem)"
 
 
+def by_order(spark, sf):
+    """Order lines dealt by order in as many parts as the session names: they are sorted in them, so these are not put together to fewer."""
+    return read(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+
+
 def _chain(spark, sf):
-    l = read(spark, sf, "lineitem")
+    l = by_order(spark, sf)
     w = F.row_number().over(paths.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
     return l.select(c("l_orderkey").alias("query_key"), w.alias("src"), c("l_extendedprice").alias("material"), (1 - c("l_discount")).alias("efficiency")).withColumn("dst", c("src") + 1)
 

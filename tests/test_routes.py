@@ -295,3 +295,28 @@ def test_small_graphs_are_swept_together():
         for small, cells in ((64, 100), (64, 1 << 20), (5, 1 << 20), (0, 1)):
             found = pairs_of_many(cols, start, stop, objective, keep, one, backward=True, small=small, cells=cells)
             assert sorted(r for x in found for r in zip(*map(np.ndarray.tolist, x), strict=True)) == want
+
+
+def test_searches_of_many_graphs_are_those_of_one():
+    """Graphs searched together give what nearest() gives for each, with costs that tie, equal edges, cutoffs and graphs above the size."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for objective in (routes.MATERIAL_OVER_EFFICIENCY, Objective("material", {"material": MAX})):
+        for cutoff, small in ((None, 64), (6.0, 64), (None, 3)):
+            rows, wanted = set(), set()
+            for g in range(60):
+                n = int(rng.integers(1, 9))
+                rows |= {(g, *map(int, rng.integers(0, n, 2)), *(float(x) for x in rng.integers(1, 4, len(objective.names)))) for _ in range(3 * n)}
+                wanted |= {(g, *map(int, rng.integers(0, n + 1, 2))) for _ in range(int(rng.integers(0, 4)))}
+            rows, wanted = sorted(rows), sorted(wanted)
+            edges = [np.array(x) for x in zip(*rows, strict=True)]
+            asked = tuple(np.array(x) for x in zip(*wanted, strict=True))
+            found, got, cost, length, path = routes._searched(60, (*edges[:3], edges[3:]), asked, objective, cutoff, small, 100)
+            ends = np.cumsum(length)
+            for i, (g, a, b) in enumerate(wanted):
+                own = edges[0] == g
+                one = routes.nearest(routes._nearby(edges[1][own], edges[2][own], [x[own] for x in edges[3:]]), a, objective, cutoff, {b})
+                assert found[i] == (b in one)
+                if found[i]:
+                    assert one[b][0] == [x[i] for x in got] and one[b][1] == cost[i] and routes.way(one, b) == path[ends[i] - length[i] : ends[i]].tolist()
