@@ -18,32 +18,46 @@ def shared_fragments(goals: DataFrame, least: int = 100) -> DataFrame:
 
 
 def connected(edges: DataFrame, src: str = "a", dst: str = "b", rounds: int = 64) -> DataFrame:
-    """(node, component): the least node that each node reaches. Labels hop over neighbours and over labels, so the number
-    of rounds grows with the logarithm of the longest way; each round is checkpointed."""
+    """(node, component): the least node that each node reaches; edges with a null give no node. By random contraction: every node takes the neighbour of
+    the least rank, or itself, and edges inside of a group go, so a round leaves far fewer edges than it found, the more so the denser they are.
+    Each round is checkpointed."""
     shared.folder(edges.sparkSession)
-    e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y"))
-    e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
-    label = e.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("c")).checkpoint()
-    for _ in range(rounds):
-        near = e.join(label.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
-        hop = label.select(F.col("x").alias("c"), F.col("c").alias("cc"))
-        new = label.join(near, "x").join(hop, "c", "left").select("x", F.least("m", "c", "cc").alias("c")).checkpoint()
-        changed = new.join(label.withColumnRenamed("c", "old"), "x").filter("c <> old").limit(1).count()
-        label = new
-        if not changed:
+    c = F.col
+    whole = edges.select(c(src).alias("a"), c(dst).alias("b")).dropna().checkpoint()
+    e, steps = whole.filter("a <> b"), []
+    for r in range(rounds):
+        rank = lambda x, r=r: F.struct(F.xxhash64(F.lit(r), x).alias("r"), c(x).alias("to"))
+        near = e.unionByName(e.select(c("b").alias("a"), c("a").alias("b"))).groupBy("a").agg(F.min(rank("b")).alias("m"))
+        step = near.select(c("a").alias("x"), F.least(rank("a"), "m")["to"].alias("to")).checkpoint()
+        if step.isEmpty():
             break
+        steps.append(step)
+        at = lambda x, step=step: step.select(c("x").alias(x), c("to").alias(f"to_{x}"))
+        met = e.join(at("a"), "a").join(at("b"), "b").filter("to_a <> to_b")
+        e = met.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct().checkpoint()
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return label.select(F.col("x").alias("node"), F.col("c").alias("component"))
+    alone = whole.filter("a = b").select(c("a").alias("x")).distinct()
+    if not steps:
+        return alone.select(c("x").alias("node"), c("x").alias("component"))
+    root = steps[-1].select("x", c("to").alias("root"))
+    for step in reversed(steps[:-1]):
+        root = step.join(root.select(c("x").alias("to"), "root"), "to", "left").select("x", F.coalesce("root", "to").alias("root"))
+    root = root.unionByName(alone.join(steps[0], "x", "left_anti").select("x", c("x").alias("root"))).checkpoint()
+    least = root.groupBy("root").agg(F.min("x").alias("component"))
+    return root.join(least, "root").select(c("x").alias("node"), "component")
 
 
 def clusters(aligned: DataFrame) -> DataFrame:
     """Clusters of shared regions: (query_key, a, b, component, n_clusters); clusters that hold two regions of one goal are dropped."""
     name = lambda k, a, b: F.concat_ws(":", k, a, b)
     c = F.col
-    pairs = aligned.select(name(c("query_key"), c("a"), c("b")).alias("a"), name(c("subject_key"), c("sa"), c("sb")).alias("b"))
-    nodes = aligned.select(name(c("query_key"), c("a"), c("b")).alias("node"), "query_key", "a", "b").unionByName(aligned.select(name(c("subject_key"), c("sa"), c("sb")).alias("node"), c("subject_key").alias("query_key"), c("sa").alias("a"), c("sb").alias("b"))).distinct()
-    named = nodes.join(connected(pairs), "node")
+    pairs = aligned.dropna(subset=["a", "b", "sa", "sb"]).select(name(c("query_key"), c("a"), c("b")).alias("a"), name(c("subject_key"), c("sa"), c("sb")).alias("b"))
+    # A region is read from its node's name again, so alignments are looked at once.
+    kind = dict(aligned.dtypes)
+    part = lambda i: F.regexp_extract("node", r"(?s)^(?:(.*):)?(-?\d+):(-?\d+)$", i)
+    key = F.when(~c("node").rlike(r"^-?\d+:-?\d+$"), part(1)).cast(kind["query_key"])
+    named = connected(pairs).select("node", "component", key.alias("query_key"), *[part(i).cast(kind[x]).alias(x) for i, x in ((2, "a"), (3, "b"))]).checkpoint()
     twice = named.groupBy("component", "query_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component").distinct()
     good = named.join(twice, "component", "left_anti")
     size = good.groupBy("component").agg(F.count(F.lit(1)).alias("n_clusters"))

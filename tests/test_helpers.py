@@ -100,3 +100,15 @@ def test_gc_cost_without_bases(spark):
 
     got = spark.createDataFrame([("",), ("GGCC",), (None,)], "s string").select(S.gc_cost(F.col("s")).alias("x")).collect()
     assert [r.x for r in got] == [None, 34.0, None]
+
+
+def test_components_of_odd_graphs(spark):
+    """Long ways, dense parts, loops, equal edges and nulls, by contraction: the least node of each component, in a number of rounds that does not grow with the way."""
+    from helixar.operators import library
+
+    way = [(i, i + 1) for i in range(1000, 1300)]
+    rows = [*way, *way[:5], (7, 7), (1, 2), (2, 1), (2, 2), (3, 4), (4, 5), (5, 3), (None, 9), (9, None), *((a, b) for a in range(50, 60) for b in range(80, 99))]
+    got = {r.node: r.component for r in library.connected(spark.createDataFrame(rows, "a long, b long"), rounds=12).collect()}
+    want = {i: 1000 for i in range(1000, 1301)} | {7: 7, 1: 1, 2: 1, 3: 3, 4: 3, 5: 3} | dict.fromkeys([*range(50, 60), *range(80, 99)], 50)
+    assert got == want
+    assert library.connected(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixar.functions import intervals as I
 from helixar.operators import objective, paths, routes
@@ -299,8 +300,6 @@ def test_small_graphs_are_swept_together():
 
 def test_searches_of_many_graphs_are_those_of_one():
     """Graphs searched together give what nearest() gives for each, with costs that tie, equal edges, cutoffs and graphs above the size."""
-    import numpy as np
-
     rng = np.random.default_rng(4)
     for objective in (routes.MATERIAL_OVER_EFFICIENCY, Objective("material", {"material": MAX})):
         for cutoff, small in ((None, 64), (6.0, 64), (None, 3)):
@@ -320,3 +319,10 @@ def test_searches_of_many_graphs_are_those_of_one():
                 assert found[i] == (b in one)
                 if found[i]:
                     assert one[b][0] == [x[i] for x in got] and one[b][1] == cost[i] and routes.way(one, b) == path[ends[i] - length[i] : ends[i]].tolist()
+
+
+def test_rows_are_dealt_in_as_many_parts_as_the_session_names(spark):
+    """Small tables, too, whose parts would be put together: what is sorted in a task does not grow with them."""
+    rows = paths.by_key(spark.range(100).select(F.col("id").alias("query_key"), "id"), "id")
+    rows.count()
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
