@@ -11,19 +11,69 @@ from helixar.functions import sequences as S
 from helixar.operators import match
 
 
+_WORDS = 1 << 18  # of 64 bits
+
+
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """A bit for every hash in `seed`, in a table of fixed size: what is not in it is no seed, so exact comparison is left to the rest."""
+    word, bit = F.col("seed").bitwiseAND(_WORDS - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, 18) & 63 as int))")
+    table = np.zeros(_WORDS, np.int64)
+    for w, bits in seeds.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit")).collect():
+        table[w] = bits
+    return table.view(np.uint64)
+
+
+def _near(templates: DataFrame, sieve: np.ndarray, least: int, reach: int) -> DataFrame:
+    """(key, strand, i, length, tail, before): the starts on both strands of templates(key, bases) whose `least` bases, the tail, pass the
+    sieve, with up to `reach` bases before them. Short templates are hashed together, long ones by blocks."""
+    flip = str.maketrans("ACGTacgt", "TGCAtgca")
+
+    def passed(s: str) -> np.ndarray:
+        x, out = match.codes(s), [np.zeros(0, np.int64)]
+        for i in range(0, len(x) - least + 1, 65536):
+            h = match.kmer_hashes(x[i : i + 65535 + least], least)
+            bits = sieve[h & np.uint64(_WORDS - 1)] >> (h >> np.uint64(18) & np.uint64(63))
+            out.append(np.flatnonzero(bits & np.uint64(1)) + i)
+        return np.concatenate(out)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in texts], np.int64)
+            group = np.cumsum(sizes) // 65536
+            bounds = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(texts)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                text, stop = "".join(texts[a:b]), np.cumsum(sizes[a:b])
+                start, n, own = stop - sizes[a:b], len(text), np.arange(a, b)
+                for strand, s, first, last, rows in ((1, text, start, stop, own), (-1, text.translate(flip)[::-1], (n - stop)[::-1], (n - start)[::-1], own[::-1])):
+                    every = passed(s)
+                    of = np.searchsorted(last, every, "right")
+                    inside = every + least <= last[of]  # not over the end of a template
+                    for k in range(0, int(inside.sum()), 65536):
+                        at, r = every[inside][k : k + 65536], of[inside][k : k + 65536]
+                        tail = [s[x : x + least] for x in at.tolist()]
+                        before = [s[max(x - reach, f) : x] for x, f in zip(at.tolist(), first[r].tolist(), strict=True)]
+                        numbers = [pa.array(x.astype(np.int32)) for x in (np.full(len(at), strand), at - first[r], (last - first)[r])]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[r])), *numbers, pa.array(tail, pa.string()), pa.array(before, pa.string())], ["key", "strand", "i", "length", "tail", "before"])
+
+    t = templates.select("key", F.upper("bases").alias("bases")).filter(F.length("bases") >= least)
+    return t.mapInArrow(run, f"key {dict(t.dtypes)['key']}, strand int, i int, length int, tail string, before string")
+
+
 def anneal(primers: DataFrame, templates: DataFrame, least: int = 14) -> DataFrame:
     """Where the last `least` bases of primers(primer_key, primer) lie in templates(key, bases): strand, 0-based `end` of
-    the annealed part on the top strand (its start for strand -1), annealed bases and overhang, extended as far as equal."""
-    p = primers.filter(F.length("primer") >= least).select("primer_key", F.upper("primer").alias("primer"))
-    t = templates.select("key", F.upper("bases").alias("bases")).filter(F.length("bases") >= least)
-    both = t.select("key", F.lit(1).alias("strand"), F.col("bases").alias("s")).unionByName(t.select("key", F.lit(-1).alias("strand"), S.reverse_complement(F.col("bases")).alias("s")))
-    tails = match.seeds(p.select(F.col("primer_key").alias("key"), F.lit(1).alias("strand"), F.expr(f"right(primer, {least})").alias("s")), least, 1)
-    near = tails.select(F.col("key").alias("primer_key"), "seed").join(match.seeds(both, least, 1).withColumnRenamed("at", "i"), "seed").drop("seed")
-    hit = near.join(p, "primer_key").join(both, ["key", "strand"]).filter(F.expr(f"substring(s, i + 1, {least}) = right(primer, {least})"))
-    more = F.expr(f"size(filter(sequence(0, length(primer) - {least}), k -> k > 0 AND i - k >= 0 AND substring(s, i - k + 1, k) = substring(primer, length(primer) - {least} - k + 1, k)))")
+    the annealed part on the top strand (its start for strand -1), annealed bases and overhang, extended as far as equal.
+
+    Templates are read once; only places that pass a sieve of the primers' hashes leave the kernel, with the bases that a primer reaches.
+    """
+    p = primers.filter(F.length("primer") >= least).select("primer_key", F.upper("primer").alias("primer"), F.expr(f"right(upper(primer), {least})").alias("tail"))
+    tails = match.seeds(p.select(F.lit("").alias("key"), F.lit(1).alias("strand"), F.col("tail").alias("s")), least, 1)
+    reach = (p.agg(F.max(F.length("primer"))).first()[0] or least) - least
+    hit = _near(templates, _sieve(tails), least, reach).join(p, "tail")
+    more = F.expr(f"size(filter(sequence(0, length(primer) - {least}), k -> k > 0 AND k <= length(before) AND right(before, k) = substring(primer, length(primer) - {least} - k + 1, k)))")
     n = (F.lit(least) + more).cast("int")
     stop = F.col("i") + least
-    return hit.withColumn("n", n).select("primer_key", "key", "strand", F.when(F.col("strand") == 1, stop).otherwise(F.length("s") - stop).cast("int").alias("end"), "n", F.expr("right(primer, n)").alias("annealed"), F.expr("substring(primer, 1, length(primer) - n)").alias("overhang"))
+    return hit.withColumn("n", n).select("primer_key", "key", "strand", F.when(F.col("strand") == 1, stop).otherwise(F.col("length") - stop).cast("int").alias("end"), "n", F.expr("right(primer, n)").alias("annealed"), F.expr("substring(primer, 1, length(primer) - n)").alias("overhang"))
 
 
 def pcr(anneals: DataFrame, templates: DataFrame) -> DataFrame:

@@ -17,25 +17,29 @@ from helixar.functions import sequences as S
 HIT = "query_key string, subject_key string, strand int, q_start int, q_raw_end int, s_start int, s_raw_end int, q_length int, s_length int, q_circular boolean, n int"
 
 
-def _codes(s: str) -> np.ndarray:
+def codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), "<u4")
 
 
+def kmer_hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k codes from each start."""
+    x = x.astype(np.uint64)
+    n = max(len(x) - k + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = (h + x[i : i + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 def seeds(seqs: DataFrame, k: int, step: int, most: int | None = None) -> DataFrame:
     """(key, strand, 0-based position, hash of the k-mer) at every step-th start of `s` (the first `most` starts), by an Arrow kernel."""
 
     def run(batches):
         for batch in batches:
             for key, strand, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = _codes(s.as_py()).astype(np.uint64)
-                n = len(x) - k + 1
-                if n <= 0:
-                    continue
-                h = np.zeros(n, np.uint64)
-                for i in range(k):
-                    h = (h + x[i : i + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(31)
-                at = np.arange(0, n, step)[:most]
+                h = kmer_hashes(codes(s.as_py()), k)
+                at = np.arange(0, len(h), step)[:most]
                 for j in range(0, len(at), 65536):
                     own = at[j : j + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array(np.full(len(own), strand, np.int32)), pa.array(own.astype(np.int32)), pa.array(h[own].view(np.int64))], ["key", "strand", "at", "seed"])
@@ -63,7 +67,7 @@ def _matches(goals: DataFrame, subjects: DataFrame, k: int, step: int, first_onl
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                base, y = _codes(r["bases"]), _codes(r["s"])
+                base, y = codes(r["bases"]), codes(r["s"])
                 x = np.concatenate([base, base[:-1]]) if r["is_circular"] else base
                 size = len(base)
                 for d in r["diagonals"]:

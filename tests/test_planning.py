@@ -181,6 +181,37 @@ def test_planted_repeat_is_cut():
     assert any(1000 < x < 1080 for x in score.cuts_of(s, False, 10, 100, 30))
 
 
+def counted(df, seen):
+    """df, with the rows that are made of it counted in an accumulator."""
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_anneal_reads_templates_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    t = [dna(n, n) for n in (13, 14, 500, 70_000, 300)]
+    rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    temp = counted(frame(spark, [(str(i), x) for i, x in enumerate(t)], False).coalesce(1), seen)
+    over = t[1][-4:] + t[2][:10]  # over the end of a template into the next: no place
+    ends = {"a": t[1], "b": "TTT" + t[2][-20:], "c": "G" * 8 + t[3][65_530:65_550], "d": "AC" + rc(t[3][2:22]), "e": over}
+    got = lab.anneal(spark.createDataFrame(list(ends.items()), "primer_key string, primer string"), temp).collect()
+    want = set()
+    for key, x in enumerate(t):
+        for strand, s in ((1, x), (-1, rc(x))):
+            for name, primer in ends.items():
+                for i in range(len(s) - 13):
+                    if s[i : i + 14] == primer[-14:]:
+                        n = max(n for n in range(14, len(primer) + 1) if n <= i + 14 and s[i + 14 - n : i + 14] == primer[-n:])
+                        want.add((name, str(key), strand, i + 14 if strand == 1 else len(s) - i - 14, n, primer[-n:], primer[:-n]))
+    assert {tuple(r) for r in got} == want and {x[0] for x in want} == set("abcd")
+    assert seen.value == len(t)
+
+
 def test_lab(spark):
     t = dna(300, 21)
     rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
