@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixar.functions import sequences as S
+from helixar.functions import shared
 from helixar.operators import match
 
 
@@ -78,6 +79,7 @@ def anneal(primers: DataFrame, templates: DataFrame, least: int = 14) -> DataFra
 
 def pcr(anneals: DataFrame, templates: DataFrame) -> DataFrame:
     """Products of a forward and a reverse annealing on linear templates, one row per different product."""
+    anneals = shared.held(anneals.select("key", "primer_key", "strand", "end", "n", "overhang"), "anneals")  # as it is read twice
     f = anneals.filter("strand = 1").select("key", F.col("primer_key").alias("fwd"), (F.col("end") - F.col("n")).alias("i"), F.col("overhang").alias("head"))
     r = anneals.filter("strand = -1").select("key", F.col("primer_key").alias("rev"), (F.col("end") + F.col("n")).alias("j"), F.col("overhang").alias("tail"))
     pairs = f.join(r, "key").filter("j > i").join(templates.select("key", F.upper("bases").alias("bases")), "key")

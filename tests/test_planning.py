@@ -212,6 +212,15 @@ def test_anneal_reads_templates_once(spark):
     assert seen.value == len(t)
 
 
+def test_pcr_anneals_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    t = dna(300, 21)
+    temp = frame(spark, [("t", t)], False)
+    p = spark.createDataFrame([("f", t[50:70]), ("r", t[180:200].translate(str.maketrans("ACGT", "TGCA"))[::-1])], "primer_key string, primer string")
+    assert [r["product"] for r in lab.pcr(counted(lab.anneal(p, temp), seen), temp).collect()] == [t[50:200]]
+    assert seen.value == 2
+
+
 def test_lab(spark):
     t = dna(300, 21)
     rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
