@@ -54,8 +54,8 @@ def best_cut(p: S.Profile, i: int, j: int, step: int, overlap: int) -> tuple[int
 def cuts_of(bases: str, cyclic: bool, threshold: float, step: int, overlap: int, again: int = 100) -> list[int]:
     """Cut points, coarse then fine, parts cut again in steps of `again` while over the threshold; circles are searched from two origins."""
 
-    def search(p: S.Profile, i: int, j: int, out: list[int], step: int = again) -> None:
-        if j - i < 2 * step or p.cost(i, j) < threshold:
+    def search(p: S.Profile, i: int, j: int, out: list[int], step: int = again, costs: float | None = None) -> None:
+        if j - i < 2 * step or (p.cost(i, j) if costs is None else costs) < threshold:
             return
         x, c = best_cut(p, i, j, step, overlap)
         if x is None:
@@ -66,10 +66,9 @@ def cuts_of(bases: str, cyclic: bool, threshold: float, step: int, overlap: int,
         if x in out:
             return
         out.append(x)
-        if p.cost(i, x) > threshold:
-            search(p, i, x, out)
-        if p.cost(x, j) > threshold:
-            search(p, x, j, out)
+        for a, b in ((i, x), (x, j)):
+            if (own := p.cost(a, b)) > threshold:
+                search(p, a, b, out, costs=own)
 
     found: list[int] = []
     search(S.Profile(bases), 0, len(bases), found, step)

@@ -221,6 +221,25 @@ def test_pcr_anneals_once(spark):
     assert seen.value == 2
 
 
+def _repeated_calls(monkeypatch):
+    """The calls of S.repeated, which sorts the k-mers of one slice, from here on."""
+    calls, own = [], S.repeated
+    monkeypatch.setattr(S, "repeated", lambda x: calls.append(len(x)) or own(x))
+    return calls
+
+
+def test_cuts_sort_a_sequence_once(monkeypatch):
+    s = (dna(300, 1) + "ACGTTGCATTAGGCCA" * 3 + dna(150, 2)) * 4 + "G" * 90 + "ACGN" * 20
+    p, q = S.Profile(s), S.Profile(s)
+    q._places()
+    for i in range(0, len(s), 97):
+        for j in range(i, len(s) + 1, 131):
+            assert p.cost(i, j) == q.cost(i, j)
+    calls = _repeated_calls(monkeypatch)
+    assert len(score.cuts_of(s, False, 10, 10, 30)) > 5
+    assert len(calls) <= 3
+
+
 def test_lab(spark):
     t = dna(300, 21)
     rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
