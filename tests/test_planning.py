@@ -240,6 +240,16 @@ def test_cuts_sort_a_sequence_once(monkeypatch):
     assert len(calls) <= 3
 
 
+def test_slices_of_equal_size_are_counted_together(monkeypatch):
+    s = (dna(300, 1) + "ACGTTGCATTAGGCCA" * 3 + dna(150, 2)) * 4 + "G" * 90 + "ACGN" * 20
+    p = S.Profile(s)
+    a = np.array([*range(0, 1500, 10), 3, 1400, 1400, 0])
+    b = a + np.array([200, 77] * 75 + [5, 0, 9000, 9000])
+    want = [p.cost(int(i), int(j)) for i, j in zip(a, b, strict=True)]
+    calls = _repeated_calls(monkeypatch)
+    assert S.Profile(s).costs(a, b).tolist() == want and not calls
+
+
 def test_lab(spark):
     t = dna(300, 21)
     rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
