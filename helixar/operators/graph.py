@@ -53,21 +53,23 @@ def external_edges(nodes: DataFrame, starts: DataFrame, spans: tuple[int, int] |
     c = F.col
     pick = lambda kind, p: nodes.filter(c("ntype") == kind).select("query_key", "length", c("index").alias(f"{p}_i"), c("expandable").alias(f"{p}_x"), c("overhang").alias("over"))
     # Of a start node and the goal's starts all that an overlap asks is the next start from the node on, and the first one.
-    at = nodes.filter(c("ntype") == "A").select("query_key", c("index").alias("a_i"), F.pmod(c("index"), c("length")).alias("_at")).distinct()
-    own = at.select("query_key", "a_i", "_at", F.lit(None).cast("int").alias("_s")).unionByName(starts.distinct().select("query_key", F.lit(None).cast("int").alias("a_i"), c("start").cast("int").alias("_at"), c("start").cast("int").alias("_s")))
+    own = pick("A", "a").withColumns({"_at": F.pmod(c("a_i"), c("length")).cast("int"), "_s": F.lit(None).cast("int")})
+    own = own.unionByName(starts.distinct().select("query_key", c("start").cast("int").alias("_at"), c("start").cast("int").alias("_s")), allowMissingColumns=True)
     from_here = Window.partitionBy("query_key").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumns({"_next": F.min("_s").over(from_here), "_first": F.min("_s").over(Window.partitionBy("query_key"))}).filter("a_i IS NOT NULL").select("query_key", "a_i", "_next", "_first")
-    begins = pick("A", "a").join(own, ["query_key", "a_i"])
-    pairs = pick("B", "b").join(begins.drop("length"), ["query_key", "over"]) if spans is None else _pairs_within(pick("B", "b"), begins, *spans)
+    begins = own.withColumns({"_next": F.min("_s").over(from_here), "_first": F.min("_s").over(Window.partitionBy("query_key"))}).filter("a_i IS NOT NULL").drop("_at", "_s")
+    if spans is None:  # by the goal's key alone, so that nodes which are dealt by it stay where they are
+        with_over, without = (pick("B", "b").filter(x).join(begins.filter(x).drop("length", "over"), "query_key") for x in (c("over"), ~c("over")))
+    else:
+        with_over = without = _pairs_within(pick("B", "b"), begins, *spans)
     a, b, n = c("a_i"), c("b_i"), c("length")
     meets = (a <= n) & (b >= n)  # such a pair may close over the origin
     # Every pair has one place over the origin and one not, so the edge that stays is chosen in its row. What is asked of a pair in
     # the join is short, as a condition that spells out a region for each comparison is too long a method to be compiled.
     kept = lambda df, turns, far, near, mtype: df.select("*", F.when(turns, far).otherwise(near).cast("int").alias("span"), F.when(turns, 1).otherwise(0).alias("origin"), F.lit(mtype).alias("mtype"))
-    gaps = kept(pairs.filter(~c("over") & (meets | (b <= a))), meets, F.when(b == n, I.along(F.lit(0), a, n)).otherwise(I.along(b, a, n)), a - b, K.GAP)
+    gaps = kept(without.filter(~c("over") & (meets | (b <= a))), meets, F.when(b == n, I.along(F.lit(0), a, n)).otherwise(I.along(b, a, n)), a - b, K.GAP)
     last = I.end(b, n)
     around = meets & (c("_next").isNotNull() | (c("_first") <= last))
-    overlaps = kept(pairs.filter(c("over") & (a != b) & (around | ((b > a) & (c("_next") <= last)))), around, -I.along(a, b, n), a - b, K.OVERLAP)
+    overlaps = kept(with_over.filter(c("over") & (a != b) & (around | ((b > a) & (c("_next") <= last)))), around, -I.along(a, b, n), a - b, K.OVERLAP)
     tagged = overlaps.unionByName(gaps)
     if spans is not None:
         tagged = tagged.filter(c("span").between(*spans))

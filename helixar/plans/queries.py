@@ -39,9 +39,14 @@ def bases(df: DataFrame, key: str) -> DataFrame:
     return df.select(c(key).cast("string").alias("key"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), ALPHABET, DNA).alias("bases"))
 
 
-def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as regions of a circle of 1000 positions, one circle per order."""
-    l = read(spark, sf, "lineitem")
+def by_order(spark, sf):
+    """Order lines dealt by order in as many parts as the session names: they are sorted in them, so these are not put together to fewer."""
+    return read(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+
+
+def spans(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    """Line items, all or `lines`, as regions of a circle of 1000 positions, one circle per order."""
+    l = read(spark, sf, "lineitem") if lines is None else lines
     a, n = (c("l_partkey") % L).cast("int"), c("l_quantity").cast("int") * 10
     d = l.select(c("l_orderkey").alias("query_key"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", a.alias("a"), n.alias("n"))
     return d.withColumn("b", F.pmod(c("a") + c("n") - 1, F.lit(L)) + 1).withColumns({"length": F.lit(L), "cyclic": F.lit(True)})
@@ -52,9 +57,9 @@ _DNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJ
 _GROUPS = _SPANS + ", groups as (select distinct query_key, case l_returnflag when 'A' then 'PRE-MADE DNA FRAGMENT' when 'N' then 'PCR_PRODUCT' else 'PCR_PRODUCT_WITH_PRIMERS' end atype, a, b, n from spans)"
 
 
-def groups(spark: SparkSession, sf: str) -> DataFrame:
+def groups(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     atype = F.when(c("l_returnflag") == "A", K.FRAGMENT).when(c("l_returnflag") == "N", K.PCR).otherwise(K.PCR_PRIMERS)
-    return spans(spark, sf).select("query_key", atype.alias("atype"), "a", "b", "n", "length", "cyclic").distinct()
+    return spans(spark, sf, lines).select("query_key", atype.alias("atype"), "a", "b", "n", "length", "cyclic").distinct()
 
 
 @query(f"with {_SPANS} select query_key, a, b, n, a + n c_end, case when a + n > 1000 then 2 else 1 end n_pieces, least(a + n, 1000) hi1, case when a + n > 1000 then a + n - 1000 end hi2, (a + n) % 1000 inv_a, (a + 999) % 1000 + 1 inv_b, 1000 - n inv_n from spans")
@@ -131,7 +136,7 @@ o as (select query_key, j, bx, i, ax, i - j span, 0 origin from pl join gs using
 union all select query_key, j, bx, i, ax, -n, 1 from pl join gs using (query_key) where n <> 0 and i <= 1000 and j >= 1000 and len(list_filter(st, lambda s: s >= qa or s <= qb)) > 0)
 select query_key, j, bx, i, ax, cast(max_by(span, origin) as int) span, max(origin) origin from o where span <= 0 group by 1, 2, 3, 4, 5""")
 def overlap_edges(spark, sf):
-    g = groups(spark, sf)
+    g = groups(spark, sf, by_order(spark, sf))
     e = graph.external_edges(graph.nodes_of(graph.internal_edges(g)), g.select("query_key", c("a").alias("start"))).filter(c("mtype") == K.OVERLAP)
     return e.select("query_key", c("src.index").alias("j"), c("l").alias("bx"), c("dst.index").alias("i"), c("r").alias("ax"), "span", "origin")
 
@@ -143,7 +148,7 @@ union all select query_key, j, bx, i, ax, case when j = 1000 then (case when i =
 
 @query(f"with {_OUTER}{_GAPS} select query_key, j, bx, i, ax, cast(max_by(span, origin) as int) span, max(origin) origin from gp group by 1, 2, 3, 4, 5")
 def gap_edges(spark, sf):
-    g = groups(spark, sf)
+    g = groups(spark, sf, by_order(spark, sf))
     e = graph.external_edges(graph.nodes_of(graph.internal_edges(g)), g.select("query_key", c("a").alias("start"))).filter(c("mtype") == K.GAP)
     return e.select("query_key", c("src.index").alias("j"), c("l").alias("bx"), c("dst.index").alias("i"), c("r").alias("ax"), "span", "origin")
 
@@ -233,11 +238,6 @@ def top_n_assemblies(spark, sf):
 _CHAIN = "ch as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) i, l_extendedprice m, 1 - l_discount e from lineitem)"
 
 
-def by_order(spark, sf):
-    """Order lines dealt by order in as many parts as the session names: they are sorted in them, so these are not put together to fewer."""
-    return read(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
-
-
 def _chain(spark, sf):
     l = by_order(spark, sf)
     w = F.row_number().over(paths.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixar import constants as K
 from helixar.operators import cost, graph
+from helixar.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,15 @@ def test_pairs_are_compared_by_a_short_condition(spark):
     c = F.col
     d = spark.range(-25, 26).select(c("id").cast("int").alias("a")).crossJoin(spark.range(-25, 26).select(c("id").cast("int").alias("b")))
     assert d.filter(I.along(c("a"), c("b"), F.lit(10)) != I.make(c("a"), c("b"), F.lit(10), F.lit(True))["n"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["gap_edges", "overlap_edges"])
+def test_lines_are_dealt_once_by_order(spark, name):
+    """No exploded row is shuffled, or put together before a shuffle in a task's memory: all that is exchanged is order lines."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
