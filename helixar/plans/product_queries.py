@@ -54,8 +54,8 @@ _REGION = f"{_SPANS}, l as (select query_key, l_linenumber, l_partkey, l_suppkey
 _IDS = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def _regions(spark, sf):
-    s = spans(spark, sf)
+def _regions(spark, sf, lines=None):
+    s = spans(spark, sf, lines)
     return s.groupBy("query_key", *_IDS, "l_returnflag", "a", "length").agg(F.max("n").alias("n"))
 
 
@@ -78,7 +78,7 @@ def region_difference(spark, sf):
 @query(f"with {_REGION}, {_UNWRAPPED}, r as (select query_key, u % 1000 p from u group by all having count(*) > 1), {_islands('select u.* from u anti join r on u.query_key = r.query_key and u.u % 1000 = r.p')}")
 def region_exclusive(spark, sf):
     """The parts of each region that no other region of its circle covers."""
-    return I.exclusive(_regions(spark, sf), ["query_key"], _IDS).select("query_key", *_IDS, "a", "n")
+    return I.exclusive(_regions(spark, sf, by_order(spark, sf)), ["query_key"], _IDS).select("query_key", *_IDS, "a", "n")
 
 
 @query(f"with {_REGION}, {_UNWRAPPED}, r as (select distinct query_key, u % 1000 p from u where f = 'R') select distinct query_key, l_linenumber, l_partkey, l_suppkey from u semi join r on u.query_key = r.query_key and u.u % 1000 = r.p where f <> 'R'")

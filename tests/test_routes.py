@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixar.functions import intervals as I
 from helixar.operators import objective, paths, routes
 from helixar.operators.objective import MAX, MIN, PRODUCT, Objective
+from helixar.plans import product_queries
 
 
 def graphs(seed, n_graphs=6, loops=True):
@@ -241,6 +242,17 @@ def test_unions_and_gaps(spark, regions):
     assert I.union(df, ["k"], least=2).filter("k = 99").select("a", "n").first() == (0, 30)
 
 
+def test_exclusive_parts_move_lines_once(spark):
+    """Regions that are dealt by their circle are not moved again, neither by their buckets nor by themselves."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = product_queries.region_exclusive(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
+
+
 def test_regions_of_nothing(spark):
     none = spark.createDataFrame([], "k int, i int, a int, n int, length int")
     assert I.union(none, ["k"]).count() == I.gaps(none, ["k"]).count() == I.exclusive(none, ["k"], ["i"]).count() == 0
