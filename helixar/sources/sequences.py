@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,26 +93,44 @@ def read_genbank(spark: SparkSession, glob: str, is_circular: bool | None = None
     store that Spark reads.
     """
 
-    def run(batches):
-        for pdf in batches:
-            rows, held = [], 0
-            for text in pdf["value"]:
-                row = parse_record(text.replace("\r", ""))
-                if row:
-                    rows.append(row)
-                    held += row["length"]
-                if held > 1 << 24:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    df = spark.read.option("lineSep", "\n//").text(glob).mapInPandas(run, RECORDS)
+    df = spark.read.option("lineSep", "\n//").text(glob).mapInArrow(_records, RECORDS)
     if not parts:
         df = df.withColumn("features", F.transform("features", lambda f: F.struct(*[f[x].alias(x) for x in ("start", "end", "strand", "name", "type")])))
     return df if is_circular is None else df.withColumn("is_circular", F.lit(is_circular))
 
 
-_COLUMNS = ["key", "name", "bases", "length", "is_circular", "features"]
+_PLACE = [("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32())]
+_LOCATED = pa.list_(pa.struct([*_PLACE, ("name", pa.string()), ("type", pa.string()), ("parts", pa.list_(pa.struct(_PLACE)))]))
+_RECORDS = pa.schema([("key", pa.string()), ("name", pa.string()), ("bases", pa.string()), ("length", pa.int32()), ("is_circular", pa.bool_()), ("features", _LOCATED)])
+_HELD = 1 << 20  # characters made before they are handed on, so what a worker holds does not grow with the rows of a batch
+
+
+def _records(batches):
+    """Batches of RECORDS from batches of GenBank texts, which are parsed one at a time."""
+    rows, held = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            row = parse_record(text.as_py().replace("\r", ""))
+            if row:
+                rows.append(row)
+                held += row["length"]
+            if held > _HELD:
+                yield pa.RecordBatch.from_pylist(rows, _RECORDS)
+                rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, _RECORDS)
+
+
+def _texts(batches):
+    """Batches of GenBank texts from batches of records, which are written one at a time."""
+    made, held = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            made.append(genbank_text(SimpleNamespace(**{k: v.as_py() for k, v in zip(batch.schema.names, row, strict=True)})))
+            held += len(made[-1])
+            if held > _HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+                made, held = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
 
 def location_text(feature) -> str:
@@ -141,12 +160,7 @@ def genbank_text(r) -> str:
 
 def write_genbank(sequences: DataFrame, path: str, mode: str = "error") -> None:
     """Text files of GenBank records, a file per partition."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"value": [genbank_text(r) for r in pdf.itertuples()]})
-
-    sequences.mapInPandas(run, "value string").write.mode(mode).text(path)
+    sequences.mapInArrow(_texts, "value string").write.mode(mode).text(path)
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:

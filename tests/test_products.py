@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,25 @@ def test_locations(text, parts):
         assert files.parse_location(files.location_text(f)) == parts
 
 
+def test_genbank_workers_hold_few_records():
+    made = [{"key": f"k{i}", "name": "n", "bases": "ACGT" * 100_000, "is_circular": i % 2 == 0, "features": [{"start": 1, "end": 9, "strand": -1, "name": "p", "type": "gene"}]} for i in range(12)]
+    asked = []
+
+    def batches():
+        for i in range(0, 12, 6):
+            asked.append(i)
+            yield pa.RecordBatch.from_pylist(made[i : i + 6])
+
+    texts = list(files._texts(batches()))
+    assert max(x.num_rows for x in texts) <= 3 and sum(x.num_rows for x in texts) == 12
+    whole = pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(0) for x in texts])], ["value"])
+    records = list(files._records(iter([whole])))
+    assert max(x.num_rows for x in records) <= 3
+    back = [r for x in records for r in x.to_pylist()]
+    assert [(r["key"], r["bases"].upper(), r["is_circular"], r["length"]) for r in back] == [(r["key"], r["bases"], r["is_circular"], 400_000) for r in made]
+    assert back[0]["features"][0]["start"] == 1 and back[0]["features"][0]["strand"] == -1
+
+
 def test_genbank_round_trip(spark, tmp_path):
     rng = random.Random(1)
     fs = [located("a", 1, [(0, 4)]), located('b "x"', -1, [(2, 5), (9, 20)]), located("c", 1, [(55, 60), (0, 6)])]
