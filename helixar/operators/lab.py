@@ -12,18 +12,6 @@ from helixar.functions import shared
 from helixar.operators import match
 
 
-_WORDS = 1 << 18  # of 64 bits
-
-
-def _sieve(seeds: DataFrame) -> np.ndarray:
-    """A bit for every hash in `seed`, in a table of fixed size: what is not in it is no seed, so exact comparison is left to the rest."""
-    word, bit = F.col("seed").bitwiseAND(_WORDS - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, 18) & 63 as int))")
-    table = np.zeros(_WORDS, np.int64)
-    for w, bits in seeds.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit")).collect():
-        table[w] = bits
-    return table.view(np.uint64)
-
-
 def _near(templates: DataFrame, sieve: np.ndarray, least: int, reach: int) -> DataFrame:
     """(key, strand, i, length, tail, before): the starts on both strands of templates(key, bases) whose `least` bases, the tail, pass the
     sieve, with up to `reach` bases before them. Short templates are hashed together, long ones by blocks."""
@@ -33,8 +21,7 @@ def _near(templates: DataFrame, sieve: np.ndarray, least: int, reach: int) -> Da
         x, out = match.codes(s), [np.zeros(0, np.int64)]
         for i in range(0, len(x) - least + 1, 65536):
             h = match.kmer_hashes(x[i : i + 65535 + least], least)
-            bits = sieve[h & np.uint64(_WORDS - 1)] >> (h >> np.uint64(18) & np.uint64(63))
-            out.append(np.flatnonzero(bits & np.uint64(1)) + i)
+            out.append(np.flatnonzero(match.passes(sieve, h)) + i)
         return np.concatenate(out)
 
     def run(batches):
@@ -70,7 +57,7 @@ def anneal(primers: DataFrame, templates: DataFrame, least: int = 14) -> DataFra
     p = primers.filter(F.length("primer") >= least).select("primer_key", F.upper("primer").alias("primer"), F.expr(f"right(upper(primer), {least})").alias("tail"))
     tails = match.seeds(p.select(F.lit("").alias("key"), F.lit(1).alias("strand"), F.col("tail").alias("s")), least, 1)
     reach = (p.agg(F.max(F.length("primer"))).first()[0] or least) - least
-    hit = _near(templates, _sieve(tails), least, reach).join(p, "tail")
+    hit = _near(templates, match.sieve(tails), least, reach).join(p, "tail")
     more = F.expr(f"size(filter(sequence(0, length(primer) - {least}), k -> k > 0 AND k <= length(before) AND right(before, k) = substring(primer, length(primer) - {least} - k + 1, k)))")
     n = (F.lit(least) + more).cast("int")
     stop = F.col("i") + least

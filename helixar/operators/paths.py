@@ -213,7 +213,10 @@ def assemblies(edges: DataFrame, n_paths: int = 3, most: int = 3000, exact: bool
         named = lambda p: [dict(zip(("index", "expandable", "ntype", "overhang"), x, strict=True)) for x in p]
         return pd.DataFrame([(key, r, c, mat, eff, n, named(path)) for r, (c, n, _, mat, eff, path) in enumerate(rows)], columns=[x.split()[0] for x in ASSEMBLY.split(", ")[:6]] + ["path"])
 
-    return edges.select("query_key", "src", "dst", "material", "efficiency", "span", "mtype", "length").groupBy("query_key").applyInPandas(kernel, ASSEMBLY)
+    # Goals are dealt in as many parts as the session names: their edges are small beside the search, so by size they would come together in few tasks.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = edges.select("query_key", "src", "dst", "material", "efficiency", "span", "mtype", "length").repartition(parts, "query_key")
+    return asked.groupBy("query_key").applyInPandas(kernel, ASSEMBLY)
 
 
 def path_distances(edges: DataFrame, most: int = 3000) -> DataFrame:

@@ -244,5 +244,5 @@ def template_misprimings(spark, sf):
 
     goals = bases(read(spark, sf, "documents"), "doc_id").withColumn("is_circular", F.lit(False))
     items = bases(read(spark, sf, "benchmark"), "item_id")
-    al = match.to_regions(match.exact_matches(goals, items, 100), K.PCR)
+    al = match.to_regions(match.exact_matches(goals, items, 100, sieved=True), K.PCR)
     return score.template_misprimings(al.withColumn("mtype", F.lit(K.PCR)), al, items)

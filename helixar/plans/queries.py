@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,18 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def bases(df: DataFrame, key: str) -> DataFrame:
-    """Texts as DNA: letters alone, mapped to the four bases."""
-    return df.select(c(key).cast("string").alias("key"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), ALPHABET, DNA).alias("bases"))
+    """Texts as DNA: letters alone, mapped to the four bases. All bytes that are no letter, those of longer characters too, are left out in an Arrow kernel."""
+    table = bytes.maketrans((ALPHABET + ALPHABET.lower()).encode(), (DNA + DNA).encode())
+    others = bytes(x for x in range(256) if not chr(x).isascii() or not chr(x).isalpha())
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                made = [None if x is None else x.translate(table, others) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary()).cast(pa.string())], ["key", "bases"])
+
+    return df.select(c(key).cast("string").alias("key"), "text").mapInArrow(run, "key string, bases string")
 
 
 def by_order(spark, sf):
@@ -295,7 +306,7 @@ h as (select doc_id, item_id, strand, n, i, i - j dg from q join p using (x)), r
 @query(f"with {_MATCH} select doc_id::varchar query_key, item_id::varchar subject_key, strand, cast(min(i) as int) q_start, cast(max(i) + 29 as int) q_raw_end, cast(case when strand = 1 then min(i) - dg else n - (min(i) - dg) + 1 end as int) s_start, cast(max(i) - min(i) + 30 as int) n from r group by doc_id, item_id, strand, n, dg, grp")
 def seq_match_both_strands(spark, sf):
     goals = bases(read(spark, sf, "documents"), "doc_id").withColumn("is_circular", F.lit(False))
-    hits = match.exact_matches(goals, bases(read(spark, sf, "benchmark"), "item_id"), 30)
+    hits = match.exact_matches(goals, bases(read(spark, sf, "benchmark"), "item_id"), 30, sieved=True)
     return hits.select("query_key", "subject_key", "strand", "q_start", "q_raw_end", "s_start", "n")
 
 
@@ -304,7 +315,7 @@ def whole_subject_match(spark, sf):
     """Whole benchmark passages in raw texts."""
     doc = read(spark, sf, "documents").select(c("doc_id").cast("string").alias("key"), c("text").alias("bases"), F.lit(False).alias("is_circular"))
     items = read(spark, sf, "benchmark").select(c("item_id").cast("string").alias("key"), c("text").alias("bases"))
-    hits = match.whole_matches(doc, items, 32, both_strands=False, fold=False)
+    hits = match.whole_matches(doc, items, 32, both_strands=False, fold=False, sieved=True)
     return hits.select("query_key", "subject_key").distinct().groupBy("query_key").agg(F.count(F.lit(1)).alias("n_items"))
 
 
@@ -439,7 +450,7 @@ def plan_assemblies(spark, sf):
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Every match of a benchmark passage in a document, with its region, its group's size and the goal's best assembly, if any."""
     goals = bases(read(spark, sf, "documents"), "doc_id").withColumn("is_circular", F.lit(True))
-    hits = match.exact_matches(goals, bases(read(spark, sf, "benchmark"), "item_id"), 30)
+    hits = match.exact_matches(goals, bases(read(spark, sf, "benchmark"), "item_id"), 30, sieved=True)
     aligned = match.to_regions(hits, K.PCR)
     g = aligned.filter(expand.size_ok(c("n"), c("atype"))).select("query_key", "atype", "a", "b", "n", "length", "cyclic").distinct()
     plans = paths.assemblies(graph.assembly_graph(g, cost.span_cost(spark)), 1).select("query_key", F.round("cost", 4).alias("best_cost"), "n_nodes")

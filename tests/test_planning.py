@@ -1,5 +1,6 @@
 """Expansion, cost, graph and path operators on small cases with hand-written results."""
 
+import itertools
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from helixar import constants as K
 from helixar.functions import intervals as I
 from helixar.functions import sequences as S
 from helixar.operators import cost, expand, graph, lab, library, match, paths, score
+from helixar.plans import queries
 from helixar.plans.design import design
 from helixar.sources import params
 from helixar.sources import sequences as files
@@ -92,6 +94,61 @@ def test_matches_on_both_strands_and_over_the_origin(spark):
     assert whole == {("minus", -1, 101, 200), ("wrap", 1, 561, 60)}
 
 
+def _hits_by_looking(goals, inventory, least):
+    """(goal, subject, strand, q_start, s_start, n) of every maximal match, diagonal by diagonal."""
+    out = set()
+    for (g, base, circle), (key, subject, _) in itertools.product(goals, inventory):
+        size, x = len(base or ""), base or ""
+        for strand, y in ((1, subject), (-1, subject.translate(str.maketrans("ACGT", "TGCA"))[::-1])):
+            for d in range(-len(y) + 1, 2 * size if circle else size):
+                same = lambda q: 0 <= q - d < len(y) and x[q % size] == y[q - d]
+                a = max(d, 0)
+                while a < min(size, d + len(y)):
+                    b = a
+                    while b < min((2 * size - 1 if circle else size), d + len(y)) and same(b):
+                        b += 1
+                    wraps = circle and a == 0 and d < 0 and base[-1] == y[-d - 1]
+                    n = min(b, a + size) - a
+                    if n >= least and not wraps:
+                        out.add((g, key, strand, a + 1, a - d + 1 if strand == 1 else len(y) - a + d, n))
+                    a = b + 1
+    return out
+
+
+@pytest.mark.parametrize("sieved", [True, False])
+def test_goals_are_read_once_for_a_small_inventory(spark, sieved):
+    seen = spark.sparkContext.accumulator(0)
+    g = [dna(n, n) for n in (400, 333, 31, 30, 29, 16, 15, 1)]
+    rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    goals = [(f"{i}{circle}", x, circle) for i, x in enumerate([*g, "", "ACG" * 40, "A" * 50 + dna(70, 3) + "A" * 50]) for circle in (True, False)]
+    planted = [("30", g[0][37:67]), ("29", g[0][101:130]), ("over", g[1][-17:] + g[1][:14]), ("back", rc(g[1][-60:] + g[1][:50])), ("whole", g[2] * 3), ("small", g[3] + g[4]), ("again", "ACG" * 15), ("same", "A" * 35 + "C"), ("two", g[0][200:240] + "T" + g[0][210:260])]
+    inventory = [(k, x, False) for k, x in planted]
+    pads = [(f"p{i}", dna(1500, 100 + i), i % 2 == 0) for i in range(60)]  # further than one block of places
+    source = counted(spark.createDataFrame([*pads, *goals, ("none", None, True)], "key string, bases string, is_circular boolean").coalesce(1), seen)
+    got = match.exact_matches(source, frame(spark, planted, False), 30, sieved=sieved).collect()
+    found = {(r.query_key, r.subject_key, r.strand, r.q_start, r.s_start, r.n) for r in got}
+    assert len(found) == len(got) and found == _hits_by_looking(goals, inventory, 30)
+    assert {"30", "over", "back", "whole", "again", "same", "two"} <= {x[1] for x in found} and "29" not in {x[1] for x in found}
+    if sieved:  # a goal without a match goes no further, and none is made again
+        assert seen.value == len(pads) + len(goals) + 1
+    whole = {(r.query_key, r.subject_key, r.strand, r.q_start) for r in match.whole_matches(source, frame(spark, planted, False), 14, sieved=sieved).collect()}
+    size = {k: len(x) for k, x, _ in inventory}
+    assert whole == {(q, k, t, a) for q, k, t, a, _, n in _hits_by_looking([x for x in goals if x[1]], inventory, 14) if n == size[k]}
+
+
+def test_bases_are_letters_alone(spark):
+    odd = ["Az, by!", "\u00e9t\u00e9 K\u212a \u0131I \u00dfs \u017fx", "\U0001f600q\x00r\n", "", None, "".join(map(chr, range(256)))]
+    d = queries.bases(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), "doc_id").collect()
+    letters = [None if x is None else "".join(queries.DNA[queries.ALPHABET.index(y.upper())] for y in x if y.isascii() and y.isalpha()) for x in odd]
+    assert [tuple(r) for r in d] == [(str(i), x) for i, x in enumerate(letters)]
+
+
+def test_small_goals_are_dealt_for_the_search(spark, table):
+    groups = spark.createDataFrame([(f"g{i}", K.FRAGMENT, a, b, 500, 1000, True) for i in range(16) for a, b in ((0, 500), (500, 1000))], "query_key string, atype string, a int, b int, n int, length int, cyclic boolean")
+    d = paths.assemblies(graph.assembly_graph(groups, table), 1).select("query_key", F.spark_partition_id().alias("part")).collect()
+    assert len(d) == 16 and len({r.part for r in d}) > 1
+
+
 def test_overlap_products(spark):
     g = spark.createDataFrame([("q", "x", 0, 300, 300, 1000), ("q", "y", 150, 500, 350, 1000), ("q", "z", 900, 120, 220, 1000)], "query_key string, gid string, a int, b int, n int, length int")
     got = {(r.gid, r.o_gid, r.side, r.a, r.b, r.n) for r in expand.overlap_products(g).collect()}
