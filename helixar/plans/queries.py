@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixar import constants as K
 from helixar.functions import intervals as I
 from helixar.functions import sequences as S
+from helixar.functions import shared
 from helixar.operators import cost, expand, frame, graph, library, match, output, paths, score
 from helixar.sources import params
 
@@ -451,7 +452,7 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Every match of a benchmark passage in a document, with its region, its group's size and the goal's best assembly, if any."""
     goals = bases(read(spark, sf, "documents"), "doc_id").withColumn("is_circular", F.lit(True))
     hits = match.exact_matches(goals, bases(read(spark, sf, "benchmark"), "item_id"), 30, sieved=True)
-    aligned = match.to_regions(hits, K.PCR)
+    aligned = shared.held(match.to_regions(hits, K.PCR), "alignments")  # read by every later step
     g = aligned.filter(expand.size_ok(c("n"), c("atype"))).select("query_key", "atype", "a", "b", "n", "length", "cyclic").distinct()
     plans = paths.assemblies(graph.assembly_graph(g, cost.span_cost(spark)), 1).select("query_key", F.round("cost", 4).alias("best_cost"), "n_nodes")
     return aligned.join(plans, "query_key", "left").select("query_key", "subject_key", "a", "b", "n", "direction", "best_cost", "n_nodes")
