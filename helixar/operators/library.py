@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +18,106 @@ def shared_fragments(goals: DataFrame, least: int = 100) -> DataFrame:
     return match.to_regions(hits, "FRAGMENT_SHARED_WITH_OTHER_QUERIES")
 
 
-def connected(edges: DataFrame, src: str = "a", dst: str = "b", rounds: int = 64) -> DataFrame:
-    """(node, component): the least node that each node reaches; edges with a null give no node. By random contraction: every node takes the neighbour of
-    the least rank, or itself, and edges inside of a group go, so a round leaves far fewer edges than it found, the more so the denser they are.
-    Each round is checkpointed."""
-    shared.folder(edges.sparkSession)
+MANY, DEGREE = 1 << 20, 4  # edges from which a part of them comes first, and the edges of a node in that part
+FEW = 1 << 19  # edges that one task settles (8 MB of numbers), however many there were
+
+
+def connected(edges: DataFrame, src: str = "a", dst: str = "b", rounds: int = 64, many: int = MANY, few: int = FEW) -> DataFrame:
+    """(node, component): the least node that each node reaches; edges with a null give no node.
+
+    From `many` edges on, where nodes have far more than DEGREE of them, the components of a part of the edges come first (drawn by their hashes, DEGREE
+    a node). All edges are then looked at once: those inside of such a component, nearly all, go, and the others join the components. So no edge is left
+    out, and the rounds of _contracted see a few edges of each node alone.
+    """
     c = F.col
-    whole = edges.select(c(src).alias("a"), c(dst).alias("b")).dropna().checkpoint()
-    e, steps = whole.filter("a <> b"), []
-    for r in range(rounds):
-        rank = lambda x, r=r: F.struct(F.xxhash64(F.lit(r), x).alias("r"), c(x).alias("to"))
-        near = e.unionByName(e.select(c("b").alias("a"), c("a").alias("b"))).groupBy("a").agg(F.min(rank("b")).alias("m"))
-        step = near.select(c("a").alias("x"), F.least(rank("a"), "m")["to"].alias("to")).checkpoint()
-        if step.isEmpty():
-            break
-        steps.append(step)
-        at = lambda x, step=step: step.select(c("x").alias(x), c("to").alias(f"to_{x}"))
-        met = e.join(at("a"), "a").join(at("b"), "b").filter("to_a <> to_b")
-        e = met.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct().checkpoint()
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    whole = shared.held(edges.select(c(src).alias("a"), c(dst).alias("b")).dropna(), "links")
+    e, first = whole.filter("a <> b"), None
+    n = whole.count()
+    if n >= many:
+        nodes = sum(whole.agg(F.approx_count_distinct("a"), F.approx_count_distinct("b")).first())
+        share = DEGREE * nodes / 2 / n
+        if share < 0.3:
+            first = _contracted(e.filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(share * (1 << 20))), rounds, few)
+    if first is not None:
+        e = shared.held(_moved(e, first.select("x", c("root").alias("to")).hint("shuffle_hash")), "links")
+    root = _contracted(e, rounds, few)
+    if first is not None:
+        if root is None:
+            root = first
+        else:
+            late = root.join(first, "x", "left_anti")  # nodes that the part had no edge of
+            root = _followed(first.withColumnRenamed("root", "to"), root).unionByName(late)
     alone = whole.filter("a = b").select(c("a").alias("x")).distinct()
-    if not steps:
+    if root is None:
         return alone.select(c("x").alias("node"), c("x").alias("component"))
-    root = steps[-1].select("x", c("to").alias("root"))
-    for step in reversed(steps[:-1]):
-        root = step.join(root.select(c("x").alias("to"), "root"), "to", "left").select("x", F.coalesce("root", "to").alias("root"))
-    root = root.unionByName(alone.join(steps[0], "x", "left_anti").select("x", c("x").alias("root"))).checkpoint()
+    root = shared.held(root.unionByName(alone.join(root, "x", "left_anti").select("x", c("x").alias("root"))), "roots")
     least = root.groupBy("root").agg(F.min("x").alias("component"))
     return root.join(least, "root").select(c("x").alias("node"), "component")
 
 
+def _moved(e: DataFrame, step: DataFrame) -> DataFrame:
+    """Edges (a, b) between what step(x, to) makes of their ends, each once; a node that it doesn't name stays."""
+    c = F.col
+    at = lambda x: step.select(c("x").alias(x), c("to").alias(f"to_{x}"))
+    ends = e.join(at("a"), "a", "left").select("b", F.coalesce("to_a", "a").alias("to_a")).join(at("b"), "b", "left").select("to_a", F.coalesce("to_b", "b").alias("to_b"))
+    return ends.filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+
+
+def _followed(step: DataFrame, root: DataFrame) -> DataFrame:
+    """step(x, to) with the root of what it leads to."""
+    c = F.col
+    return step.join(root.select(c("x").alias("to"), "root"), "to", "left").select("x", F.coalesce("root", "to").alias("root"))
+
+
+def _settled(e: DataFrame) -> DataFrame:
+    """(x, root) of few edges, by union-find in one task."""
+
+    def run(batches):
+        if not (got := list(batches)):
+            return
+        both = pa.concat_arrays([x.column(i) for i in (0, 1) for x in got]).dictionary_encode()
+        ids, root = both.indices.to_pylist(), list(range(len(both.dictionary)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        half = len(ids) // 2
+        for a, b in zip(ids[:half], ids[half:], strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([both.dictionary, both.dictionary.take(pa.array(map(find, range(len(root)))))], ["x", "root"])
+
+    kind = e.schema["a"].dataType.simpleString()
+    return e.select("a", "b").repartition(1).mapInArrow(run, f"x {kind}, root {kind}")
+
+
+def _contracted(e: DataFrame, rounds: int, few: int) -> DataFrame | None:
+    """(x, root) of every node of edges (a, b) without loops, None if there are none. By random contraction: every node takes the neighbour of the least
+    rank, or itself, and edges inside of a group go, so a round leaves far fewer edges than it found, the more so the denser they are. Each round is held;
+    up to `few` edges are settled at once."""
+    c = F.col
+    steps: list[DataFrame] = []
+    last = None
+    while (n := e.count()) > 0:
+        if n <= few:
+            last = shared.held(_settled(e), "roots")
+            break
+        if len(steps) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        rank = lambda x, r=len(steps): F.struct(F.xxhash64(F.lit(r), x).alias("r"), c(x).alias("to"))
+        near = e.unionByName(e.select(c("b").alias("a"), c("a").alias("b"))).groupBy("a").agg(F.min(rank("b")).alias("m"))
+        steps.append(shared.held(near.select(c("a").alias("x"), F.least(rank("a"), "m")["to"].alias("to")), "step"))
+        e = shared.held(_moved(e, steps[-1]), "links")
+    if not steps:
+        return last
+    root = steps.pop().select("x", c("to").alias("root")) if last is None else last
+    for step in reversed(steps):
+        root = _followed(step, root)
+    return shared.held(root, "roots")
+
+
 def clusters(aligned: DataFrame) -> DataFrame:
     """Clusters of shared regions: (query_key, a, b, component, n_clusters); clusters that hold two regions of one goal are dropped."""
     name = lambda k, a, b: F.concat_ws(":", k, a, b)
