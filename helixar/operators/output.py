@@ -72,12 +72,19 @@ def drop_extra(dag: DataFrame) -> DataFrame:
     return dag.join(extra_producers(dag).filter("nth > 1").select("reaction_key").distinct(), "reaction_key", "left_anti")
 
 
-def filter_designs(molecules: DataFrame, dag: DataFrame, design_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reactions used by the designs of design_keys(design_key), and the molecules of those reactions."""
-    used = dag.select("reaction_key", F.explode("used_in").alias("u")).select("reaction_key", F.col("u.design_key").alias("design_key"))
-    kept = dag.join(used.join(design_keys, "design_key", "left_semi").select("reaction_key").distinct(), "reaction_key", "left_semi")
-    there = kept.select(F.explode(F.concat("in_keys", "out_keys")).alias("molecule_key")).distinct()
-    return molecules.join(there, "molecule_key", "left_semi"), kept
+def filter_designs(reactions: DataFrame, design_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The molecules and reactions of plan_dag that the designs of design_keys(design_key) use, each with all designs that use it.
+
+    Those designs' own reactions tell which they are, so only these are grouped by content. What uses them besides is looked up among all
+    reactions by left joins, which fall away if used_in is not read.
+    """
+    keyed = lambda df: df if "reaction_key" in df.columns else with_keys(df)
+    r, mine = keyed(reactions), keyed(reactions.join(design_keys, "design_key", "left_semi"))  # keys are made of what is left
+    used = F.sort_array(F.collect_set(F.struct("design_key", "assembly_id"))).alias("used_in")
+    kept = mine.groupBy(F.unhex("reaction_key").alias("_key")).agg(*[F.first(x).alias(x) for x in ("name", "in_keys", "out_keys")])
+    dag = kept.join(r.groupBy(F.unhex("reaction_key").alias("_key")).agg(used), "_key", "left")
+    there = mine.select(F.explode(F.concat("in_keys", "out_keys")).alias("molecule_key")).distinct()
+    return there.join(plan_dag(r)[0], "molecule_key", "left"), dag.select(F.lower(F.hex("_key")).alias("reaction_key"), "name", "in_keys", "out_keys", "used_in")
 
 
 def status(edges: DataFrame, complexity: str | None = None) -> DataFrame:

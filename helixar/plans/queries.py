@@ -388,9 +388,8 @@ def dag_extra_producers(spark, sf):
 
 @query(f"with {_RX}, {_MOL}, fs as (select o_orderkey::varchar dk from orders where o_orderpriority = '1-URGENT'), used as (select distinct nm, case when nm = 'Assembly' then ai::varchar else '' end rk, k1, k2, k3 from k semi join fs on k.dk = fs.dk), ks as (select unnest([k1, k2, k3]) mk from used) select distinct mk molecule_key from ks")
 def filter_by_key(spark, sf):
-    molecules, dag = output.plan_dag(_reactions(spark, sf))
     keys = read(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(c("o_orderkey").cast("string").alias("design_key"))
-    kept, _ = output.filter_designs(molecules, dag, keys)
+    kept, _ = output.filter_designs(_reactions(spark, sf), keys)
     return kept.select("molecule_key")
 
 
