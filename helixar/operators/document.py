@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ class Document:
         a = self.designs.select("design_key", "success", F.explode_outer("assemblies").alias("a"))
         a = shared.held(a.select("design_key", "success", F.transform("a.summary", lambda x: x["reaction_index"]).alias("summary"), c("a.final_assembly_reaction").alias("final")), "designs")
         links = r.select("index", F.explode(F.concat("inputs", "outputs")).alias("molecule"))
-        gone = links.join(m.select(c("index").alias("molecule")), "molecule", "left_anti")
+        missing = links.select("molecule").distinct().join(m.select(c("index").alias("molecule")), "molecule", "left_anti")
+        gone = links.join(missing, "molecule")  # each molecule is looked up once, however many reactions name it
         twice = lambda df: df.groupBy("index").count().filter("count > 1")
         makers = m.filter(c("name") != PLASMID).filter(F.size("used_as_output_to_reactions") > 1)
         steps = a.select("design_key", F.explode("summary").alias("index"))
@@ -107,8 +110,11 @@ class Document:
 
 def _molecules(reactions: DataFrame) -> DataFrame:
     c = F.col
-    m = reactions.select(F.explode(F.concat(*[F.transform(s, lambda x: F.struct(x["mtype"].alias("name"), x["seq"].alias("seq"))) for s in ("inputs", "outputs")])).alias("m"))
-    m = m.select(output.molecule_key(c("m.name"), c("m.seq")).alias("molecule_key"), "m.name", "m.seq")
+    kinds = [reactions.schema[s].dataType.simpleString() for s in ("inputs", "outputs")]
+    slim = [F.transform(s, lambda x: F.struct(x["mtype"].alias("mtype"), x["seq"].alias("seq"))) for s in ("inputs", "outputs")]
+    m = reactions.select(F.explode(F.concat("inputs", "outputs") if kinds[0] == kinds[1] else F.concat(*slim)).alias("m"))
+    m = m.select(c("m.mtype").alias("name"), "m.seq").distinct()  # keys are made of what is left
+    m = m.select(output.molecule_key(c("name"), c("seq")).alias("molecule_key"), "name", "seq")
     return m.groupBy("molecule_key").agg(F.min("name").alias("name"), F.min("seq").alias("bases"))
 
 
@@ -122,57 +128,89 @@ def _packed(key: Column) -> Column:
     return F.unhex(F.sha1(key.cast("binary")))
 
 
-def document(reactions: DataFrame, goals: DataFrame | None = None, elim_extra: bool = False, hold: bool = True) -> Document:
+def _with_numbers(dag: DataFrame, keys: list[bytes]) -> DataFrame:
+    """dag with the places in `keys` of the molecules' keys in _in and _out."""
+    known, names = pa.array(keys, pa.binary()), dag.columns
+
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=True))
+            for x in ("_in", "_out"):
+                ends = pc.list_value_length(columns[x]).to_numpy(zero_copy_only=False).cumsum()
+                places = pc.index_in(columns[x].flatten(), value_set=known).cast(pa.int64())
+                columns[x] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), places)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    kinds = {k: "array<bigint>" if k in ("_in", "_out") else v for k, v in dag.dtypes}
+    return dag.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
+
+
+def document(reactions: DataFrame, goals: DataFrame | None = None, elim_extra: bool = False, hold: bool = True, few: int = 200_000) -> Document:
     """The document of reactions(design_key, assembly_id, reaction_id, name, inputs, outputs[, material, efficiency, complexity]), whose
     inputs and outputs are arrays of (mtype, seq[, region]); goals(key, bases, is_circular) gives designs without assembly, too.
 
     elim_extra: a molecule's second and later makers are left out. hold: the reactions are written once, as each section reads them;
-    not needed if they are cheap to make, such as a projection of a table. Only numbers are written besides; sections are
-    made of them when they are read, without the columns that nobody reads.
+    not needed if they are cheap to make, such as a projection of a table. Content keys are made once and written in 20 bytes each, the molecules'
+    bases and the numbers besides; sections are made of them when they are read, without the columns that nobody reads.
     """
     c = F.col
     shared.folder(reactions.sparkSession)
     for x in ("material", "efficiency", "complexity"):
         if x not in reactions.columns:
             reactions = reactions.withColumn(x, F.lit(None).cast("double"))
-    keyed = output.with_keys(shared.held(reactions, "reactions") if hold else reactions).withColumn("_key", F.unhex("reaction_key"))
-    molecules = frame.numbered(_molecules(keyed), ["molecule_key"], "index")
-    prices = [F.min("material").alias("material_cost"), F.min("efficiency").alias("efficiency"), F.max("complexity").alias("complexity"), F.max(F.size("inputs")).alias("n_inputs"), F.max(F.size("outputs")).alias("n_outputs")]
+    reactions = shared.held(reactions, "reactions") if hold else reactions
+    molecules = frame.numbered(_molecules(reactions), ["molecule_key"], "index")
+    pack = lambda side: F.transform(side, _packed)
+    sizes = [F.size(x).alias(f"n_{x}") for x in ("inputs", "outputs")]
+    prices = ["material", "efficiency", "complexity"]
+    keyed = output.with_keys(reactions).select("design_key", "assembly_id", "reaction_id", "name", F.unhex("reaction_key").alias("_key"), pack(c("in_keys")).alias("_in"), pack(c("out_keys")).alias("_out"), *sizes, *prices, _made(reactions).alias("_made"))
+    keyed = shared.held(keyed, "keys")
+    best = [F.min("material").alias("material_cost"), F.min("efficiency").alias("efficiency"), F.max("complexity").alias("complexity"), F.max("n_inputs").alias("n_inputs"), F.max("n_outputs").alias("n_outputs")]
     used_in = F.sort_array(F.collect_set(F.struct("design_key", c("assembly_id").alias("assembly")))).alias("used_in_assemblies")
-    keys = keyed.select("_key").distinct()
+    dag = keyed.groupBy("_key").agg(*[F.first(x).alias(x) for x in ("name", "_in", "_out")], *best)
     if elim_extra:
-        _, dag = output.plan_dag(keyed)
-        keys = output.drop_extra(dag).select(F.unhex("reaction_key").alias("_key"))
-    numbers = frame.numbered(keys, ["_key"], "index")
-    pack = lambda side: F.transform(side, _packed)
-    slim = keyed.withColumns({"_in": pack("in_keys"), "_out": pack("out_keys")})
-    dag = slim.groupBy("_key").agg(F.first("name").alias("name"), F.first("_in").alias("_in"), F.first("_out").alias("_out"), *prices, used_in).join(numbers, "_key")
-    ids = molecules.select(_packed(c("molecule_key")).alias("_molecule"), c("index").alias("molecule"))
-    few = shared.held(ids, "molecule-numbers")
-    if few.count() <= 200_000:  # some 10 MB; more go to their keys by a shuffle
-        few = F.broadcast(few)
+        _, whole = output.plan_dag(reactions)
+        dag = dag.join(output.drop_extra(whole).select(F.unhex("reaction_key").alias("_key")), "_key", "left_semi")
+    ids = shared.held(molecules.select(_packed(c("molecule_key")).alias("_molecule"), c("index").alias("molecule")), "molecule-numbers")
+    small = ids.count() <= few  # some 4 MB; more go to their keys by a shuffle
+    if small:
+        dag = _with_numbers(dag, [bytes(x[0]) for x in ids.orderBy("molecule").select("_molecule").collect()])
+    dag = frame.numbered(dag, ["_key"], "index")
+    numbers = dag.select("_key", "index")
     of = lambda role: F.transform(F.sort_array(F.collect_list(F.when(c("role") == role, F.struct("pos", "molecule")))), lambda x: x["molecule"])
-    tagged = lambda role, col: F.transform(col, lambda k, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), k.alias("_molecule")))
-    links = lambda of_keys: dag.select("index", F.explode(F.concat(tagged("in", of_keys(c("_in"))), tagged("out", of_keys(c("_out"))))).alias("m")).select("index", "m.*").join(few, "_molecule")
-    rest = ["_key", "name", "used_in_assemblies", "n_inputs", "n_outputs", "material_cost", "efficiency", "complexity"]
-    linked = links(lambda x: x).groupBy("index").agg(of("in").alias("inputs"), of("out").alias("outputs"))
-    reactions_out = dag.select("index", *rest).join(linked, "index").select("index", F.lower(F.hex("_key")).alias("reaction_key"), "name", "used_in_assemblies", "n_inputs", "n_outputs", "inputs", "outputs", F.struct("material_cost", "efficiency", "complexity").alias("metadata"))
+    tagged = lambda role, col: F.transform(col, lambda k, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), k.alias("molecule" if small else "_molecule")))
+
+    def links(of_keys):
+        named = dag.select("index", F.explode(F.concat(tagged("in", of_keys(c("_in"))), tagged("out", of_keys(c("_out"))))).alias("m")).select("index", "m.*")
+        return named if small else named.join(ids, "_molecule")
+
+    rest = ["_key", "name", "n_inputs", "n_outputs", "material_cost", "efficiency", "complexity"]
+    uses = keyed.groupBy("_key").agg(used_in)
+    if small:
+        linked = dag.select("index", *rest, c("_in").alias("inputs"), c("_out").alias("outputs"))
+    else:
+        linked = dag.select("index", *rest).join(links(lambda x: x).groupBy("index").agg(of("in").alias("inputs"), of("out").alias("outputs")), "index")
+    reactions_out = linked.join(uses, "_key", "left").select("index", F.lower(F.hex("_key")).alias("reaction_key"), "name", "used_in_assemblies", "n_inputs", "n_outputs", "inputs", "outputs", F.struct("material_cost", "efficiency", "complexity").alias("metadata"))
     used = links(F.array_distinct).groupBy(c("molecule").alias("index")).agg(*[F.sort_array(F.collect_list(F.when(c("role") == k, c("index")))).alias(v) for k, v in (("in", "used_as_input_to_reactions"), ("out", "used_as_output_to_reactions"))])
-    places = keyed.select("design_key", "assembly_id", F.explode(F.concat(F.array_distinct("in_keys"), F.array_distinct("out_keys"))).alias("molecule_key")).groupBy("molecule_key").agg(used_in)
+    places = keyed.select("design_key", "assembly_id", F.explode(F.concat(F.array_distinct("_in"), F.array_distinct("_out"))).alias("_molecule")).groupBy("_molecule").agg(used_in)
     sequence = _sequence(c("bases"), c("molecule_key"), c("name") == PLASMID)
-    molecules_out = molecules.join(places, "molecule_key").join(used, "index", "left").select("index", "molecule_key", "name", sequence.alias("sequence"), "used_in_assemblies", *[F.coalesce(x, F.array().cast("array<bigint>")).alias(x) for x in ("used_as_input_to_reactions", "used_as_output_to_reactions")])
+    molecules_out = molecules.withColumn("_molecule", _packed(c("molecule_key"))).join(places, "_molecule", "left").join(used, "index", "left").select("index", "molecule_key", "name", sequence.alias("sequence"), "used_in_assemblies", *[F.coalesce(x, F.array().cast("array<bigint>")).alias(x) for x in ("used_as_input_to_reactions", "used_as_output_to_reactions")])
     return Document(molecules_out, reactions_out, _designs(keyed, numbers, goals))
 
 
+def _made(reactions: DataFrame) -> Column:
+    """Type and region, if known, of what a reaction makes."""
+    region = "region" in reactions.schema["outputs"].dataType.elementType.names
+    place = lambda m, f: m["region"][f] if region else F.lit(None).cast("int")
+    return F.transform("outputs", lambda m: F.struct(place(m, "a").alias("start"), place(m, "b").alias("end"), m["mtype"].alias("type")))
+
+
 def _designs(keyed: DataFrame, numbers: DataFrame, goals: DataFrame | None) -> DataFrame:
     c = F.col
     steps = keyed.join(numbers, "_key")
-    region = "region" in keyed.schema["outputs"].dataType.elementType.names
-    place = lambda m, f: m["region"][f] if region else F.lit(None).cast("int")
-    made = F.transform("outputs", lambda m: F.struct(place(m, "a").alias("start"), place(m, "b").alias("end"), m["mtype"].alias("type")))
     prices = F.struct(c("material").alias("material_cost"), "efficiency", "complexity").alias("metadata")
     is_last = c("name") == ASSEMBLY
-    step = F.when(~is_last, F.struct("reaction_id", c("index").alias("reaction_index"), prices, made.alias("outputs")))
+    step = F.when(~is_last, F.struct("reaction_id", c("index").alias("reaction_index"), prices, c("_made").alias("outputs")))
     summary = F.transform(F.sort_array(F.collect_list(step)), lambda x: F.struct(*[x[f].alias(f) for f in ("reaction_index", "metadata", "outputs")]))
     totals = F.struct(F.sum(F.when(~is_last, c("material"))).alias("material_cost"), F.product(F.when(~is_last, c("efficiency"))).alias("assembly_efficiency"), F.coalesce(F.max(F.when(~is_last, c("complexity"))), F.lit(0.0)).alias("max_complexity"))
     a = steps.groupBy("design_key", "assembly_id").agg(totals.alias("cost"), summary.alias("summary"), F.sort_array(F.collect_set(F.when(is_last, c("index")))).alias("final_assembly_reaction"))
